@@ -155,6 +155,24 @@ def chi2_scores(docs: DataFrame, label: str = "label", ngrams: str = "ngrams") -
     )
 
 
+def top_terms(scores: DataFrame, group: str, score: str, n: int) -> DataFrame:
+    """(group, term, rank, score) of the ``n`` best terms per group; ties go by name.
+
+    Best terms are found inside slices of the vocabulary first, so no task has to
+    sort all terms of a group.
+    """
+    order = [F.col(score).desc(), F.col("term")]
+    slices = scores.withColumn("_slice", F.pmod(F.xxhash64("term"), F.lit(256)))
+    partial = slices.withColumn(
+        "rank", F.row_number().over(W.partitionBy(group, "_slice").orderBy(*order))
+    ).where(F.col("rank") <= n)
+    return (
+        partial.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+        .where(F.col("rank") <= n)
+        .select(group, "term", "rank", score)
+    )
+
+
 def normalise(
     weights: DataFrame, keys: Sequence[str], weight: str = "weight", norm: str | None = "compat"
 ) -> DataFrame:
