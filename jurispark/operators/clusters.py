@@ -22,7 +22,7 @@ def cluster_postings(
     counts: DataFrame,
     dictionary: DataFrame,
     doc_id: str = "doc_id",
-    salts: int = 32,
+    salts: int = 8,
 ) -> DataFrame:
     """(cluster, doc_id, n): occurrences of each cluster in each document.
 

@@ -13,7 +13,7 @@ def lemmatize(
     lemmas: DataFrame,
     doc_id: str = "doc_id",
     words: str = "words",
-    salts: int = 32,
+    salts: int = 8,
 ) -> DataFrame:
     """(doc_id, words) with each token replaced by its lemma; unknown tokens stay.
 

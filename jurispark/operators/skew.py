@@ -61,7 +61,7 @@ def salted_join(
     right: DataFrame,
     on: Sequence[str],
     salt_from: Sequence[str],
-    salts: int = 32,
+    salts: int = 8,
     how: str = "inner",
 ) -> DataFrame:
     """Join with a ``right`` side of unknown key weights: every right row is copied
