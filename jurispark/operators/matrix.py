@@ -79,7 +79,7 @@ class Matrix:
 
 
 def feature_stats(matrix: Matrix) -> DataFrame:
-    """(feature, nnz, mean, sd, vmin, vmax, cov): moments with the implied zeros counted.
+    """(feature, nnz, sy, mean, sd, vmin, vmax, cov): moments with the implied zeros counted.
 
     One shuffle of per-task partial moments.  ``cov`` is the covariance with the 0/1
     (or any numeric) label; ddof is 1 throughout.
@@ -112,6 +112,7 @@ def stats_of_cells(cells: DataFrame, n: float, sy: float) -> DataFrame:
     return agg.select(
         "feature",
         "nnz",
+        F.col("_sy").alias("sy"),
         (m * k / n).alias("mean"),
         F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1)).alias("sd"),
         F.when(zeros > 0, F.least(F.col("_min"), F.lit(0.0))).otherwise(F.col("_min")).alias("vmin"),
@@ -133,3 +134,9 @@ def standardize(matrix: Matrix, stats: DataFrame, n_features: int | None = None)
     return weighted_join(
         matrix.cells, kept, ["feature"], "nnz", ["id"], right_rows=n_features
     ).select("id", "feature", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
+
+
+def encode_labels(df: DataFrame, label: str, name: str = "label_index") -> DataFrame:
+    """Add the position (from 0) of the label among the sorted distinct labels."""
+    ordered = df.agg(F.array_sort(F.collect_set(label))).scalar()
+    return df.withColumn(name, (F.array_position(ordered, F.col(label)) - 1).cast("int"))

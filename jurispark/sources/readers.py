@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matrix import Matrix
+from ..operators.skew import row_numbers
 
 # Reserved column names of text and vector files.
 ID_COL, LABEL_COL, TEXT_COL = "@id", "@label", "@text"
@@ -160,15 +161,19 @@ def name_list(spark: SparkSession, path: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line): non-blank lines of one file, numbered from 0.
 
-    Output files of outside tools carry no row id; their line number is the only
-    one.  Such a file is read as a single row, so the numbers are exact.
+    Output files of outside tools carry no row id; the line number is the only one.
+    Lines are numbered inside each split of the file and shifted by the line counts
+    of the earlier splits, so a large file is read in parallel.
     """
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(
-            F.filter(F.split(F.col("value"), r"\r?\n"), lambda s: F.trim(s) != "")
-        ).alias("line_no", "line")
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
     )
-    return lines
+    kept = lines.where(F.trim("line") != "")
+    numbered = row_numbers(kept, ["_file"], ["_start", "_at"], F.col("_start"), "_rn")
+    return numbered.select((F.col("_rn") - 1).alias("line_no"), "line")
 
 
 def supervised_predictions(spark: SparkSession, truth: str, output: str) -> DataFrame:
