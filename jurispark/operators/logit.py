@@ -11,10 +11,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize_with
 
 
 def _newton_step(size: int):
@@ -70,12 +70,11 @@ def grouped_logistic(
         )
         moved = params.join(sums, "feature").withColumn("_next", step("beta", "_g", "_h"))
         change = F.array_max(F.transform(F.arrays_zip("beta", "_next"), lambda z: F.abs(z["_next"] - z["beta"])))
-        seen = Observation()
-        params = materialize(
-            moved.withColumn("_change", change)
-            .observe(seen, F.max("_change").alias("change"))
-            .select(*keys, F.col("_next").alias("beta"))
+        params, seen = materialize_with(
+            moved.select(*keys, F.col("_next").alias("beta"), change.alias("_change")),
+            F.max("_change").alias("change"),
         )
-        if (seen.get["change"] or 0.0) < tol:
+        params = params.drop("_change")
+        if (seen["change"] or 0.0) < tol:
             return params, True
     return params, False

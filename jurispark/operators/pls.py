@@ -23,12 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import value_bucket
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, materialize_with
 from . import ranks
 from .logit import grouped_logistic
 from .matrix import Matrix, stats_of_cells
 from .skew import BROADCAST_ROWS, running_totals, weighted_join
-from .terms import distinct_labels
 
 VARIANTS = ("standard", "gini", "logit", "logit_gini")
 # Residuals are compared after rounding to this many digits, so that rows with equal
@@ -86,36 +85,41 @@ class PLS:
     # --- preparation -----------------------------------------------------------
 
     def _prepare(self, matrix: Matrix) -> _Training:
-        classes = distinct_labels(matrix.rows, "label", 1_000)
-        if len(classes) != 2:
-            raise ValueError(f"need exactly 2 classes, got {len(classes)}")
-        y = (F.col("label") == F.lit(classes[1])).cast("double")
-        counted = matrix.rows.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s")).first()
-        n, sy = float(counted["n"]), float(counted["s"])
+        found = matrix.rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(3).collect()
+        sizes = {r["label"]: r["n"] for r in found}
+        if len(sizes) != 2 or None in sizes:
+            raise ValueError(f"need exactly 2 classes, got labels {list(sizes)}")
+        classes = sorted(sizes)
+        n, sy = float(sum(sizes.values())), float(sizes[classes[1]])
         y_mean, y_sd = sy / n, math.sqrt(sy * (n - sy) / (n * (n - 1)))
+        y = (F.col("label") == F.lit(classes[1])).cast("double")
         ys = (y - F.lit(y_mean)) / F.lit(y_sd) if self.standardize else y
         rows = materialize(matrix.rows.select("id", y.alias("y"), ys.alias("ys")))
         cells = materialize(
             matrix.cells.where("value <> 0").join(rows.select("id", "y"), "id")
         )
-        stats = materialize(stats_of_cells(cells, n, sy).where("vmin <> vmax"))
         one, zero = F.lit(1.0), F.lit(0.0)
-        features = stats.select(
+        stats = stats_of_cells(cells, n, sy).where("vmin <> vmax").select(
             "feature",
             "nnz",
+            "sy",
             (1 / F.col("sd") if self.standardize else one).alias("a"),
             (-F.col("mean") / F.col("sd") if self.standardize else zero).alias("base"),
             "cov",
         )
-        prep = _Training(n, sy, y_mean, y_sd, classes, rows, cells, features, stats.count())
+        # Residual variants address features by number (see _residuals).
+        if self.variant != "standard" and self.n_components > 1:
+            stats = _numbered(materialize(stats))
+        features, seen = materialize_with(stats, F.count(F.lit(1)).alias("k"))
+        prep = _Training(n, sy, y_mean, y_sd, classes, rows, cells, features, seen["k"])
         if prep.n_features == 0:
             raise ValueError("all features are constant")
         if self.variant != "standard":
-            plain = ranks.value_ladder(cells, stats, n, sy)
+            plain = ranks.value_ladder(cells, features, n, sy)
+            known = features.select("feature")
             if prep.n_features <= BROADCAST_ROWS:
-                plain = plain.join(F.broadcast(stats.select("feature")), "feature", "left_semi")
-            else:
-                plain = plain.join(stats.select("feature"), "feature", "left_semi")
+                known = F.broadcast(known)
+            plain = plain.join(known, "feature", "left_semi")
             if self.uses_ranks:
                 plain = ranks.with_rank(plain).withColumn(
                     "r", ranks.gini_rank(F.col("rank"), n, self.nu)
@@ -156,7 +160,8 @@ class PLS:
         """(feature, w): raw weights of the first component."""
         y_sd = prep.y_sd if self.standardize else 1.0
         if self.variant == "standard":
-            return features.select("feature", (F.col("cov") * F.col("a") / y_sd).alias("w"))
+            w = (F.col("cov") * F.col("a") / y_sd).alias("w")
+            return features.select("feature", "nnz", "a", "base", w)
         ladder = prep.ladder
         if self.variant == "gini":
             cross = F.col("r") * (F.col("sy") - F.col("cnt") * prep.y_mean)
@@ -176,29 +181,32 @@ class PLS:
         return fitted.select("feature", F.col("beta")[1].alias("w"))
 
     def _next_weights(
-        self, prep: _Training, form: DataFrame, cells: DataFrame, rows: DataFrame, ts: list[str],
-        c: np.ndarray, means: np.ndarray, eps_mean: float, loads: DataFrame,
+        self, prep: _Training, cells: DataFrame, rows: DataFrame, ts: list[str], moments: dict,
+        eps_mean: float, loads: DataFrame,
     ) -> DataFrame:
         """(feature, w): raw weights of the next component from the residuals."""
         if self.variant == "standard":
             n = prep.n
             # sum(RES * eps) = sum(z * eps): eps is orthogonal to the components.
-            res_mean = F.col("z_mean") - dot([f"b_{t}" for t in ts], means)
+            res_mean = F.col("z_mean") - dot([f"b_{t}" for t in ts], moments["means"])
             cov = (F.col("z_eps") - n * res_mean * eps_mean) / (n - 1)
-            return loads.select("feature", cov.alias("w"))
+            return loads.withColumn("w", cov)
+        loads = materialize(loads)
         if self.variant == "gini":
-            return self._residual_rank_weights(prep, rows, cells, loads, ts, eps_mean)
+            raw = self._residual_rank_weights(prep, rows, cells, loads, ts, eps_mean)
+        else:
 
-        def observations(params: DataFrame) -> DataFrame:
-            return self._residuals(prep, rows, cells, params, ts)
+            def observations(params: DataFrame) -> DataFrame:
+                return self._residuals(prep, rows, cells, params, ts)
 
-        fitted, _ = grouped_logistic(
-            loads.select("feature", "fidx", "nnz", "a", "base", *[f"b_{t}" for t in ts]),
-            observations,
-            [F.col("res"), *[F.col(t) for t in ts]],
-        )
-        second = F.col("beta")[1] if self.variant == "logit" else F.col("beta")[2]
-        return fitted.select("feature", F.col("beta")[1].alias("w"), second.alias("w_extra"))
+            fitted, _ = grouped_logistic(
+                loads.select("feature", "fidx", "nnz", "a", "base", *[f"b_{t}" for t in ts]),
+                observations,
+                [F.col("res"), *[F.col(t) for t in ts]],
+            )
+            second = F.col("beta")[1] if self.variant == "logit" else F.col("beta")[2]
+            raw = fitted.select("feature", F.col("beta")[1].alias("w"), second.alias("w_extra"))
+        return loads.join(raw, "feature")
 
     def _with_features(
         self, left: DataFrame, features: DataFrame, prep: _Training, weight: bool = True
@@ -248,7 +256,10 @@ class PLS:
         eps_mean: float,
     ) -> DataFrame:
         ladder = (
-            self._residuals(prep, rows, cells, loads, ts)
+            self._residuals(
+                prep, rows, cells,
+                loads.select("feature", "fidx", "nnz", "a", "base", *[f"b_{t}" for t in ts]), ts,
+            )
             .groupBy("feature", (F.col("res") + 0.0).alias("value"))
             .agg(
                 F.sum("cnt").alias("cnt"),
@@ -265,78 +276,77 @@ class PLS:
             (-self.nu * F.sum(v * F.col("s")) / (prep.n - 1)).alias("w")
         )
 
-    def _normalise(self, raw: DataFrame, first: bool) -> tuple[DataFrame, float]:
-        """Materialise raw weights and return them with their norm (1 if all are 0)."""
-        table = materialize(raw)
+    def _normalise(self, raw: DataFrame, ts: list[str]) -> tuple[DataFrame, float, float, list[float]]:
+        """Write raw weights; return them with their norm and the sums the scores need.
+
+        The norm is 1 if all weights are 0.  The sums are those of base * w and of
+        b_t * w for each earlier component, all taken while writing.
+        """
         if self.variant == "gini":
             norm = F.sum(F.abs("w"))
-        elif self.variant in ("logit", "logit_gini") and not first:
-            norm = F.sqrt(F.sum(F.col("w") ** 2 + F.col("w_extra") ** 2))
+        elif self.variant in ("logit", "logit_gini") and ts:
+            norm = F.sqrt(F.sum(F.col("w") * F.col("w") + F.col("w_extra") * F.col("w_extra")))
         else:
-            norm = F.sqrt(F.sum(F.col("w") ** 2))
-        return table, float(table.agg(norm.alias("x")).first()["x"] or 0.0) or 1.0
+            norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
+        table, seen = materialize_with(
+            raw,
+            norm.alias("norm"),
+            F.sum(F.col("base") * F.col("w")).alias("offset"),
+            *[F.sum(F.col(f"b_{t}") * F.col("w")).alias(t) for t in ts],
+        )
+        size = seen["norm"] or 1.0
+        return table, size, (seen["offset"] or 0.0) / size, [(seen[t] or 0.0) / size for t in ts]
 
     # --- components ------------------------------------------------------------
 
     def _components(self, prep: _Training, features: DataFrame) -> dict:
         """Fit all components on the given features."""
-        x_form = features.select("feature", "nnz", "a", "base")
+        more = [c for c in ("fidx",) if c in features.columns]
+        x_form = features.select("feature", "nnz", "a", "base", *more)
         x_cells = prep.cells.select("id", "feature", F.col("value").alias("v"))
+        z_form, z_cells = x_form, x_cells
         if self.uses_ranks and self.n_components > 1:
-            z_form = prep.rank_form.join(features.select("feature", "nnz"), "feature")
+            z_form = prep.rank_form.join(features.select("feature", "nnz", *more), "feature")
             z_cells = prep.rank_cells
-        else:
-            z_form, z_cells = x_form, x_cells
-        weights = features.select("feature", "nnz", "a", "base")
-        rows = prep.rows
-        ts: list[str] = []
-        h = self.n_components
+        rows, ts, h = prep.rows, [], self.n_components
         steps = np.zeros((h, h))  # steps[a, j]: what component j takes off per unit of T_a
-        q2, r2, press, rss = [], [], [], []
-        raw, norm = self._normalise(self._first_weights(prep, features), True)
-        moments = None
+        offsets, coefs, weights = [], [], None
+        raw = x_form.join(self._first_weights(prep, features).select("feature", "w"), "feature")
+        if self.variant == "standard":  # a function of the feature table itself
+            raw = self._first_weights(prep, features)
         for j in range(h):
-            t = f"t{j + 1}"
-            scaled = raw.select("feature", (F.col("w") / norm).alias(f"w{j + 1}"))
-            weights = materialize(weights.join(scaled, "feature"))
-            form, cells = (x_form, x_cells) if j == 0 else (z_form, z_cells)
-            if j > 0:
-                pulls = (
-                    loads.join(scaled, "feature")
-                    .agg(*[F.sum(F.col(f"b_{x}") * F.col(f"w{j + 1}")).alias(x) for x in ts])
-                    .first()
-                )
-                steps[:j, j] = [pulls[x] or 0.0 for x in ts]
-            side = form.join(scaled, "feature")
-            score = self._with_features(cells, side, prep)
-            offset = side.agg(F.sum(F.col("base") * F.col(f"w{j + 1}"))).first()[0] or 0.0
+            t, w = f"t{j + 1}", f"w{j + 1}"
+            raw, norm, offset, pulls = self._normalise(raw, ts)
+            steps[:j, j] = pulls
+            offsets.append(offset)
+            side = raw.select("feature", "nnz", "a", "base", (F.col("w") / norm).alias(w))
+            # The model keeps the linear form of the values, not that of the ranks.
+            scaled = side.select("feature", w)
+            weights = (
+                side if j == 0 else weights.join(scaled, "feature")
+            )
+            score = self._with_features(x_cells if j == 0 else z_cells, side, prep)
             sums = score.groupBy("id").agg(
-                F.sum(F.col("a") * F.col("v") * F.col(f"w{j + 1}")).alias("_s")
+                F.sum(F.col("a") * F.col("v") * F.col(w)).alias("_s")
             )
-            value = F.coalesce("_s", F.lit(0.0)) + offset - dot(ts, steps[:j, j])
-            rows = materialize(rows.join(sums, "id", "left").withColumn(t, value).drop("_s"))
+            value = F.coalesce("_s", F.lit(0.0)) + offset - dot(ts, pulls)
+            grown = rows.join(sums, "id", "left").withColumn(t, value).drop("_s")
             ts.append(t)
-
-            moments = _moments(rows, ts)
-            gram, ty = moments["gram"], moments["ty"]
-            inverse = np.linalg.pinv(gram)
-            c = inverse @ ty
-            rows_eps = rows.withColumn("eps", F.col("ys") - dot(ts, c))
-            fit_stats = _diagnostics(rows_eps, ts, inverse, c)
-            rss.append(fit_stats["rss"])
-            r2.append(fit_stats["ess"] / (fit_stats["ess"] + fit_stats["rss"]))
-            press.append(fit_stats["press"])
-            total = moments["yy"] if j == 0 else fit_stats["rss"]
-            q2.append(None if press[-1] is None or not total else 1 - press[-1] / total)
+            rows, moments = _with_moments(grown, ts)
+            inverse = np.linalg.pinv(moments["gram"])
+            c = inverse @ moments["ty"]
+            coefs.append([float(x) for x in c])
             if j + 1 == h:
                 break
-            joined = self._with_features(z_cells.join(rows_eps, "id"), z_form, prep)
+            means = moments["means"]
+            eps_mean = moments["y_mean"] - float(c @ means)
+            rows_eps = rows.withColumn("eps", F.col("ys") - dot(ts, c))
+            joined = self._with_features(z_cells.join(rows_eps, "id"), z_form.select("feature", "nnz"), prep)
             sums = joined.groupBy("feature").agg(
                 *[F.sum(F.col("v") * F.col(x)).alias(f"s_{x}") for x in ts],
                 F.sum(F.col("v") * F.col("eps")).alias("s_eps"),
                 F.sum("v").alias("s_v"),
             )
-            means, eps_mean = moments["means"], moments["y_mean"] - float(c @ moments["means"])
             z = z_form.join(sums, "feature", "left").na.fill(0.0)
             tx = [
                 F.col("a") * F.col(f"s_{x}") + F.col("base") * float(m * prep.n)
@@ -346,25 +356,16 @@ class PLS:
                 sum((tx[i] * float(inverse[l, i]) for i in range(len(ts))), F.lit(0.0)).alias(f"b_{x}")
                 for l, x in enumerate(ts)
             ]
-            loads = materialize(
-                z.select(
-                    "feature", "nnz", "a", "base", *b,
-                    (F.col("a") * F.col("s_eps") + F.col("base") * (eps_mean * prep.n)).alias("z_eps"),
-                    (F.col("a") * F.col("s_v") / prep.n + F.col("base")).alias("z_mean"),
-                )
-            )
-            if self.variant != "standard":
-                loads = materialize(_numbered(loads))
-            raw, norm = self._normalise(
-                self._next_weights(
-                    prep, z_form, z_cells, rows_eps, ts, c, means, eps_mean, loads
-                ),
-                False,
+            loads = z.select(
+                "feature", "nnz", "a", "base", *more, *b,
+                (F.col("a") * F.col("s_eps") + F.col("base") * (eps_mean * prep.n)).alias("z_eps"),
+                (F.col("a") * F.col("s_v") / prep.n + F.col("base")).alias("z_mean"),
             )
+            raw = self._next_weights(prep, z_cells, rows_eps, ts, moments, eps_mean, loads)
         return {
-            "weights": weights, "rows": rows, "c": c, "steps": steps, "r2": r2, "q2": q2,
-            "rss": rss, "press": press, "threshold": float(c @ moments["means"]),
-            "moments": moments,
+            "weights": weights if h == 1 else materialize(weights),
+            "rows": rows, "coefs": coefs, "steps": steps, "offsets": offsets,
+            "threshold": float(np.dot(coefs[-1], moments["means"])), "moments": moments,
         }
 
     def fit(self, matrix: Matrix) -> PLSModel:
@@ -384,6 +385,8 @@ class PLS:
             if n_kept < self.n_components or n_kept == prep.n_features:
                 break
             features = materialize(features.join(kept, "feature", "left_semi"))
+            if "fidx" in features.columns:
+                features = materialize(_numbered(features.drop("fidx")))
             prep.n_features = n_kept
         powers = None
         if self.uses_ranks and self.n_components > 1:
@@ -398,11 +401,11 @@ class PLS:
             n=prep.n,
             n_features=prep.n_features,
             weights=fitted["weights"],
-            coefficients=[float(x) for x in fitted["c"]],
+            coefficients=fitted["coefs"],
             steps=[[float(x) for x in row] for row in fitted["steps"]],
+            offsets=fitted["offsets"],
             threshold=fitted["threshold"],
             powers=powers,
-            diagnostics={k: fitted[k] for k in ("r2", "q2", "rss", "press")},
             train_rows=fitted["rows"],
             moments={k: np.asarray(v).tolist() for k, v in fitted["moments"].items()},
         )
@@ -418,22 +421,23 @@ def _numbered(table: DataFrame) -> DataFrame:
     return out.withColumn("fidx", (F.col("_rn") - 1).cast("int")).drop("_rn", "_k", "_g")
 
 
-def _moments(rows: DataFrame, ts: list[str]) -> dict:
-    """Sums over rows that the small systems need: one aggregate, h * h numbers."""
+def _with_moments(rows: DataFrame, ts: list[str]) -> tuple[DataFrame, dict]:
+    """Write the rows and take the sums that the small systems need: h * h numbers."""
     pairs = [(a, b) for i, a in enumerate(ts) for b in ts[i:]]
-    got = rows.agg(
+    rows, got = materialize_with(
+        rows,
         *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs],
         *[F.sum(F.col(a) * F.col("ys")).alias(f"{a}_y") for a in ts],
         *[F.avg(a).alias(f"{a}_m") for a in ts],
         F.avg("ys").alias("y_mean"),
         F.sum(F.col("ys") * F.col("ys")).alias("yy"),
         F.count(F.lit(1)).alias("n"),
-    ).first()
+    )
     gram = np.zeros((len(ts), len(ts)))
     for a, b in pairs:
         i, k = ts.index(a), ts.index(b)
         gram[i, k] = gram[k, i] = got[f"{a}_{b}"]
-    return {
+    return rows, {
         "gram": gram,
         "ty": np.array([got[f"{a}_y"] for a in ts]),
         "means": np.array([got[f"{a}_m"] for a in ts]),
@@ -443,32 +447,42 @@ def _moments(rows: DataFrame, ts: list[str]) -> dict:
     }
 
 
-def _diagnostics(rows: DataFrame, ts: list[str], inverse: np.ndarray, c: np.ndarray) -> dict:
-    """Residual and explained sums of squares, and leave-one-out PRESS via leverages.
+def fit_statistics(rows: DataFrame, gram: np.ndarray, coefs: list[list[float]], yy: float) -> list[tuple]:
+    """[(component, r2, q2, rss, press)] of the models with 1..h components, in one pass.
 
-    A row that alone carries a direction has leverage 1 and no leave-one-out value;
-    PRESS is None then.
+    PRESS is the leave-one-out error through leverages; a row that alone carries a
+    direction (leverage 1) has none, and PRESS and Q2 are None then.  From the second
+    component on, Q2 compares with the RSS of the same component.
     """
-    leverage = sum(
-        (
-            F.col(a) * F.col(b) * float(inverse[i, k])
-            for i, a in enumerate(ts)
-            for k, b in enumerate(ts)
-        ),
-        F.lit(0.0),
-    )
-    eps, left = F.col("eps"), 1 - leverage
-    got = rows.agg(
-        F.sum(eps * eps).alias("rss"),
-        F.sum(dot(ts, c) ** 2).alias("ess"),
-        F.sum(F.when(left > 1e-9, (eps / left) ** 2)).alias("press"),
-        F.count_if(left <= 1e-9).alias("undefined"),
-    ).first()
-    return {
-        "rss": got["rss"],
-        "ess": got["ess"],
-        "press": None if got["undefined"] else got["press"],
-    }
+    sums = []
+    for j, c in enumerate(coefs):
+        ts = [f"t{i + 1}" for i in range(j + 1)]
+        inverse = np.linalg.pinv(np.asarray(gram)[: j + 1, : j + 1])
+        leverage = sum(
+            (
+                F.col(a) * F.col(b) * float(inverse[i, k])
+                for i, a in enumerate(ts)
+                for k, b in enumerate(ts)
+            ),
+            F.lit(0.0),
+        )
+        fit, left = dot(ts, c), 1 - leverage
+        eps = F.col("ys") - fit
+        sums += [
+            F.sum(eps * eps).alias(f"rss_{j}"),
+            F.sum(fit * fit).alias(f"ess_{j}"),
+            F.sum(F.when(left > 1e-9, (eps / left) * (eps / left))).alias(f"press_{j}"),
+            F.count_if(left <= 1e-9).alias(f"undefined_{j}"),
+        ]
+    got = rows.agg(*sums).first()
+    out = []
+    for j in range(len(coefs)):
+        rss, ess = got[f"rss_{j}"], got[f"ess_{j}"]
+        press = None if got[f"undefined_{j}"] else got[f"press_{j}"]
+        total = yy if j == 0 else rss
+        q2 = None if press is None or not total else 1 - press / total
+        out.append((j + 1, ess / (ess + rss), q2, rss, press))
+    return out
 
 
 def vip(weights: DataFrame, moments: dict, n_features: int) -> DataFrame:
@@ -510,11 +524,11 @@ class PLSModel:
     n: float
     n_features: int
     weights: DataFrame  # feature, nnz, a, base, w1..wh
-    coefficients: list[float]
+    coefficients: list[list[float]]  # regression of the label on 1, 2, .. h components
     steps: list[list[float]]
+    offsets: list[float]  # score of a row without cells, per component
     threshold: float
     powers: DataFrame | None = None  # train ladder of the rank variants
-    diagnostics: dict | None = None
     train_rows: DataFrame | None = None  # id, y, ys, t1..th
     moments: dict | None = None
 
@@ -528,11 +542,9 @@ class PLSModel:
 
     def fit_table(self, spark: SparkSession) -> DataFrame:
         """(component, r2, q2, rss, press): how well 1..h components fit the training label."""
-        d = self.diagnostics
-        rows = [
-            (j + 1, d["r2"][j], d["q2"][j], d["rss"][j], d["press"][j])
-            for j in range(self.params.n_components)
-        ]
+        rows = fit_statistics(
+            self.train_rows, self.moments["gram"], self.coefficients, self.moments["yy"]
+        )
         return spark.createDataFrame(
             rows, "component int, r2 double, q2 double, rss double, press double"
         )
@@ -577,8 +589,7 @@ class PLSModel:
             "id",
             "left",
         )
-        offsets = table.agg(*[F.sum(F.col("base") * F.col(w)).alias(w) for w in ws[:last]]).first()
-        start = {w: offsets[w] for w in ws[:last]}
+        start = dict(zip(ws[:last], self.offsets))
         if self.params.uses_ranks and h > 1:
             out, more = self._rank_scores(cells, out, ws[1:])
             start.update(more)
@@ -620,7 +631,7 @@ class PLSModel:
 
     def predict(self, matrix: Matrix) -> DataFrame:
         """(id, label, score, y_pred): class 1 where the fitted label reaches the threshold."""
-        score = dot(self.components, self.coefficients)
+        score = dot(self.components, self.coefficients[-1])
         return self.transform(matrix).select(
             "id",
             "label",
@@ -649,7 +660,7 @@ class PLSModel:
         meta = {
             "params": asdict(self.params), "classes": self.classes, "n": self.n,
             "n_features": self.n_features, "coefficients": self.coefficients, "steps": self.steps,
-            "threshold": self.threshold, "diagnostics": self.diagnostics, "moments": self.moments,
+            "offsets": self.offsets, "threshold": self.threshold, "moments": self.moments,
             "has_powers": self.powers is not None,
         }
         spark = self.weights.sparkSession

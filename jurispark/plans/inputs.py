@@ -23,8 +23,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a quality label and their clean tokens (doc_id, label, words)."""
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    found = table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
-    return spread(found, "doc_id").select(
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return docs.join(labels, "doc_id").select(
         "doc_id", "label", T.clean_words(F.col("text")).alias("words")
     )
 

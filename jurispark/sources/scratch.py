@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,3 +31,10 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_root(spark)}/jurispark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_with(df: DataFrame, *sums: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates over the rows taken in the same pass."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *sums))
+    return table, seen.get
