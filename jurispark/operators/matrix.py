@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .skew import weighted_join
 
 
@@ -61,6 +62,10 @@ class Matrix:
         cells = df.select(F.col(f"`{row_id}`").alias("id"), F.inline(entries)).where("value <> 0")
         return Matrix(rows, cells)
 
+    def written(self) -> Matrix:
+        """The same matrix, computed once and read back from scratch tables."""
+        return Matrix(materialize(self.rows), materialize(self.cells))
+
     def split(self, marked: DataFrame, condition: Column) -> Matrix:
         """The part of the matrix whose rows (id, ...) in ``marked`` meet ``condition``."""
         rows = self.rows.join(marked.where(condition).select("id"), "id", "left_semi")

@@ -267,8 +267,9 @@ class PLS:
             )
             .where("cnt > 0")
         )
+        # Written once: the running totals read it twice, and it is the dense step.
         ranked = running_totals(
-            ladder, ["feature"], "value", ["cnt"], value_bucket(F.col("value"))
+            materialize(ladder), ["feature"], "value", ["cnt"], value_bucket(F.col("value"))
         )
         rank = F.col("cnt_before") + (F.col("cnt") + 1) / 2.0
         v = ranks.gini_rank(rank, prep.n, self.nu)

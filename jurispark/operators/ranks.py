@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import value_bucket
+from ..sources.scratch import materialize
 from .skew import running_totals, weighted_join
 
 
@@ -34,8 +35,13 @@ def value_ladder(cells: DataFrame, stats: DataFrame, n: float, sy: float) -> Dat
 
 
 def with_rank(ladder: DataFrame, value: str = "value", key: str = "feature") -> DataFrame:
-    """Add ``rank``: the mean position (from 1) of the rows that share the value."""
-    out = running_totals(ladder, [key], value, ["cnt"], value_bucket(F.col(value)))
+    """Add ``rank``: the mean position (from 1) of the rows that share the value.
+
+    The ladder is written first: the running totals read it twice, once for the sums
+    per bucket and once for the rows.
+    """
+    written = materialize(ladder)
+    out = running_totals(written, [key], value, ["cnt"], value_bucket(F.col(value)))
     return out.withColumn("rank", F.col("cnt_before") + (F.col("cnt") + 1) / 2.0).drop("cnt_before")
 
 
@@ -91,7 +97,7 @@ def new_value_ranks(
         )
     )
     totals = powers.groupBy("feature").agg(F.sum("hi").alias("hi_total"))
-    run = running_totals(both, ["feature"], "value", ["cnt", "hi", "lo"], value_bucket(F.col("value")))
+    run = running_totals(materialize(both), ["feature"], "value", ["cnt", "hi", "lo"], value_bucket(F.col("value")))
     d = F.lit(n + 2.0) - (F.col("cnt_before") + F.col("cnt") / 2.0 + 1.0)
     r = F.pow(d, F.lit(nu - 1.0))
     above = F.col("hi_total") - F.col("hi_before") - F.col("hi")

@@ -30,8 +30,9 @@ class FeatureSpace:
 
     @staticmethod
     def of(matrix: Matrix) -> FeatureSpace:
-        """Number the features of a matrix; integer features keep their order."""
-        counts = (
+        """Number the features of a matrix, in a reproducible order."""
+        # Written first: numbering reads the counts twice, the cells once.
+        counts = materialize(
             matrix.cells.where("value <> 0")
             .groupBy("feature")
             .agg(F.count(F.lit(1)).alias("nnz"))

@@ -107,8 +107,7 @@ def train_on_texts(
     """Vectorize (id, label, text), then train on the vectors."""
     vectorizer, weights = vectorize(docs, scheme=scheme, nmax=nmax)
     matrix = Matrix.from_weights(docs, weights, "id")
-    materialized = Matrix(materialize(matrix.rows), materialize(matrix.cells))
-    return vectorizer, train_on_vectors(materialized, **settings)[0]
+    return vectorizer, train_on_vectors(matrix.written(), **settings)[0]
 
 
 def apply_on_vectors(matrix: Matrix, model: PLSModel, out: str | None = None) -> DataFrame:

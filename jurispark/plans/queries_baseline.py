@@ -135,25 +135,25 @@ def pls_space_tree(spark, sf):
 @query("pls_search")
 def pls_search(spark, sf):
     """Score table of a small (nu, components) grid."""
-    m = I.matrix(spark, sf)
+    m = I.matrix(spark, sf).written()
     return search.pls_scores(m, PLS("gini"), [1.5, 2.0], [1], n_folds=2)
 
 
 @query("tree_grid_search")
 def tree_grid_search(spark, sf):
     grid = search.grid_candidates({"maxDepth": [3, 5], "minInstancesPerNode": [1, 5]})
-    return search.search_scores(I.matrix(spark, sf), "Tree", grid, n_folds=2)
+    return search.search_scores(I.matrix(spark, sf).written(), "Tree", grid, n_folds=2)
 
 
 @query("discriminant_random_search")
 def discriminant_random_search(spark, sf):
     grid = {"reg_param": [i / 100 for i in range(101)]}
     candidates = search.random_candidates(grid, n_iter=3)
-    return search.search_scores(I.matrix(spark, sf), "quadraticDA", candidates, n_folds=2)
+    return search.search_scores(I.matrix(spark, sf).written(), "quadraticDA", candidates, n_folds=2)
 
 
 @query("evaluate_grid")
 def evaluate_grid(spark, sf):
     """Metric table of two classifiers over two folds."""
-    folds = jobs.outer_folds(I.matrix(spark, sf), 2)
+    folds = jobs.outer_folds(I.matrix(spark, sf).written(), 2)
     return jobs.evaluate_grid({"raw": folds}, "embeddings", ["SklearnPLSCanonical", "GaussianNB"])

@@ -10,7 +10,7 @@ from ..operators import ranks
 from ..operators.folds import stratified_folds
 from ..operators.matrix import Matrix
 from ..operators.pls import PLS
-from ..sources.spread import spread
+from ..sources.scratch import materialize
 from . import inputs as I
 from .registry import query
 
@@ -82,7 +82,7 @@ def average_rank(part: str, value: str) -> str:
 
 
 def ranked_cells(spark, sf):
-    m = I.matrix(spark, sf)
+    m = I.matrix(spark, sf).written()
     y = m.rows.select("id", F.col("label").cast("double").alias("y"))
     totals = y.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")).first()
     cells = m.cells.where("value <> 0").join(y, "id")
@@ -282,8 +282,8 @@ def on_split(fragment: str) -> str:
 
 
 def split_matrix(spark, sf):
-    m = I.matrix(spark, sf)
-    marked = stratified_folds(m.rows, 4, "label", "id")
+    m = I.matrix(spark, sf).written()
+    marked = materialize(stratified_folds(m.rows, 4, "label", "id"))
     return m.split(marked, F.col("fold") != 0), m.split(marked, F.col("fold") == 0)
 
 

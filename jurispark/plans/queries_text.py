@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.ordering import rounded
 from ..operators import clusters, folds, lemmas, selection, terms
 from ..operators.vectorizer import Vectorizer
+from ..sources.scratch import materialize
 from . import inputs as I
 from .registry import query
 
@@ -124,7 +125,7 @@ def lemmatize(spark, sf):
         F.col("term").alias("token"),
         F.expr("left(term, length(term) - 1)").alias("lemma"),
     )
-    out = lemmas.lemmatize(docs, dictionary)
+    out = lemmas.lemmatize(docs, materialize(dictionary))
     return out.select("doc_id", F.array_join("words", " ").alias("text"))
 
 
@@ -369,7 +370,7 @@ def postings(spark, sf):
         .distinct()
         .select("term", F.expr("left(term, 1)").alias("cluster"))
     )
-    dictionary = clusters.clean_dictionary(raw, "term", "cluster")
+    dictionary = materialize(clusters.clean_dictionary(raw, "term", "cluster"))
     return clusters.cluster_postings(terms.term_counts(words, ["doc_id"]), dictionary)
 
 
