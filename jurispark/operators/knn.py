@@ -139,16 +139,21 @@ def nearest_neighbours(
         if tests.empty or trains.empty:
             return pd.DataFrame({"id": [], "train_id": [], "label": [], "distance": []})
         trains = trains.sort_values("train_id")
-        d = distances(np.stack(tests["features"].to_numpy()), np.stack(trains["features"].to_numpy()), metric)
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        width = order.shape[1]
-        flat = order.ravel()
+        x, z = np.stack(tests["features"].to_numpy()), np.stack(trains["features"].to_numpy())
+        step = max(1, 4_000_000 // len(z))  # bounds the distance table held at once
+        picks, gaps = [], []
+        for i in range(0, len(x), step):
+            d = distances(x[i : i + step], z, metric)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            picks.append(order)
+            gaps.append(np.take_along_axis(d, order, axis=1))
+        flat, width = np.concatenate(picks).ravel(), min(k, len(z))
         return pd.DataFrame(
             {
                 "id": np.repeat(tests["id"].to_numpy(), width),
                 "train_id": trains["train_id"].to_numpy()[flat],
                 "label": trains["label"].to_numpy()[flat],
-                "distance": np.take_along_axis(d, order, axis=1).ravel(),
+                "distance": np.concatenate(gaps).ravel(),
             }
         )
 

@@ -28,7 +28,10 @@ class Matrix:
     def from_arrays(df: DataFrame, row_id: str, label: Column, values: Column) -> Matrix:
         """One array per row; features are positions from 0."""
         base = df.select(F.col(row_id).alias("id"), label.alias("label"), values.alias("_values"))
-        cells = base.select("id", F.posexplode("_values").alias("feature", "value"))
+        # Outer: the inner form would evaluate the array once more, as a filter.
+        cells = base.select("id", F.posexplode_outer("_values").alias("feature", "value")).where(
+            "value is not null"
+        )
         return Matrix(base.select("id", "label"), cells)
 
     @staticmethod

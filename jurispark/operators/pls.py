@@ -54,6 +54,7 @@ class _Training:
     features: DataFrame  # feature, nnz, a, base, cov: non-constant features
     n_features: int
     ladder: DataFrame | None = None  # feature, value, cnt, sy, rank, r
+    n_values: int = 0
     rank_cells: DataFrame | None = None  # id, feature, v
     rank_form: DataFrame | None = None  # feature, a, base
 
@@ -124,7 +125,8 @@ class PLS:
                 plain = ranks.with_rank(plain).withColumn(
                     "r", ranks.gini_rank(F.col("rank"), n, self.nu)
                 )
-            prep.ladder = materialize(plain)
+            prep.ladder, seen = materialize_with(plain, F.count(F.lit(1)).alias("n"))
+            prep.n_values = seen["n"]
         if self.uses_ranks and self.n_components > 1:
             self._prepare_rank_form(prep)
         return prep
@@ -144,6 +146,7 @@ class PLS:
         found = ranks.cell_ranks(
             prep.cells.select("id", "feature", "value"),
             prep.ladder.select("feature", "value", "r", "cnt"),
+            prep.n_values,
         )
         weights = prep.features.select("feature", "nnz")
         placed = weighted_join(
@@ -391,11 +394,9 @@ class PLS:
             prep.n_features = n_kept
         powers = None
         if self.uses_ranks and self.n_components > 1:
-            powers = materialize(
-                ranks.ladder_powers(prep.ladder, prep.n, self.nu).join(
-                    features.select("feature"), "feature", "left_semi"
-                )
-            )
+            powers = ranks.ladder_powers(prep.ladder, prep.n, self.nu)
+            if self.use_vip:
+                powers = powers.join(features.select("feature"), "feature", "left_semi")
         return PLSModel(
             params=self,
             classes=prep.classes,
@@ -617,9 +618,10 @@ class PLSModel:
         base = self.weights.join(at_zero, "feature")
         offsets = base.agg(*[F.sum(F.col("r0") * F.col(w)).alias(w) for w in ws]).first()
         counted = known.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
-        placed = weighted_join(
-            known, r.join(counted, ["feature", "value"]), ["feature", "value"], "cnt", ["id"]
+        table, seen = materialize_with(
+            r.join(counted, ["feature", "value"]), F.count(F.lit(1)).alias("n")
         )
+        placed = weighted_join(known, table, ["feature", "value"], "cnt", ["id"], seen["n"])
         scored = self._with_weights(placed, base.select("feature", "nnz", "r0", *ws))
         sums = scored.groupBy("id").agg(
             *[F.sum((F.col("r") - F.col("r0")) * F.col(w)).alias(f"_{w}") for w in ws]

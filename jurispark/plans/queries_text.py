@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.ordering import rounded
 from ..operators import clusters, folds, lemmas, selection, terms
 from ..operators.vectorizer import Vectorizer
+from ..sources import readers
 from ..sources.scratch import materialize
 from . import inputs as I
 from .registry import query
@@ -50,6 +51,30 @@ def src_texts(spark, sf):
     )
 
 
+@query("src_folder", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS label, text FROM documents""")
+def src_folder(spark, sf):
+    """Id and label read off the path of each document (source/id.v1.txt)."""
+    path = F.concat(F.lit("file:/corpus/"), "source", F.lit("/"), "doc_id", F.lit(".v1.txt"))
+    fields = readers.folder_fields(path)
+    return I.table(spark, sf, "documents").select(*[c.alias(n) for n, c in fields.items()], "text")
+
+
+@query("src_cv_layout", "WITH " + I.FOLDS + """
+SELECT lang AS zone, source AS category, 4 AS n_folds, fold, 'test' AS split,
+       CAST(label AS VARCHAR) AS label, CAST(doc_id AS VARCHAR) AS doc_id
+FROM folds JOIN documents USING (doc_id)""")
+def src_cv_layout(spark, sf):
+    """Zone, category, fold, part, label and id read off the path of each document."""
+    rows = I.predictions(spark, sf).where("classifier = 'len500'")
+    path = F.format_string(
+        "file:/root/cv-%s/%s_lemma_4_folds_cv/%d/test/%s-%d/%d.txt",
+        "lang", "source", "fold", "source", "y_true", "doc_id",
+    )
+    found = rows.select(path.alias("path")).where(F.col("path").rlike(readers.CV_PATH))
+    return found.select(*[c.alias(n) for n, c in readers.cv_fields(F.col("path")).items()])
+
+
 @query("ngrams", "WITH " + I.LABELLED + """, p AS (
   SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
 g AS (

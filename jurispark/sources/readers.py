@@ -42,23 +42,32 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def folder_fields(path: Column) -> dict[str, Column]:
+    """Document id and label of a path: the file up to its first dot, and its folder."""
+    parts = F.split(path, "/")
+    return {
+        "doc_id": F.split(F.element_at(parts, -1), r"\.")[0],
+        "label": F.element_at(parts, -2),
+    }
+
+
+def cv_fields(path: Column) -> dict[str, Column]:
+    """What the path of a document in a cross-validation corpus says about it."""
+    names = ("zone", "category", "n_folds", "fold", "split", "label", "doc_id")
+    fields = {n: F.regexp_extract(path, CV_PATH, i + 1) for i, n in enumerate(names)}
+    return {n: c.cast("int") if n in ("n_folds", "fold") else c for n, c in fields.items()}
+
+
 def labelled_folder(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, label, text): the folder names the label, the file up to its first dot the id."""
-    parts = F.split("path", "/")
-    return _files(spark, root).select(
-        F.split(F.element_at(parts, -1), r"\.")[0].alias("doc_id"),
-        F.element_at(parts, -2).alias("label"),
-        "text",
-    )
+    fields = folder_fields(F.col("path"))
+    return _files(spark, root).select(*[c.alias(n) for n, c in fields.items()], "text")
 
 
 def cv_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(zone, category, n_folds, fold, split, label, doc_id, text) from the path of each file."""
-    names = ("zone", "category", "n_folds", "fold", "split", "label", "doc_id")
     found = _files(spark, root).where(F.col("path").rlike(CV_PATH))
-    fields = {n: F.regexp_extract("path", CV_PATH, i + 1) for i, n in enumerate(names)}
-    fields["n_folds"] = fields["n_folds"].cast("int")
-    fields["fold"] = fields["fold"].cast("int")
+    fields = cv_fields(F.col("path"))
     return found.select(*[c.alias(n) for n, c in fields.items()], "text")
 
 

@@ -3,7 +3,8 @@
 Iterative fits cut their lineage by writing a table below the folder the cluster
 names in ``spark.checkpoint.dir``.  A table (unlike a cached block) survives the
 loss of an executor, and its files carry sizes, so later joins are planned from
-real statistics.
+real statistics.  All tables of an application lie in one folder named after it, which
+can be removed when the application is done.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/jurispark-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/jurispark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,6 +14,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     The size is the optimizer's own estimate for the plan, so nothing is read.
     """
+    if not hasattr(df, "_jdf"):  # a Connect session keeps its plans on the server
+        return df
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > SMALL_INPUT_BYTES:
         return df
