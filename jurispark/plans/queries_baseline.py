@@ -12,7 +12,7 @@ from ..operators.registry import classifier, transformation
 from ..operators.vectorizer import Vectorizer
 from . import inputs as I
 from . import jobs
-from .queries_model import STD1, on_split, split_matrix
+from .queries_model import STD1, STD2, on_split, split_matrix
 from .registry import query
 
 SQL_DISTANCES = "WITH " + """folds AS (
@@ -85,6 +85,20 @@ def pls_canonical_predict(spark, sf):
     return out.select(F.col("id").alias("vec_id"), "y_pred")
 
 
+@query("pls_regression_predict", on_split(STD2) + """,
+s1 AS (SELECT vec_id, feature, (v - m) / sd AS z FROM cells0 JOIN st USING (feature) WHERE fold = 0),
+tt1 AS (SELECT vec_id, sum(z * w) AS t1 FROM s1 JOIN w1 USING (feature) GROUP BY vec_id),
+tt2 AS (SELECT vec_id, sum((z - t1 * b) * w) AS t2 FROM s1 JOIN tt1 USING (vec_id)
+        JOIN b1 USING (feature) JOIN w2 USING (feature) GROUP BY vec_id),
+cc AS (SELECT sum(t * ys) / sum(t * t) AS ca, sum(t2 * ys) / sum(t2 * t2) AS cb FROM t1 JOIN t2 USING (vec_id))
+SELECT vec_id, CAST(ca * t1 + cb * t2 > 0 AS INTEGER) AS y_pred FROM tt1 JOIN tt2 USING (vec_id), cc""")
+def pls_regression_predict(spark, sf):
+    """Two components, which are orthogonal: each has its own coefficient."""
+    train, test = split_matrix(spark, sf)
+    out = classifier("SklearnPLSRegression", n_components=2).fit(train).predict(test)
+    return out.select(F.col("id").alias("vec_id"), "y_pred")
+
+
 def predict_named(name, **settings):
     def run(spark, sf):
         train, test = split_matrix(spark, sf)
@@ -95,7 +109,6 @@ def predict_named(name, **settings):
 
 
 for key, name, settings in (
-    ("pls_regression_predict", "SklearnPLSRegression", {"n_components": 3}),
     ("linear_discriminant", "linearDA", {}),
     ("quadratic_discriminant", "quadraticDA", {"reg_param": 0.1}),
     ("linear_svm", "SVM", {}),

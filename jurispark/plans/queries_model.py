@@ -202,21 +202,97 @@ def pls_gini_t2(spark, sf):
     return components(fitted(spark, sf, variant="gini", n_components=2, nu=NU))
 
 
-@query("pls_logit_t2")
+# Logistic variants: Newton steps of one penalised regression per feature, unrolled.
+
+
+def determinant(m) -> str:
+    """Determinant of a matrix of SQL terms, by its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    minors = [[row[:j] + row[j + 1:] for row in m[1:]] for j in range(len(m))]
+    return " + ".join(
+        f"({'-' if j % 2 else ''}({m[0][j]}) * ({determinant(minors[j])}))" for j in range(len(m))
+    )
+
+
+def newton(source: str, columns: list[str], steps: int, name: str) -> str:
+    """CTEs ``<name>_<i>`` (feature, b0, b1, ..) after i steps on ``source`` (feature, y, columns)."""
+    xs = ["1.0e0", *columns]
+    n = range(len(xs))
+    parts = [
+        f"{name}_0 AS (SELECT DISTINCT feature, "
+        + ", ".join(f"CAST(0 AS DOUBLE) AS b{i}" for i in n) + f" FROM {source})"
+    ]
+    for step in range(steps):
+        eta = " + ".join(f"b{i} * {x}" for i, x in enumerate(xs))
+        grads = ", ".join(
+            f"sum((y - p) * {x})" + (f" - any_value(b{i})" if i else "") + f" AS g{i}"
+            for i, x in enumerate(xs)
+        )
+        hess = ", ".join(
+            f"sum(p * (1 - p) * {xs[i]} * {xs[j]})" + (" + 1" if i == j and i else "") + f" AS h{i}{j}"
+            for i in n for j in n if j >= i
+        )
+        h = [[f"h{min(i, j)}{max(i, j)}" for j in n] for i in n]
+        moves = []
+        for k in n:
+            swapped = [[f"g{i}" if j == k else h[i][j] for j in n] for i in n]
+            moves.append(f"b{k} + ({determinant(swapped)}) / ({determinant(h)}) AS b{k}")
+        olds = ", ".join(f"any_value(b{i}) AS b{i}" for i in n)
+        parts.append(
+            f"{name}_{step + 1} AS (SELECT feature, {', '.join(moves)} FROM ("
+            f"SELECT feature, {olds}, {grads}, {hess} FROM ("
+            f"SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM {source} JOIN {name}_{step} USING (feature))"
+            " GROUP BY feature))"
+        )
+    return ",\n".join(parts)
+
+
+def logit_sql(variant: str) -> str:
+    """w1, t1, w2, t2 of the logistic variants; ``x`` is what the regressions see."""
+    by_rank = variant == "logit_gini"
+    steps = 25 if by_rank else 15
+    other = "b2" if by_rank else "b1"
+    return (R if by_rank else Z) + f""",
+y AS (SELECT DISTINCT vec_id, y FROM cells),
+first AS (SELECT vec_id, feature, y, {'r' if by_rank else 'z'} AS x FROM {'r' if by_rank else 'z'} JOIN y USING (vec_id)),
+{newton('first', ['x'], steps, 'f')},
+w1 AS (SELECT feature, b1 / (SELECT sqrt(sum(b1 * b1)) FROM f_{steps}) AS w FROM f_{steps}),
+t1 AS (SELECT vec_id, ys, sum(z * w) AS t FROM z JOIN w1 USING (feature) GROUP BY vec_id, ys),
+c1 AS (SELECT sum(t * t) AS tt FROM t1),
+form AS (SELECT vec_id, feature, {'rc' if by_rank else 'z'} AS x FROM {'r' if by_rank else 'z'}),
+b1 AS (SELECT feature, sum(x * t) / any_value(tt) AS b FROM form JOIN t1 USING (vec_id), c1 GROUP BY feature),
+second AS (SELECT vec_id, feature, y, round(x - t * b, 10) AS x, t FROM form JOIN t1 USING (vec_id)
+           JOIN b1 USING (feature) JOIN y USING (vec_id)),
+{newton('second', ['x', 't'], steps, 's')},
+w2 AS (SELECT feature, b1 / (SELECT sqrt(sum(b1 * b1 + {other} * {other})) FROM s_{steps}) AS w FROM s_{steps}),
+t2 AS (SELECT vec_id, sum(x * w) AS t2 FROM second JOIN w2 USING (feature) GROUP BY vec_id)"""
+
+
+SQL_T12 = """
+SELECT vec_id, round(t, 6) + 0.0e0 AS t1, round(t2, 6) + 0.0e0 AS t2 FROM t1 JOIN t2 USING (vec_id)"""
+
+
+@query("pls_logit_t2", "WITH " + logit_sql("logit") + SQL_T12)
 def pls_logit_t2(spark, sf):
     return components(fitted(spark, sf, variant="logit", n_components=2))
 
 
-@query("pls_logit_gini_t2")
+@query("pls_logit_gini_t2", "WITH " + logit_sql("logit_gini") + SQL_T12)
 def pls_logit_gini_t2(spark, sf):
     return components(fitted(spark, sf, variant="logit_gini", n_components=2, nu=NU))
 
 
-@query("logit_w1")
+@query("logit_w1", "WITH " + logit_sql("logit") + " SELECT feature, round(w, 6) + 0.0e0 AS w1 FROM w1")
 def logit_w1(spark, sf):
     return weights(fitted(spark, sf, variant="logit", n_components=1))
 
 
+@query("logit_gini_w1", "WITH " + logit_sql("logit_gini") + " SELECT feature, round(w, 6) + 0.0e0 AS w1 FROM w1")
+def logit_gini_w1(spark, sf):
+    return weights(fitted(spark, sf, variant="logit_gini", n_components=1, nu=NU))
+
+
 @query("pls_loadings", "WITH " + STD1 + " SELECT feature, round(b, 6) + 0.0e0 AS b_t1 FROM b1")
 def pls_loadings(spark, sf):
     model = fitted(spark, sf, variant="standard", n_components=1)
@@ -359,18 +435,46 @@ def pls_logit_gini_predict(spark, sf):
     return predicted(PLS("logit_gini", 2, nu=NU).fit(train), test)
 
 
-@query("pls_text_predict")
+TEXT_SPLIT = I.FOLDS + f""",
+docs AS (SELECT doc_id, label, fold, {I.sql_clean('text')} AS words FROM folds JOIN documents USING (doc_id)),
+g AS (SELECT doc_id, label, fold, unnest(words) AS term FROM docs),
+tc AS (SELECT doc_id, label, fold, term, count(*) AS cnt FROM g GROUP BY ALL),
+nn AS (SELECT count(*) * 1.0e0 AS n, sum(label) * 1.0e0 AS n1 FROM docs WHERE fold <> 0),
+dfs AS (SELECT term, count(*) * 1.0e0 AS df, sum(label) * 1.0e0 AS a1 FROM tc WHERE fold <> 0 GROUP BY term),
+gw AS (SELECT term, abs(n * (a1 * ((n - n1) - (df - a1)) - (df - a1) * (n1 - a1))
+              / (df * (n - df) * n1 * (n - n1))) AS gweight
+       FROM dfs, nn WHERE df >= 2 AND df <> n),
+raw AS (SELECT doc_id, label, fold, term, cnt / len(words) * gweight AS w
+        FROM tc JOIN docs USING (doc_id, label, fold) JOIN gw USING (term) WHERE gweight <> 0),
+v AS (SELECT doc_id, label, fold, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS v FROM raw),
+st AS (SELECT term, sum(v) / any_value(n) AS m,
+              sqrt((sum(v * v) - sum(v) * sum(v) / any_value(n)) / (any_value(n) - 1)) AS sd,
+              (sum(v * label) - sum(v) * any_value(n1) / any_value(n)) / (any_value(n) - 1) AS cov
+       FROM v, nn WHERE fold <> 0 GROUP BY term),
+w1 AS (SELECT term, m, sd, cov / sd / (SELECT sqrt(sum(cov / sd * cov / sd)) FROM st) AS w FROM st),
+base AS (SELECT sum(m * w / sd) AS o FROM w1),
+t AS (SELECT docs.doc_id, docs.label, docs.fold, coalesce(sum(v * w / sd), 0) - any_value(o) AS t
+      FROM docs LEFT JOIN (v JOIN w1 USING (term)) x ON x.doc_id = docs.doc_id, base
+      GROUP BY docs.doc_id, docs.label, docs.fold),
+c AS (SELECT sum(t * (label - n1 / n) / sqrt(n1 * (n - n1) / (n * (n - 1)))) / sum(t * t) AS c
+      FROM t, nn WHERE fold <> 0)"""
+
+
+@query("pls_text_predict", "WITH " + TEXT_SPLIT + """
+SELECT doc_id AS id, label, round(c * t, 6) + 0.0e0 AS score, CAST(c * t >= 0 AS INTEGER) AS y_pred
+FROM t, c WHERE fold = 0""")
 def pls_text_predict(spark, sf):
-    """TF-CHI2 vectors of one train split, standard variant, predictions on the test split."""
+    """TF-CHI2 vectors learned on one train split, standard variant, applied to its test split."""
     from ..operators.vectorizer import Vectorizer
 
     docs = I.labelled(spark, sf)
     marked = stratified_folds(docs.select("doc_id", "label"), 4, "label", "doc_id")
-    placed = docs.join(marked.select("doc_id", "fold"), "doc_id")
+    placed = materialize(docs.join(marked.select("doc_id", "fold"), "doc_id"))
     train, test = placed.where("fold <> 0"), placed.where("fold = 0")
     model = Vectorizer("tfchi2", norm="l2").fit(train, words="words")
 
     def as_matrix(part):
         return Matrix.from_weights(part, model.transform(part, words="words"))
 
-    return PLS("standard", 2).fit(as_matrix(train)).predict(as_matrix(test))
+    scored = PLS("standard", 1).fit(as_matrix(train)).predict(as_matrix(test))
+    return scored.withColumn("score", rounded(F.col("score")))
