@@ -28,14 +28,14 @@ def per_class(
     zero = F.lit(0).cast("long")
     hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(zero)
     sides = F.array(
-        F.struct(F.col("y_true").alias("class"), F.col("n").alias("t"), zero.alias("p"), hit.alias("h")),
-        F.struct(F.col("y_pred").alias("class"), zero.alias("t"), F.col("n").alias("p"), zero.alias("h")),
+        F.struct(F.col("y_true").alias("class"), F.col("n").alias("_t"), zero.alias("_p"), hit.alias("_h")),
+        F.struct(F.col("y_pred").alias("class"), zero.alias("_t"), F.col("n").alias("_p"), zero.alias("_h")),
     )
     counts = (
         confusion(preds, by, y_true, y_pred)
         .select(*by, F.inline(sides))
         .groupBy(*by, "class")
-        .agg(F.sum("t").alias("n_true"), F.sum("p").alias("n_pred"), F.sum("h").alias("n_hit"))
+        .agg(F.sum("_t").alias("n_true"), F.sum("_p").alias("n_pred"), F.sum("_h").alias("n_hit"))
     )
 
     def ratio(a: Column, b: Column) -> Column:

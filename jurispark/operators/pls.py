@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -538,6 +538,52 @@ class PLSModel:
     def components(self) -> list[str]:
         return [f"t{j + 1}" for j in range(self.params.n_components)]
 
+    def first(self, h: int) -> PLSModel:
+        """The model with the first ``h`` components only.
+
+        Components do not depend on how many follow, so this equals a fit with ``h``
+        (unless features were eliminated).
+        """
+        if not 1 <= h <= self.params.n_components:
+            raise ValueError(f"need 1 to {self.params.n_components} components, got {h}")
+        m = dict(self.moments)
+        m["gram"] = [row[:h] for row in m["gram"][:h]]
+        m["ty"], m["means"] = m["ty"][:h], m["means"][:h]
+        later = [f"w{j + 1}" for j in range(h, self.params.n_components)]
+        dropped = [f"t{j + 1}" for j in range(h, self.params.n_components)]
+        return replace(
+            self,
+            params=replace(self.params, n_components=h),
+            weights=self.weights.drop(*later),
+            coefficients=self.coefficients[:h],
+            steps=[row[:h] for row in self.steps[:h]],
+            offsets=self.offsets[:h],
+            threshold=float(np.dot(self.coefficients[h - 1], m["means"])),
+            train_rows=self.train_rows and self.train_rows.drop(*dropped),
+            moments=m,
+        )
+
+    def component_scores(self, matrix: Matrix) -> dict[int, float]:
+        """{h: macro F1} of the models with 1..h components, from one projection."""
+        from .metrics import per_class
+
+        means = self.moments["means"]
+        choices = []
+        for j, c in enumerate(self.coefficients):
+            reached = dot(self.components[: j + 1], c) >= float(np.dot(c, means[: j + 1]))
+            choices.append(
+                F.struct(F.lit(j + 1).alias("h"), reached.cast("int").alias("y_pred"))
+            )
+        table = self.transform(matrix).select(
+            (F.col("label") == F.lit(self.classes[1])).cast("int").alias("y_true"),
+            F.inline(F.array(*choices)),
+        )
+        rows = per_class(table, ["h"]).where("class in (0, 1)").collect()
+        return {
+            j + 1: sum(r["f1"] for r in rows if r["h"] == j + 1) / 2.0
+            for j in range(self.params.n_components)
+        }
+
     def vip(self) -> DataFrame:
         """Importance of the features the model kept."""
         return vip(self.weights, self.moments, self.n_features)

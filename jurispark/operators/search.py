@@ -79,19 +79,42 @@ def pls_scores(
     only_first: bool = False,
     seed: int = 0,
 ) -> DataFrame:
-    """(nu, n_comp, fold, score): macro F1 of every setting on every inner fold."""
-    grid = [{"nu": float(nu), "n_comp": int(h)} for nu in nu_range for h in n_components_range]
+    """(nu, n_comp, fold, score): macro F1 of every setting on every inner fold.
 
-    def fit_and_score(setting, train, test):
-        chosen = replace(params, nu=setting["nu"], n_components=setting["n_comp"])
-        return chosen.fit(train).score(test)
+    Numbers of components share their first components, so each (nu, fold) is fitted
+    once, with the largest number, and scored for all; only with variable elimination,
+    or if that fit fails, are they fitted one by one.
+    """
+    splits = inner_splits(matrix, n_folds, seed, only_first)
+    sizes = [int(h) for h in n_components_range]
+
+    def one_by_one(nu, train, test):
+        scores = {}
+        for h in sizes:
+            try:
+                scores[h] = replace(params, nu=nu, n_components=h).fit(train).score(test)
+            except Exception:  # one bad setting must not end the search
+                log.exception("nu=%s, n_components=%s failed", nu, h)
+        return scores
 
-    return score_settings(
-        matrix.rows.sparkSession,
-        inner_splits(matrix, n_folds, seed, only_first),
-        grid,
-        fit_and_score,
-        "nu double, n_comp int",
+    def run(task):
+        nu, (fold, train, test) = task
+        scores = None
+        if not params.use_vip and len(sizes) > 1:
+            try:
+                largest = replace(params, nu=nu, n_components=max(sizes)).fit(train)
+                scores = largest.component_scores(test)
+            except Exception:
+                log.exception("nu=%s failed with %s components", nu, max(sizes))
+        if scores is None:
+            scores = one_by_one(nu, train, test)
+        return [(nu, h, fold, scores.get(h)) for h in sizes]
+
+    tasks = list(itertools.product([float(nu) for nu in nu_range], splits))
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        rows = [row for found in pool.map(run, tasks) for row in found]
+    return matrix.rows.sparkSession.createDataFrame(
+        rows, "nu double, n_comp int, fold int, score double"
     )
 
 
@@ -113,10 +136,11 @@ def select_pls_two_stage(
 ) -> tuple[float, int]:
     """Best nu at the smallest number of components, then the best number at that nu.
 
-    The cost is the sum of both ranges instead of their product.
+    The cost is the sum of both ranges instead of their product.  Variants without
+    ranks do not depend on nu: all values tie and the first one wins.
     """
     nu = float(nu_range[0])
-    if len(nu_range) > 1:
+    if len(nu_range) > 1 and params.uses_ranks:
         nu, _ = select_pls(matrix, params, nu_range, [min(n_components_range)], **settings)
     h = int(n_components_range[0])
     if len(n_components_range) > 1:

@@ -143,3 +143,15 @@ def test_model_round_trip(spark, tmp_path):
     test = as_matrix(spark, TEST, TEST_Y)
     assert sorted(model.predict(test).collect()) == sorted(again.predict(test).collect())
     assert 0.0 <= again.score(test) <= 1.0
+
+
+@pytest.mark.parametrize("variant", ["standard", "gini"])
+def test_first_components_equal_a_smaller_fit(spark, variant):
+    X, y = tied_matrix(7)
+    train, test = as_matrix(spark, X, y), as_matrix(spark, *tied_matrix(8, n=15))
+    large = PLS(variant, 3, nu=1.5).fit(train)
+    small = PLS(variant, 2, nu=1.5).fit(train)
+    a = sorted(large.first(2).predict(test).collect(), key=lambda r: r["id"])
+    b = sorted(small.predict(test).collect(), key=lambda r: r["id"])
+    np.testing.assert_allclose([r["score"] for r in a], [r["score"] for r in b], atol=1e-9)
+    assert large.component_scores(test)[2] == pytest.approx(small.score(test))
