@@ -155,3 +155,16 @@ def test_first_components_equal_a_smaller_fit(spark, variant):
     b = sorted(small.predict(test).collect(), key=lambda r: r["id"])
     np.testing.assert_allclose([r["score"] for r in a], [r["score"] for r in b], atol=1e-9)
     assert large.component_scores(test)[2] == pytest.approx(small.score(test))
+
+
+@pytest.mark.parametrize("variant,tol", [("standard", 1e-8), ("gini", 1e-8), ("logit_gini", 1e-6)])
+def test_without_broadcasts(spark, monkeypatch, variant, tol):
+    """The joins used for models too large to broadcast, with keys cut into slices."""
+    from jurispark.operators import pls, skew
+
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(pls, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(skew, "ROWS_PER_SLICE", 5)
+    X, y = tied_matrix(9, n=30, k=5)
+    Xt, yt = tied_matrix(10, n=8, k=5)
+    check(spark, X, y, Xt, yt, variant, 2, 1.7, tol)

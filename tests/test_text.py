@@ -135,3 +135,14 @@ def test_cluster_lines_are_cut_but_whole(spark):
     assert len(lines) > 1
     entries = [e for r in lines for e in r["postings"].split(":")]
     assert sorted(entries) == sorted(f"{i}-{i + 1}" for i in range(50))
+
+
+def test_weights_without_broadcasts(docs, monkeypatch):
+    from jurispark.operators import skew
+
+    want = sorted(Vectorizer("tfidf").fit_transform(docs).collect())
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(skew, "ROWS_PER_SLICE", 1)
+    got = sorted(Vectorizer("tfidf").fit_transform(docs).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r["weight"] for r in got] == pytest.approx([r["weight"] for r in want])
