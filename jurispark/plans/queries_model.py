@@ -411,7 +411,8 @@ def gini_test_rank(spark, sf):
     )
 
 
-@query("pls_gini_predict", on_split(GINI2) + TEST_RANKS + """,
+# Scores of two components fitted on the train part, applied to the test part.
+TWO_COMPONENTS = TEST_RANKS + """,
 tt1 AS (SELECT vec_id, sum((v - m) / sd * w) AS t1 FROM te JOIN st USING (feature) JOIN w1 USING (feature)
         GROUP BY vec_id),
 tt2 AS (SELECT vec_id, sum((rang - t1 * b) * w) AS t2 FROM rang JOIN tt1 USING (vec_id)
@@ -423,13 +424,16 @@ cc AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ca, (by_ * aa - ay *
               ma, mb FROM mm)
 SELECT vec_id, round(ca * t1 + cb * t2, 6) + 0.0e0 AS score,
        CAST(ca * t1 + cb * t2 >= ca * ma + cb * mb AS INTEGER) AS y_pred
-FROM tt1 JOIN tt2 USING (vec_id), cc""")
+FROM tt1 JOIN tt2 USING (vec_id), cc"""
+
+
+@query("pls_gini_predict", on_split(GINI2) + TWO_COMPONENTS)
 def pls_gini_predict(spark, sf):
     train, test = split_matrix(spark, sf)
     return predicted(PLS("gini", 2, nu=NU).fit(train), test)
 
 
-@query("pls_logit_gini_predict")
+@query("pls_logit_gini_predict", on_split(logit_sql("logit_gini")) + TWO_COMPONENTS)
 def pls_logit_gini_predict(spark, sf):
     train, test = split_matrix(spark, sf)
     return predicted(PLS("logit_gini", 2, nu=NU).fit(train), test)
