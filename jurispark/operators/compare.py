@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Classifier names of the four partial-least-squares variants.
-PLS_CLASSIFIERS = ("OurStandardPLS", "OurGiniPLS", "OurLogitPLS", "OurGiniLogitPLS")
+# Registry names of the four partial-least-squares variants.
+PLS_CLASSIFIERS = ("pls_standard", "pls_gini", "pls_logit", "pls_logit_gini")
 # Names of the local and global weights a grid of vectorizations spans.
 LOCAL_WEIGHTS = ("TP", "TF", "LOGTF", "ATF", "LOGAVE", "AVERAGELocals")
 GLOBAL_WEIGHTS = (

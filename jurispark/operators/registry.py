@@ -11,7 +11,7 @@ from . import mllib
 from .bayes import BernoulliBayes
 from .discriminant import Discriminant
 from .knn import Neighbours
-from .matrix import Matrix, feature_stats
+from .matrix import Matrix
 from .pls import PLS, PLSModel
 
 # Settings the named variants use when none are given.
@@ -95,12 +95,12 @@ CLASSIFIERS = {
     "Tree": lambda **s: mllib.MLlibClassifier(mllib.decision_tree, s),
     "RandomForest": lambda **s: mllib.MLlibClassifier(mllib.random_forest, s),
     "ExtraTrees": lambda **s: mllib.MLlibClassifier(mllib.extra_trees, s),
-    "OurStandardPLS": lambda **s: pls("standard", **s),
-    "OurGiniPLS": lambda **s: pls("gini", **s),
-    "OurLogitPLS": lambda **s: pls("logit", **s),
-    "OurGiniLogitPLS": lambda **s: pls("logit_gini", **s),
-    "SklearnPLSCanonical": lambda **s: PLSRegressionClassifier(canonical=True, **s),
-    "SklearnPLSRegression": lambda **s: PLSRegressionClassifier(**s),
+    "pls_standard": lambda **s: pls("standard", **s),
+    "pls_gini": lambda **s: pls("gini", **s),
+    "pls_logit": lambda **s: pls("logit", **s),
+    "pls_logit_gini": lambda **s: pls("logit_gini", **s),
+    "pls_canonical": lambda **s: PLSRegressionClassifier(canonical=True, **s),
+    "pls_regression": lambda **s: PLSRegressionClassifier(**s),
 }
 
 TRANSFORMATIONS = {
@@ -108,12 +108,12 @@ TRANSFORMATIONS = {
     "latentDA": lambda **s: mllib.Topics(**s),
     "linearDA": CLASSIFIERS["linearDA"],
     "quadraticDA": CLASSIFIERS["quadraticDA"],
-    "OurStandardPLS": CLASSIFIERS["OurStandardPLS"],
-    "OurGiniPLS": CLASSIFIERS["OurGiniPLS"],
-    "OurLogitPLS": CLASSIFIERS["OurLogitPLS"],
-    "OurGiniLogitPLS": CLASSIFIERS["OurGiniLogitPLS"],
-    "SklearnPLSCanonical": CLASSIFIERS["SklearnPLSCanonical"],
-    "SklearnPLSRegression": CLASSIFIERS["SklearnPLSRegression"],
+    "pls_standard": CLASSIFIERS["pls_standard"],
+    "pls_gini": CLASSIFIERS["pls_gini"],
+    "pls_logit": CLASSIFIERS["pls_logit"],
+    "pls_logit_gini": CLASSIFIERS["pls_logit_gini"],
+    "pls_canonical": CLASSIFIERS["pls_canonical"],
+    "pls_regression": CLASSIFIERS["pls_regression"],
 }
 
 
@@ -133,4 +133,4 @@ def transformation(name: str, matrix: Matrix | None = None, **settings):
     return TRANSFORMATIONS[name](**settings)
 
 
-__all__ = ["CLASSIFIERS", "TRANSFORMATIONS", "classifier", "transformation", "feature_stats"]
+__all__ = ["CLASSIFIERS", "TRANSFORMATIONS", "classifier", "transformation"]

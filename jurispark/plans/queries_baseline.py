@@ -81,7 +81,7 @@ SELECT vec_id, CAST(sum((v - m) / sd * w) > 0 AS INTEGER) AS y_pred
 FROM cells0 JOIN st USING (feature) JOIN w1 USING (feature) WHERE fold = 0 GROUP BY vec_id""")
 def pls_canonical_predict(spark, sf):
     train, test = split_matrix(spark, sf)
-    out = classifier("SklearnPLSCanonical").fit(train).predict(test)
+    out = classifier("pls_canonical").fit(train).predict(test)
     return out.select(F.col("id").alias("vec_id"), "y_pred")
 
 
@@ -95,7 +95,7 @@ SELECT vec_id, CAST(ca * t1 + cb * t2 > 0 AS INTEGER) AS y_pred FROM tt1 JOIN tt
 def pls_regression_predict(spark, sf):
     """Two components, which are orthogonal: each has its own coefficient."""
     train, test = split_matrix(spark, sf)
-    out = classifier("SklearnPLSRegression", n_components=2).fit(train).predict(test)
+    out = classifier("pls_regression", n_components=2).fit(train).predict(test)
     return out.select(F.col("id").alias("vec_id"), "y_pred")
 
 
@@ -140,7 +140,7 @@ def topic_terms(spark, sf):
 def pls_space_tree(spark, sf):
     """A decision tree on the components of a partial-least-squares model."""
     train, test = split_matrix(spark, sf)
-    space = transformation("OurStandardPLS").fit(train)
+    space = transformation("pls_standard").fit(train)
     out = classifier("Tree", maxDepth=5).fit(space.transform(train)).predict(space.transform(test))
     return out.select(F.col("id").alias("vec_id"), "label", "y_pred")
 
@@ -169,4 +169,4 @@ def discriminant_random_search(spark, sf):
 def evaluate_grid(spark, sf):
     """Metric table of two classifiers over two folds."""
     folds = jobs.outer_folds(I.matrix(spark, sf).written(), 2)
-    return jobs.evaluate_grid({"raw": folds}, "embeddings", ["SklearnPLSCanonical", "GaussianNB"])
+    return jobs.evaluate_grid({"raw": folds}, "embeddings", ["pls_canonical", "GaussianNB"])

@@ -83,8 +83,8 @@ def test_parameter_choice(spark):
 
 def test_best_config(spark):
     rows = [
-        ("z1", "v", "Tree", "a", 0.5), ("z1", "v", "Tree", "b", 0.9), ("z1", "v", "OurGiniPLS", "a", 0.6),
-        ("z1", "v", "OurGiniPLS", "b", 0.6), ("z2", "v", "OurGiniPLS", "a", 0.1), ("z2", "v", "OurGiniPLS", "b", 0.2),
+        ("z1", "v", "Tree", "a", 0.5), ("z1", "v", "Tree", "b", 0.9), ("z1", "v", "pls_gini", "a", 0.6),
+        ("z1", "v", "pls_gini", "b", 0.6), ("z2", "v", "pls_gini", "a", 0.1), ("z2", "v", "pls_gini", "b", 0.2),
     ]
     scores = spark.createDataFrame(rows, "zone string, vectorization string, classifier string, category string, score double")
     config = ["zone", "vectorization", "classifier"]
@@ -94,5 +94,5 @@ def test_best_config(spark):
     average = top[("Average", "Tree")]
     assert (average["rank"], average["worst_category"], average["best_category"]) == (1, "a", "b")
     assert average["stability"] == pytest.approx(0.4)
-    assert top[("Average", "OurGiniPLS")]["gap_to_best"] == pytest.approx(0.1)
-    assert top[("a", "OurGiniPLS")]["rank"] == 1
+    assert top[("Average", "pls_gini")]["gap_to_best"] == pytest.approx(0.1)
+    assert top[("a", "pls_gini")]["rank"] == 1

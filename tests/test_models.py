@@ -57,7 +57,7 @@ def test_votes(spark):
 
 @pytest.mark.parametrize(
     "name", ["linearDA", "quadraticDA", "GaussianNB", "KNN", "SVM", "Tree", "RandomForest", "ExtraTrees",
-             "OurStandardPLS", "SklearnPLSCanonical", "SklearnPLSRegression"],
+             "pls_standard", "pls_canonical", "pls_regression"],
 )
 def test_classifiers_beat_the_majority(spark, name):
     train, test = as_matrix(spark, *blobs(0, 90)), as_matrix(spark, *blobs(1, 45))
@@ -155,7 +155,7 @@ def test_dataset_and_grid_jobs(spark, tmp_path):
         (f, *[read_vectors(spark, str(tmp_path / f"ds/vectors/scheme=tfidf/cv={f}/split={s}")) for s in ("train", "test")])
         for f in range(2)
     ]
-    names = ["SklearnPLSCanonical", "GaussianNB"]
+    names = ["pls_canonical", "GaussianNB"]
     table = jobs.evaluate_grid({"tfidf": folds}, "acpa", names, cache=str(tmp_path / "cache"), balance=True)
     first = sorted(table.collect())
     again = jobs.evaluate_grid({"tfidf": folds}, "acpa", names, cache=str(tmp_path / "cache"))
