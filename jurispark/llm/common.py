@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_root
+
 # Fixed by the contracts: a word is a run of bytes other than space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,3 +33,15 @@ def held_out(doc_id: Column) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's place below the shared scratch folder."""
+    return f"{scratch_root(spark)}/jurispark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file (the operators take the path as a parameter)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

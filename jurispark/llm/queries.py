@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing
+from . import common, mixing, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,14 @@ def op10(spark, sf):
     return mixing.mix(common.documents(spark, sf)).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+@query("op3_token_store")
+def op3(spark, sf):
+    folder = common.scratch_folder(spark, "tokens")
+    token_store.write_tokens(
+        common.documents(spark, sf), folder, common.tokenizer_path("byte_bpe_50k.json")
+    )
+    return token_store.read_tokens(spark, folder, with_ids=False).withColumnRenamed(
+        "row_id", "doc_id"
+    )
