@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, token_store
+from . import common, mixing, sentencepieces, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,9 @@ def op3(spark, sf):
     return token_store.read_tokens(spark, folder, with_ids=False).withColumnRenamed(
         "row_id", "doc_id"
     )
+
+
+@query("op2_sentencepiece")
+def op2(spark, sf):
+    model = common.tokenizer_path("piece_bpe_32k.model")
+    return sentencepieces.digests(sentencepieces.encode(common.documents(spark, sf), model))
