@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, sentencepieces, token_store
+from . import common, mixing, sentencepieces, simhash, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op3(spark, sf):
 def op2(spark, sf):
     model = common.tokenizer_path("piece_bpe_32k.model")
     return sentencepieces.digests(sentencepieces.encode(common.documents(spark, sf), model))
+
+
+@query("op9_simhash")
+def op9(spark, sf):
+    return simhash.near_duplicates(common.documents(spark, sf))
