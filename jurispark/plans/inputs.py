@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.folds import stratified_folds
 from ..operators.matrix import Matrix
+from ..shipping import ship_package
 from ..sources.spread import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .shipping import ship_package
+
 # Adaptive execution picks join strategies from real sizes, splits skewed join
 # partitions and coalesces small ones.  Nothing here pins a partition count.
 SETTINGS = {
@@ -22,4 +24,6 @@ def get_session(app: str = "jurispark", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
