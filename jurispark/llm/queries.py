@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, sentencepieces, simhash, token_store
+from . import common, mixing, sentencepieces, simhash, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op2(spark, sf):
 @query("op9_simhash")
 def op9(spark, sf):
     return simhash.near_duplicates(common.documents(spark, sf))
+
+
+@query("op8_toxicity")
+def op8(spark, sf):
+    return toxicity.toxicity(common.documents(spark, sf), common.table(spark, sf, "labels"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .perfect_hash import PerfectHash, fingerprints
 
 MAGIC = b"JSTOK\x01\x00\x00"
-MAX_CACHED = 400_000  # words whose ids a worker remembers
+MAX_CACHED = 600_000  # words whose ids a worker remembers
 MAX_CACHED_LENGTH = 64
 INNER_CUT = re.compile(r"(?= \S)")
 SPACE_RUN = re.compile(r" \s")
@@ -65,6 +65,10 @@ class ByteEncoder:
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
         )
+        # Byte 0x20 is written as U+0120 (fixed); a word has it in front of its first piece only.
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.opens_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens_word[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.first: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
@@ -80,13 +84,28 @@ class ByteEncoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def words(self, words: list[str], at_a_time: int = 1_000) -> list[bytes]:
+        """Raw ids of each word after a space.  The library gets many words as one text, and
+        the pieces that begin with the space show where one word ends and the next begins."""
+        width, out = self.dtype.itemsize, []
+        groups = [words[i : i + at_a_time] for i in range(0, len(words), at_a_time)]
+        for raw in self.whole([" " + " ".join(g) for g in groups]):
+            at = np.flatnonzero(self.opens_word[np.frombuffer(raw, self.dtype)]) * width
+            ends = [*at[1:].tolist(), len(raw)]
+            out += [raw[a:b] for a, b in zip(at.tolist(), ends, strict=True)]
+        return out
+
     def _learn(self, cache: dict[str, bytes], words: set[str], prefix: str) -> list[str]:
         """Put the ids of all ``words`` into ``cache``; returns those too long to stay there."""
         new = [w for w in words if w not in cache]
         if len(cache) + len(new) > MAX_CACHED:
             cache.clear()
             new = list(words)
-        cache.update(zip(new, self.whole([prefix + w for w in new]), strict=True))
+        if prefix:
+            plain = [w for w in new if w and " " not in w and not w[0].isspace()]
+            cache.update(zip(plain, self.words(plain), strict=True))
+        rest = [w for w in new if w not in cache]
+        cache.update(zip(rest, self.whole([prefix + w for w in rest]), strict=True))
         return [w for w in new if len(w) > MAX_CACHED_LENGTH]
 
     def encode(self, texts: list[str]) -> list[bytes]:
