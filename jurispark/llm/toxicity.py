@@ -32,6 +32,7 @@ MIN_TOXIC_TEXTS = 5  # texts a word must occur in to become a voter
 MIN_LIFT = 25.0  # times more frequent in toxic texts
 MIN_EVIDENCE = 40.0  # log-likelihood ratio: chance among a hundred million terms
 PREFIX = 5
+MIN_CORRELATION = 0.3
 THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
@@ -52,28 +53,35 @@ def pattern_counts(text: str | None) -> list[int]:
 
 
 def without_copies(texts: DataFrame) -> DataFrame:
-    """One row of those that share the smallest hash of their word 5-shingles.
+    """``texts`` (doc_id, text, ...) without near copies of rows with a smaller id.
 
-    Copies and most near copies of a text share it; each would count as evidence of its own.
-    ``texts`` has doc_id and text.
+    A row goes if it shares any of four smallest hashes of word 5-shingles with such a row.
+    Copies would otherwise count as evidence of their own for every word in them.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        mixers = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 w = (text or "").lower().split()
                 grams = (" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-                out.append(min(xxhash.xxh64_intdigest(g) for g in grams) >> 1)
-            sig = pa.array(out, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sig], ["doc_id", "sig"])
+                h = np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)
+                out += [int((h * m).min() >> np.uint64(1)) for m in mixers]
+            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(batch)), 4)))
+            which = pa.array(np.tile(np.arange(4, dtype=np.int32), len(batch)))
+            yield pa.RecordBatch.from_arrays(
+                [ids, which, pa.array(out, pa.int64())], ["doc_id", "which", "sig"]
+            )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    signed = texts.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, sig long")
-    kept = signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return texts.join(kept, "doc_id", "left_semi")
+    signed = texts.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, which int, sig long")
+    signed = materialize(signed)
+    least = signed.groupBy("which", "sig").agg(F.min("doc_id").alias("least"))
+    later = signed.join(least, ["which", "sig"]).where("doc_id > least").select("doc_id")
+    return texts.join(later, "doc_id", "left_anti")
 
 
 def find_terms(texts: DataFrame, limit: int = MAX_VOTERS) -> list[str]:
@@ -151,12 +159,13 @@ class Voters:
         return np.hstack([hits, n >= 2, n == 0, (n == 0) & long]).astype(np.float64)
 
     def features(self, counts: np.ndarray) -> np.ndarray:
-        """Inputs of the linear classifier: damped counts, distinct terms, their share, one."""
+        """Inputs of the linear classifier: damped counts, any and how many terms, their share, one."""
         n = counts[:, : len(self.terms)]
         words = np.maximum(counts[:, -1:], 1)
         return np.hstack(
             [
                 np.log1p(counts[:, :-1]),
+                (n > 0).any(axis=1, keepdims=True),
                 np.log1p((n > 0).sum(axis=1, keepdims=True)),
                 np.log1p(100 * n.sum(axis=1, keepdims=True) / words),
                 np.ones((len(counts), 1)),
@@ -204,8 +213,8 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 2, steps
         spread = np.sqrt(np.maximum((rest**2).mean(axis=0), 1e-9))
         correlations = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
         positive = np.maximum(correlations - np.eye(k), 0)
-        # Only what stands out of sampling noise counts as correlation.
-        positive[positive < 4 / np.sqrt(len(rest))] = 0
+        # Voters that merely meet more often in long texts are no copies of one another.
+        positive[positive < max(MIN_CORRELATION, 4 / np.sqrt(len(rest)))] = 0
         discount = 1 / (1 + positive.sum(axis=1))
     return LabelModel(prior, rates, correlations, discount)
 
