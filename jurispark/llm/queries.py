@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, sentencepieces, simhash, token_store, toxicity
+from . import common, language, mixing, sentencepieces, simhash, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op9(spark, sf):
 @query("op8_toxicity")
 def op8(spark, sf):
     return toxicity.toxicity(common.documents(spark, sf), common.table(spark, sf, "labels"))
+
+
+@query("op4_language")
+def op4(spark, sf):
+    return language.identify(common.documents(spark, sf))
