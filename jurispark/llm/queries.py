@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language, mixing, sentencepieces, simhash, token_store, toxicity
+from . import common, language, mixing, pseudo_likelihood, sentencepieces, simhash, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,10 @@ def op8(spark, sf):
 @query("op4_language")
 def op4(spark, sf):
     return language.identify(common.documents(spark, sf))
+
+
+@query("op5_pseudo_likelihood")
+def op5(spark, sf):
+    docs = common.documents(spark, sf)
+    net = pseudo_likelihood.fit(docs)
+    return pseudo_likelihood.score(docs.select("doc_id", "text"), net).drop("text")
