@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, language, mixing, pseudo_likelihood, sentencepieces, simhash, token_store, toxicity
+from . import common, language, maxscore, mixing, multi_index, pseudo_likelihood, sentencepieces, simhash, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +67,15 @@ def op5(spark, sf):
     docs = common.documents(spark, sf)
     net = pseudo_likelihood.fit(docs)
     return pseudo_likelihood.score(docs.select("doc_id", "text"), net).drop("text")
+
+
+@query("op1_multi_index")
+def op1(spark, sf):
+    vectors = common.table(spark, sf, "embeddings")
+    return multi_index.search(vectors, F.col("id") % 20 == 0, 20)
+
+
+@query("op6_maxscore", maxscore.SQL)
+def op6(spark, sf):
+    vectors = common.table(spark, sf, "embeddings")
+    return maxscore.search(vectors, F.col("id") % 100 == 0, 10)
