@@ -47,3 +47,11 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def written(df: DataFrame, codec: str) -> DataFrame:
+    """Write ``df`` once to the scratch folder with the given compression and read it back."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, "table")
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

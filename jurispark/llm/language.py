@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .common import held_out
 
 WINDOW = 128
@@ -32,6 +33,7 @@ BATCH = 64
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 AT_A_TIME = 1024  # windows
+MAX_BROADCAST = 100_000  # sampled rows (an id and a language) sent to all executors
 
 
 def windows(texts: list[str | None], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +171,9 @@ def fit(
     )
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("language")), "doc_id")
     ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order))
-    chosen = ids.where(F.col("n") <= max_texts).select("doc_id", "lang")
+    chosen = materialize(ids.where(F.col("n") <= max_texts).select("doc_id", "lang"))
+    if chosen.count() <= MAX_BROADCAST:
+        chosen = F.broadcast(chosen)
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "lang")
     got = texts.mapInArrow(cut, "window binary, lang string").toPandas()
     if not len(got):

@@ -138,6 +138,50 @@ def fraction_cut(sized: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def sized_rows(docs: DataFrame, row_id: str, text: str, source: str, seed: int, *keep: str) -> DataFrame:
+    """(row_id, source, size, key) of each row, and the columns ``keep``."""
+    return docs.select(
+        F.col(row_id).alias("row_id"),
+        F.col(source).alias("source"),
+        word_count(F.col(text)).alias("size"),
+        order_key(F.col(row_id), seed).alias("key"),
+        *[F.col(c).alias(f"c_{c}") for c in keep],
+    )
+
+
+def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row per source: source_size, target, whole repetitions, and the cut of the extra one."""
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    choice = F.array(*[F.lit(w) for w in weights])
+    ranked = numbered(sums).withColumn(
+        "weight", choice[(F.col("rank") % len(weights)).cast("int")]
+    )
+    filled = fill(materialize(ranked), max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
+    sources = materialize(
+        filled.withColumn("whole", F.coalesce(whole, F.lit(0))).withColumn(
+            "rest", F.col("target") - F.col("whole") * F.col("source_size")
+        )
+    )
+    cuts = fraction_cut(sized, sources.where("rest > 0"))
+    return materialize(
+        sources.alias("s")
+        .join(cuts.alias("c"), F.expr("s.source <=> c.source"), "left")
+        .select("s.source", "source_size", "target", "whole", "cut")
+    )
+
+
+def with_repeats(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """Join rows with the plan of their source and add ``repeats``."""
+    place = F.struct(F.col("d.key").alias("key"), F.col("d.size").alias("size"))
+    extra = F.coalesce(place <= F.col("p.cut"), F.lit(False))
+    return (
+        sized.alias("d")
+        .join(sources.alias("p"), F.expr("d.source <=> p.source"))
+        .withColumn("repeats", F.col("p.whole") + extra.cast("int"))
+    )
+
+
 def mix(
     docs: DataFrame,
     row_id: str = "doc_id",
@@ -159,49 +203,40 @@ def mix(
     count as often as they occur and, being tied in the order, share their decision.  Columns
     besides the three named ones are ignored, whatever their names.
     """
-    sized = materialize(
-        docs.select(
-            F.col(row_id).alias("row_id"),
-            F.col(source).alias("source"),
-            word_count(F.col(text)).alias("size"),
-            order_key(F.col(row_id), seed).alias("key"),
-        )
-    )
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    choice = F.array(*[F.lit(w) for w in weights])
-    ranked = numbered(sums).withColumn(
-        "weight", choice[(F.col("rank") % len(weights)).cast("int")]
-    )
-    filled = fill(materialize(ranked), max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
-    sources = materialize(
-        filled.withColumn("whole", F.coalesce(whole, F.lit(0))).withColumn(
-            "rest", F.col("target") - F.col("whole") * F.col("source_size")
-        )
-    )
-    cuts = fraction_cut(sized, sources.where("rest > 0"))
-    plan = materialize(
-        sources.alias("s")
-        .join(cuts.alias("c"), F.expr("s.source <=> c.source"), "left")
-        .select("s.source", "source_size", "target", "whole", "cut")
-    )
-    extra = F.coalesce(
-        F.struct(F.col("d.key").alias("key"), F.col("d.size").alias("size")) <= F.col("p.cut"),
-        F.lit(False),
+    sized = materialize(sized_rows(docs, row_id, text, source, seed))
+    return with_repeats(sized, plan(sized, weights, max_epochs)).select(
+        F.col("d.row_id").alias(row_id),
+        F.col("d.size").alias("size"),
+        F.col("d.source").alias("source"),
+        "source_size",
+        "target",
+        (F.col("d.size") * F.col("repeats")).alias("taken"),
+        "repeats",
     )
+
+
+def repeated(
+    docs: DataFrame,
+    row_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = SEED,
+) -> DataFrame:
+    """The mix itself: each row of ``docs``, all columns, as often as ``mix`` repeats it.
+
+    Rows without words take no part.  Texts are not shuffled, only joined with the sources.
+    """
+    sized = materialize(sized_rows(docs, row_id, text, source, seed))
+    sources = plan(sized, weights, max_epochs)
+    rows = sized_rows(docs, row_id, text, source, seed, *docs.columns).where("size > 0")
+    turns = F.sequence(F.lit(1), F.col("repeats").cast("int"))
     return (
-        sized.alias("d")
-        .join(plan.alias("p"), F.expr("d.source <=> p.source"))
-        .withColumn("repeats", F.col("p.whole") + extra.cast("int"))
-        .select(
-            F.col("d.row_id").alias(row_id),
-            F.col("d.size").alias("size"),
-            F.col("d.source").alias("source"),
-            "source_size",
-            "target",
-            (F.col("d.size") * F.col("repeats")).alias("taken"),
-            "repeats",
-        )
+        with_repeats(rows, sources)
+        .where("repeats > 0")
+        .withColumn("_turn", F.explode(turns))
+        .select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
     )
 
 

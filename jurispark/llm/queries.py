@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language, maxscore, mixing, multi_index, pseudo_likelihood, sentencepieces, simhash, token_store, toxicity
+from . import common, language, maxscore, mixing, multi_index, pseudo_likelihood, sentencepieces, simhash, substrings, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,10 @@ def op1(spark, sf):
 def op6(spark, sf):
     vectors = common.table(spark, sf, "embeddings")
     return maxscore.search(vectors, F.col("id") % 100 == 0, 10)
+
+
+@query("op7_substrings", substrings.SQL)
+def op7(spark, sf):
+    return substrings.deduplicate(common.documents(spark, sf)).select(
+        "doc_id", "n_words", "n_removed", common.sha256(F.col("kept")).alias("kept_sha256")
+    )

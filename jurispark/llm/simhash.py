@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,24 +125,15 @@ def links(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     )
 
 
-def near_duplicates(
-    docs: DataFrame, row_id: str = "doc_id", text: str = "text", segments: int = SEGMENTS
-) -> DataFrame:
-    """Per row: (row_id, fingerprint, component_id, links).
+def classes(marked: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(fp, root, component_id, links) per distinct fingerprint of ``marked`` (row_id, fp).
 
-    Rows are linked if their fingerprints differ in at most 2 bits; ``component_id`` is the
-    smallest row id that can be reached, the row's own included.  ``fingerprint`` is 16 hex
-    digits; ``links`` is the number of links of its fingerprint to others.
-
-    NULL and empty texts have fingerprint zero and are linked like any other.  Rows with a NULL
-    id belong to the component of their fingerprint; a component of only such rows has a NULL
-    id.  Repeated rows are kept.  Columns besides the two named ones are ignored.
+    ``root`` names the component, ``component_id`` is its smallest row id.
     """
-    marked = materialize(fingerprints(docs, row_id, text))
-    classes = materialize(marked.groupBy("fp").agg(F.min("row_id").alias("first")))
-    edges = materialize(links(classes, segments))
+    distinct = materialize(marked.groupBy("fp").agg(F.min("row_id").alias("first")))
+    edges = materialize(links(distinct, segments))
     roots = components(edges)
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select(
+    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -150,14 +142,54 @@ def near_duplicates(
         .groupBy("fp")
         .agg(F.count(F.lit(1)).alias("links"))
     )
-    table = materialize(
+    return materialize(
         grouped.join(least, "root")
         .join(degree, "fp", "left")
-        .select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+        .select("fp", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     )
-    return marked.join(table, "fp").select(
+
+
+def near_duplicates(
+    docs: DataFrame, row_id: str = "doc_id", text: str = "text", segments: int = SEGMENTS
+) -> DataFrame:
+    """Per row: (row_id, fingerprint, component_id, links).
+
+    Rows are linked if their fingerprints differ in at most 2 bits; ``component_id`` is the
+    smallest row id that can be reached, the row's own included.  ``fingerprint`` is 16 hex
+    digits; ``links`` is the number of links of its fingerprint to others.
+
+    NULL and empty texts have fingerprint zero and are linked like any other.  Rows with a NULL
+    id belong to the component of their fingerprint; a component of only such rows has a NULL
+    id.  Repeated rows are kept.  Columns besides the two named ones are ignored.
+    """
+    marked = materialize(fingerprints(docs, row_id, text))
+    return marked.join(classes(marked, segments), "fp").select(
         F.col("row_id").alias(row_id),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         "links",
     )
+
+
+def one_of_each(
+    docs: DataFrame, row_id: str = "doc_id", text: str = "text", segments: int = SEGMENTS
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: the one with the
+    smallest id; of rows with that same id one; of a component without ids one row."""
+    marked = materialize(fingerprints(docs, row_id, text))
+    found = classes(marked, segments)
+    kept = found.where("component_id IS NOT NULL").select(F.col("component_id").alias(row_id)).distinct()
+    named = docs.join(kept, row_id, "left_semi").dropDuplicates([row_id])
+
+    def signed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    signed = F.pandas_udf(signed, "long")
+    bare = (
+        docs.where(F.col(row_id).isNull())
+        .withColumn("_fp", signed(F.col(text)))
+        .join(found.where("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root")), "_fp")
+        .dropDuplicates(["_root"])
+        .drop("_fp", "_root")
+    )
+    return named.unionAll(bare.select(*docs.columns))

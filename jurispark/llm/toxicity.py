@@ -269,7 +269,9 @@ def fit(
     known_rows = known.count()
     keep = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
     sample = known.where(keep < int(np.ceil(1e6 * min(1.0, max_labelled / max(known_rows, 1)))))
-    rows = materialize(docs.select("doc_id", "text").join(sample, "doc_id"))
+    # The sample is bounded by a parameter, so sending it to all executors is safe and spares
+    # a shuffle of all texts.
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     texts = materialize(without_copies(rows).select("text", "label"))
     voters = Voters(find_terms(texts, max_voters))
     if not voters.terms:
