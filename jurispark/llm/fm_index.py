@@ -16,8 +16,8 @@ class BitVector:
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8")
-        counts = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.cumsum(counts) - counts
+        counts = np.bitwise_count(self.words).astype(np.int32)
+        self.before = np.cumsum(counts, dtype=np.int32) - counts
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         """Set bits before each place."""
@@ -35,13 +35,13 @@ class WaveletMatrix:
             on = (sequence >> bit & 1).astype(bool)
             self.levels.append((bit, BitVector(on), int(len(on) - on.sum())))
             sequence = np.concatenate([sequence[~on], sequence[on]])
-        zero = np.zeros(symbols, np.int64)
-        self.start = self._place(np.arange(symbols), zero)
+        zero = np.zeros(symbols, np.int32)
+        self.start = self._place(np.arange(symbols, dtype=np.int32), zero)
 
     def _place(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for bit, vector, zeros in self.levels:
             ones = vector.ones(at)
-            at = np.where(symbol >> bit & 1, zeros + ones, at - ones)
+            at = np.where(symbol & (1 << bit), ones + np.int32(zeros), at - ones)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -74,16 +74,18 @@ class FMIndex:
         sizes = np.array([len(s) for s in sequences], np.int64)
         # One separator (symbol 0) after each sequence; words are shifted by one.
         self.starts = np.cumsum(sizes + 1) - (sizes + 1)
-        self.text = np.zeros(int((sizes + 1).sum()), np.int64)
+        # Places and symbols of a shard fit 32 bits.
+        self.text = np.zeros(int((sizes + 1).sum()), np.int32)
         inside = np.ones(len(self.text), bool)
         inside[self.starts + sizes] = False
         if len(sequences):
             self.text[inside] = np.concatenate(sequences) + 1
         # For the order, each separator is a symbol of its own: a suffix ends with it.
-        ranks = np.where(inside, self.text + len(sizes), np.cumsum(~inside) - 1)
+        ranks = np.where(inside, self.text.astype(np.int64) + len(sizes), np.cumsum(~inside) - 1)
         ranks = np.unique(ranks, return_inverse=True)[1].astype(np.int64)
         order = suffix_order(ranks, int(sizes.max(initial=0)) + 1)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=words + 1))])
+        counts = np.bincount(self.text, minlength=words + 1)
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         self.matrix = WaveletMatrix(self.text[order - 1], words + 1)
 
     def intervals(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,9 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
 from .common import written
 from .fm_index import FMIndex
 
@@ -32,6 +32,8 @@ WINDOW = 20
 GRAM = 6
 HOT_SPANS = 1_000  # spans of one minimizer beyond which they are cut into windows
 SPANS_PER_SHARD = 40_000
+MAX_WAITING = 300_000  # spans that a task holds before it sends them
+BLOCKS = "shard int, block binary, doc long, th int, start int, many int"
 GROUP = 4_000_000  # bytes of text looked at together
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIXER = np.uint64(0xBF58476D1CE4E5B9)
@@ -183,123 +185,161 @@ def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.mapInArrow(run, "doc long, th int, h long, part long")
 
 
-def candidate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, s, span, doc, th, start, many, hot): spans whose minimizer occurs again, as words.
+def candidate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int]:
+    """(shard, block, doc, th, start, many), and the number of shards.
 
-    ``s`` is the hash of the words.  Spans of a hot minimizer come as single windows under the
-    hash of the window.
+    A row is either a run of windows known to be repeats (``block`` NULL), or a block of spans for
+    a shard: of equal spans that a task has seen only the earliest is sent, the later ones are
+    repeats of it.  Spans of a hot minimizer are sent as single windows, under the hash of the
+    window.  A block is compressed as a whole.
     """
-    found = occurrences(docs, window)
     weight = F.lit(1) + F.col("part").bitwiseAND(F.lit(1).cast("long"))
-    again = materialize(
-        found.groupBy("h")
-        .agg(F.sum(weight).alias("n"), F.count(F.lit(1)).alias("c"))
+    same = W.partitionBy("h")
+    marked = written(
+        occurrences(docs, window)
+        .withColumn("n", F.sum(weight).over(same))
+        .withColumn("hot", F.count(F.lit(1)).over(same) > HOT_SPANS)
         .where("n > 1")
-        .select("h", (F.col("c") > HOT_SPANS).alias("hot"))
-    )
-    marked = (
-        found.join(again, "h")
         .groupBy("doc", "th")
-        .agg(F.collect_set(F.struct("h", "part", "hot")).alias("spans"))
+        .agg(F.collect_set(F.struct("h", "part", "hot")).alias("spans")),
+        "zstd",
     )
+    total = marked.agg(F.sum(F.size("spans"))).first()[0] or 0
+    shards = max(1, -(-total // SPANS_PER_SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["h", "s", "span", "doc", "th", "start", "many", "hot"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-
-        def signed(raw: bytes, seed: int) -> int:
-            return xxhash.xxh64_intdigest(raw, seed) - 2**63
+        seen: dict[tuple[int, bytes], tuple] = {}  # (minimizer, words) -> earliest place
+        again: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            parts: dict[int, list[tuple]] = {}
+            for (h, raw), (key, many) in seen.items():
+                parts.setdefault(h % shards, []).append((key, raw))
+            seen.clear()
+            for shard, rows in parts.items():
+                yield _rows([(shard, _block(rows), None, None, None, None)])
+            for i in range(0, len(again), 50_000):
+                yield _rows([(None, None, *r) for r in again[i : i + 50_000]])
+            again.clear()
+
+        def add(h: int, raw: bytes, key: tuple, many: int) -> None:
+            old = seen.get((h, raw))
+            if old is None or key < old[0]:
+                seen[h, raw] = key, many
+                key, many = old or (None, 0)
+            if key is not None and key != seen[h, raw][0]:
+                again.append((*key[1:], many))
 
         for batch in batches:
-            rows: list[tuple] = []
             for row in batch.to_pylist():
                 w = words_of(_plain(row["z"]))
-                key = row["doc"], row["th"]
                 for x in row["spans"]:
                     start, many = x["part"] >> 32, (x["part"] & 0xFFFFFFFF) >> 1
+                    place = row["doc"] is not None, row["doc"], row["th"]
                     if x["hot"]:
                         for i in range(start, start + many):
                             raw = b" ".join(w[i : i + window])
-                            rows.append((signed(raw, 1), signed(raw, 2), raw, *key, i, 1, True))
+                            add(xxhash.xxh64_intdigest(raw) >> 1, raw, (*place, i), 1)
                     else:
                         raw = b" ".join(w[start : start + many + window - 1])
-                        rows.append((x["h"], signed(raw, 2), raw, *key, start, many, False))
-                if len(rows) > 10_000:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names
-                    )
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names
-                )
+                        add(x["h"], raw, (*place, start), many)
+            if len(seen) + len(again) > MAX_WAITING:
+                yield from flush()
+        yield from flush()
 
     z = _compressed(docs)
     both = z.alias("z").join(marked.alias("m"), _same("z", "m"))
-    return both.select("z.doc", "z.th", "z.z", "m.spans").mapInArrow(
-        run,
-        "h long, s long, span binary, doc long, th int, start int, many int, hot boolean",
+    found = both.select("z.doc", "z.th", "z.z", "m.spans").mapInArrow(run, BLOCKS)
+    return written(found, "none"), shards
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+        ["shard", "block", "doc", "th", "start", "many"],
+    )
+
+
+def _block(rows: list[tuple[tuple, bytes]]) -> bytes:
+    """Spans with their places, in document order, as one compressed block."""
+    import zstandard
+
+    rows.sort(key=lambda r: r[0])
+    named = np.array([k[0] for k, _ in rows], "<i1")
+    doc = np.array([k[1] or 0 for k, _ in rows], "<i8")
+    th, start = (np.array([k[i] for k, _ in rows], "<i4") for i in (2, 3))
+    raw = b"".join(
+        [len(rows).to_bytes(8, "little"), named.tobytes(), doc.tobytes(), th.tobytes(), start.tobytes()]
     )
+    return zstandard.ZstdCompressor(level=3).compress(raw + b"\n".join(r for _, r in rows))
+
+
+def _unblock(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for kind in ("<i1", "<i8", "<i4", "<i4"):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return *out, raw[at:].split(b"\n")  # a word holds no line feed
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, th, start, many): runs of windows that also occur earlier."""
-    # Neighbouring spans overlap by most of their words, so in document order they pack well.
-    all_spans = written(candidate_spans(docs, window), "zstd")
-    distinct = (
-        all_spans.groupBy("h", "s")
-        .agg(
-            F.min(F.struct("doc", "th", "start")).alias("f"),
-            F.count(F.lit(1)).alias("n"),
-            F.first("span").alias("span"),
-            F.first("hot").alias("hot"),
-        )
-        .where("NOT hot OR n > 1")
-        .select("h", "s", "f.doc", "f.th", "f.start", "span")
-    )
-    distinct = written(distinct, "zstd")
+    found, shards = candidate_spans(docs, window)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # one shard
-        if not table.num_rows:
-            return
-        doc, th, start = (table.column(c).to_pylist() for c in ("doc", "th", "start"))
-        texts = [x.split(b" ") for x in table.column("span").to_pylist()]
-        # Document order: NULL ids first.  Places in different documents do not mix.
-        keys = [(d is not None, d or 0, t) for d, t in zip(doc, th, strict=True)]
-        rank = {k: i for i, k in enumerate(sorted(set(keys)))}
-        order = np.array([rank[k] << 32 | s for k, s in zip(keys, start, strict=True)], np.int64)
-        found = list(repeated_windows(texts, order, window))
-        at = pa.array([i for i, _ in found], pa.int64())
-        begin = pa.array([start[i] + o for i, o in found], pa.int32())
-        one = pa.array(np.ones(len(found), np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [
-                table.column("doc").combine_chunks().take(at),
-                table.column("th").combine_chunks().take(at),
-                begin,
-                one,
-            ],
-            ["doc", "th", "start", "many"],
-        )
-
-    shards = max(1, -(-distinct.count() // SPANS_PER_SHARD))
-    from_index = (
-        distinct.select("h", "doc", "th", "start", "span")
-        .repartition(shards, "h")
-        .select("doc", "th", "start", "span")
+        blocks: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                blocks.setdefault(row["shard"], []).append(row["block"])
+        for shard in blocks.values():
+            opened = [_unblock(b) for b in shard]
+            named, doc, th, start = (np.concatenate([o[i] for o in opened]) for i in range(4))
+            spans = [t for o in opened for t in o[4]]
+            order = np.lexsort((start, th, doc, named))  # document order, NULL ids first
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(doc[order]) != 0) | (np.diff(th[order]) != 0) | (np.diff(named[order]) != 0)
+            place = np.empty(len(order), np.int64)
+            place[order] = (np.cumsum(new) - 1) << 32 | start[order]
+            # Equal spans from different tasks: the earliest is indexed.
+            first: dict[bytes, int] = {}
+            later = []
+            for i in order.tolist():
+                if spans[i] in first:
+                    if place[first[spans[i]]] != place[i]:  # not the same row again
+                        later.append(i)
+                else:
+                    first[spans[i]] = i
+            kept = np.array(list(first.values()))
+            words = [spans[i].split(b" ") for i in kept]
+            hits = list(repeated_windows(words, place[kept], window))
+            at = np.array(later + [int(kept[i]) for i, _ in hits], np.int64)
+            begin = start[at] + np.array([0] * len(later) + [o for _, o in hits], np.int32)
+            many = [len(spans[i].split(b" ")) - window + 1 for i in later] + [1] * len(hits)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(doc[at], mask=named[at] == 0),
+                    pa.array(th[at]),
+                    pa.array(begin.astype(np.int32)),
+                    pa.array(many, pa.int32()),
+                ],
+                ["doc", "th", "start", "many"],
+            )
+
+    indexed = (
+        found.where("block IS NOT NULL")
+        .select("shard", "block")
+        .repartition(shards, "shard")
         .mapInArrow(search, "doc long, th int, start int, many int")
     )
-    later = (
-        all_spans.select("h", "s", "doc", "th", "start", "many")
-        .alias("a")
-        .join(distinct.select("h", "s", "doc", "th", "start").alias("d"), ["h", "s"])
-        .where(F.expr("NOT (a.doc <=> d.doc AND a.th = d.th AND a.start = d.start)"))
-        .select("a.doc", "a.th", "a.start", "a.many")
-    )
-    return from_index.unionAll(later)
+    known = found.where("block IS NULL").select("doc", "th", "start", "many")
+    return indexed.unionAll(known)
 
 
 def deduplicate(
