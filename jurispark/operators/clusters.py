@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import salted_join
+from .skew import row_numbers, salted_join
+
+ID_RANGE = 65_536  # ids per numbered range
 
 
 def clean_dictionary(raw: DataFrame, word: str, cluster: str, position: str | None = None) -> DataFrame:
@@ -45,17 +47,15 @@ def cluster_index(postings: DataFrame) -> DataFrame:
 
 
 def posting_lines(postings: DataFrame, doc_id: str = "doc_id", docs_per_line: int = 10_000) -> DataFrame:
-    """Text form ``doc-n:doc-n`` of the postings, in lines of bounded length.
+    """Text form ``doc-n:doc-n`` of the postings: line ``part`` of a cluster holds its documents
+    number ``part * docs_per_line`` and following, in the order of their (integer) ids.
 
-    The documents of a cluster are cut by hash into as many parts as its document
-    count asks for, so no row has to hold a whole posting list.
+    The documents are numbered inside ranges of ids, so no task holds a whole posting list.
     """
-    parts = postings.groupBy("cluster").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(docs_per_line)).cast("int").alias("_parts")
-    )
+    ranges = F.floor(F.col(doc_id) / F.lit(ID_RANGE))
     return (
-        postings.join(parts, "cluster")
-        .withColumn("part", F.pmod(F.xxhash64(doc_id), F.col("_parts")).cast("int"))
+        row_numbers(postings, ["cluster"], [doc_id], ranges, "_rn")
+        .withColumn("part", F.floor((F.col("_rn") - 1) / docs_per_line).cast("int"))
         .groupBy("cluster", "part")
         .agg(F.sort_array(F.collect_list(F.struct(doc_id, "n"))).alias("_p"))
         .select(

@@ -50,7 +50,7 @@ class Discriminant:
 
     def fit(self, matrix: Matrix) -> DiscriminantModel:
         space = FeatureSpace.of(matrix)
-        moments = class_moments(materialize(space.vectors(matrix)))
+        moments = class_moments(space.vectors(matrix))
         n = sum(m[1] for m in moments)
         size = space.size
         if self.kind == "linear":

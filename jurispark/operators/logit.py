@@ -7,6 +7,8 @@ squared length of the coefficients; the intercept is free.
 
 from __future__ import annotations
 
+import warnings
+
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -36,6 +38,14 @@ def _newton_step(size: int):
     return step
 
 
+def settled(result: tuple[DataFrame, bool]) -> DataFrame:
+    """The fits of ``grouped_logistic``; warns if its steps did not settle."""
+    fitted, done = result
+    if not done:
+        warnings.warn("logistic fits did not settle within the allowed steps", stacklevel=3)
+    return fitted
+
+
 def grouped_logistic(
     features: DataFrame,
     observations: Callable[[DataFrame], DataFrame],

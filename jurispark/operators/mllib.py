@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.ml import Estimator
@@ -14,12 +15,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, scratch_path
 from .matrix import Matrix
 from .skew import weighted_join
 from .terms import distinct_labels
@@ -50,6 +51,17 @@ def linear_svm(**settings) -> LinearSVC:
     return LinearSVC(**{"maxIter": 50, **settings})
 
 
+def stored(model):
+    """The model written to the scratch folder and read back.
+
+    A fitted model may hold a summary of its training, and with it the training data; what is
+    read back holds coefficients only, so the tasks that score with it stay small.
+    """
+    path = scratch_path(SparkSession.active())
+    model.write().save(path)
+    return type(model).load(path)
+
+
 @dataclass(frozen=True)
 class MLlibClassifier:
     """Wrap an MLlib classifier; labels are encoded as their sorted position."""
@@ -61,13 +73,11 @@ class MLlibClassifier:
         classes = distinct_labels(matrix.rows)
         space = FeatureSpace.of(matrix)
         names = F.array(*[F.lit(c) for c in classes])
-        vectors = materialize(
-            space.vectors(matrix).select(
-                (F.array_position(names, F.col("label")) - 1).cast("double").alias("label"),
-                "features",
-            )
+        vectors = space.vectors(matrix).select(
+            (F.array_position(names, F.col("label")) - 1).cast("double").alias("label"),
+            "features",
         )
-        return MLlibModel(self.make(**(self.settings or {})).fit(vectors), space, classes)
+        return MLlibModel(stored(self.make(**(self.settings or {})).fit(vectors)), space, classes)
 
 
 @dataclass(frozen=True)
@@ -99,9 +109,10 @@ class LatentSemantics:
 
     def fit(self, matrix: Matrix) -> LatentSemanticsModel:
         space = FeatureSpace.of(matrix)
-        vectors = materialize(space.vectors(matrix))
+        vectors = space.vectors(matrix)
         k = min(self.n_components, space.size)
-        rows = vectors.select("features").rdd.map(lambda r: OldVectors.fromML(r[0]))
+        old = MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features")
+        rows = old.rdd.map(itemgetter(0))
         svd = RowMatrix(rows, numCols=space.size).computeSVD(k)
         names = [f"s{j + 1}" for j in range(k)]
         directions = pd.DataFrame(svd.V.toArray(), columns=names).assign(fidx=range(space.size))
@@ -146,7 +157,7 @@ class Topics:
         lda = LDA(
             k=self.n_components, maxIter=self.max_iter, optimizer="online", learningOffset=50.0, seed=0
         )
-        return TopicsModel(lda.fit(materialize(space.vectors(matrix))), space)
+        return TopicsModel(stored(lda.fit(space.vectors(matrix))), space)
 
 
 @dataclass(frozen=True)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import value_bucket
 from ..sources.scratch import materialize, materialize_with
 from . import ranks
-from .logit import grouped_logistic
+from .logit import grouped_logistic, settled
 from .matrix import Matrix, stats_of_cells
 from .skew import BROADCAST_ROWS, running_totals, weighted_join
 
@@ -178,9 +178,9 @@ class PLS:
         def observations(params: DataFrame) -> DataFrame:
             return self._with_features(ladder, params, prep, weight=False).withColumn("z", z)
 
-        fitted, _ = grouped_logistic(
+        fitted = settled(grouped_logistic(
             features.select("feature", "a", "base"), observations, [F.col("z")]
-        )
+        ))
         return fitted.select("feature", F.col("beta")[1].alias("w"))
 
     def _next_weights(
@@ -202,11 +202,11 @@ class PLS:
             def observations(params: DataFrame) -> DataFrame:
                 return self._residuals(prep, rows, cells, params, ts)
 
-            fitted, _ = grouped_logistic(
+            fitted = settled(grouped_logistic(
                 loads.select("feature", "fidx", "nnz", "a", "base", *[f"b_{t}" for t in ts]),
                 observations,
                 [F.col("res"), *[F.col(t) for t in ts]],
-            )
+            ))
             second = F.col("beta")[1] if self.variant == "logit" else F.col("beta")[2]
             raw = fitted.select("feature", F.col("beta")[1].alias("w"), second.alias("w_extra"))
         return loads.join(raw, "feature")

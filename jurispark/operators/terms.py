@@ -48,7 +48,8 @@ def term_counts(
     Counted inside the row: sort the n-grams, find where runs start, and take the
     distances between starts.  No shuffle.
     """
-    runs = docs.select(*keep, F.sort_array(ngrams).alias("_sorted")).withColumn(
+    # NULL elements are no terms: they neither count nor start a run.
+    runs = docs.select(*keep, F.sort_array(F.array_compact(ngrams)).alias("_sorted")).withColumn(
         "_starts",
         F.filter(
             F.sequence(F.lit(0), F.size("_sorted") - 1),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordering import shuffle_bucket, shuffle_key
 from ..sources.scratch import materialize
@@ -15,10 +16,26 @@ from .matrix import Matrix
 from .skew import row_numbers, weighted_join
 
 
-@F.udf(VectorUDT())
-def _sparse(size, entries):
-    """One sparse vector from sorted (index, value) pairs."""
-    return Vectors.sparse(size, [(e[0], e[1]) for e in entries or []])
+# Fixed value: the stored form of a sparse MLlib vector has type 0.
+SPARSE = 0
+
+
+def as_vectors(rows: DataFrame, size: int, entries: str, name: str = "features") -> DataFrame:
+    """Turn sorted (fidx, value) arrays into sparse vectors, without Python in the tasks.
+
+    The stored form of a vector is a struct; it is written as such and read as a vector.
+    NULL arrays become zero vectors.
+    """
+    pairs = F.coalesce(F.col(entries), F.array().cast("array<struct<fidx:int,value:double>>"))
+    stored = F.struct(
+        F.lit(SPARSE).cast("tinyint").alias("type"),
+        F.lit(size).alias("size"),
+        F.transform(pairs, lambda e: e["fidx"].cast("int")).alias("indices"),
+        F.transform(pairs, lambda e: e["value"].cast("double")).alias("values"),
+    )
+    table = rows.select(*[c for c in rows.columns if c != entries], stored.alias(name))
+    fields = [T.StructField(f.name, VectorUDT() if f.name == name else f.dataType) for f in table.schema]
+    return materialize(table, T.StructType(fields))
 
 
 @dataclass(frozen=True)
@@ -50,11 +67,12 @@ class FeatureSpace:
             matrix.cells.where("value <> 0"), self.index, ["feature"], "nnz", ["id"], self.size
         )
         rows = placed.groupBy("id").agg(
-            F.sort_array(F.collect_list(F.struct("fidx", F.col("value").cast("double")))).alias("_e")
-        )
-        return matrix.rows.join(rows, "id", "left").select(
-            "id", "label", _sparse(F.lit(self.size), "_e").alias("features")
+            F.sort_array(
+                F.collect_list(F.struct("fidx", F.col("value").cast("double").alias("value")))
+            ).alias("_e")
         )
+        joined = matrix.rows.join(rows, "id", "left").select("id", "label", "_e")
+        return as_vectors(joined, self.size, "_e")
 
     def arrays(self, matrix: Matrix) -> DataFrame:
         """(id, label, features) with dense arrays."""

@@ -31,6 +31,17 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with their clean tokens (doc_id, words)."""
+    return documents(spark, sf).select("doc_id", T.clean_words(F.col("text")).alias("words"))
+
+
+def all_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with their clean tokens, and the quality label of those that have one."""
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return texts(spark, sf).join(labels, "doc_id", "left").select("doc_id", "label", "words")
+
+
 def matrix(spark: SparkSession, sf: str) -> Matrix:
     """Embedding vectors with a 0/1 label, as rows and cells."""
     return Matrix.from_arrays(
@@ -93,16 +104,22 @@ LABELLED = f"""docs AS (
   SELECT doc_id, quality AS label, {sql_clean('text')} AS words
   FROM documents JOIN labels USING (doc_id))"""
 
-# Unigrams of labelled documents with the number of n-grams of each document.
-COUNTS = LABELLED + """, grams AS (SELECT doc_id, label, unnest(words) AS term FROM docs),
+# All documents, labelled or not.
+TEXTS = LABELLED.replace("JOIN labels", "LEFT JOIN labels")
+
+# Unigrams of the documents with the number of n-grams of each document.
+_COUNTS = """, grams AS (SELECT doc_id, label, unnest(words) AS term FROM docs),
 tc AS (SELECT doc_id, label, term, count(*) AS cnt FROM grams GROUP BY ALL),
 sizes AS (SELECT doc_id, len(words) AS size FROM docs),
 nd AS (SELECT count(*) AS n FROM docs),
 dfs AS (SELECT term, count(*) AS df FROM tc GROUP BY term)"""
 
-IDF = COUNTS + """, idf AS (
+_IDF = """, idf AS (
   SELECT term, df, ln(n / df) AS gweight FROM dfs, nd WHERE df >= 2 AND df <> n)"""
 
+COUNTS, IDF = LABELLED + _COUNTS, LABELLED + _COUNTS + _IDF
+TEXT_COUNTS, TEXT_IDF = TEXTS + _COUNTS, TEXTS + _COUNTS + _IDF
+
 FOLDS = """rn AS (
   SELECT doc_id, quality AS label,
          row_number() OVER (PARTITION BY quality ORDER BY md5('0:' || doc_id), doc_id) AS r

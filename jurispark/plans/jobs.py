@@ -16,6 +16,7 @@ from ..operators.pls import PLS, PLSModel
 from ..operators.registry import classifier, transformation
 from ..operators.search import COMPONENTS_RANGE, NU_RANGE, SEARCH_FOLDS, fit_pls_with_search
 from ..operators.selection import balance_classes
+from ..operators.terms import distinct_labels
 from ..operators.vectorizer import Vectorizer, VectorizerModel
 from ..sources import readers, writers
 from ..sources.scratch import materialize
@@ -151,10 +152,13 @@ def balanced(matrix: Matrix, seed: int = 0) -> Matrix:
     return Matrix(rows, matrix.cells.join(rows.select("id"), "id", "left_semi"))
 
 
-def encoded(preds: DataFrame, label: str = "label") -> DataFrame:
-    """(id, label, y_pred) with string classes to 0/1 codes (y_true, y_pred)."""
-    names = preds.select(F.col(label).cast("string").alias("c")).distinct()
-    ordered = names.agg(F.array_sort(F.collect_set("c"))).scalar()
+def encoded(preds: DataFrame, classes: Sequence, label: str = "label") -> DataFrame:
+    """(id, label, y_pred) with classes to codes (y_true, y_pred): positions in ``classes``.
+
+    ``classes`` are those of the training rows, sorted, so a test part that lacks a class gets
+    the same codes as any other.  A class that training has not seen is -1.
+    """
+    ordered = F.array(*[F.lit(str(c)) for c in sorted(classes)])
 
     def code(c: str):
         return (F.array_position(ordered, F.col(c).cast("string")) - 1).cast("int")
@@ -171,7 +175,8 @@ def predict_config(
     if space:
         fitted = transformation(space, train).fit(train)
         train, test = fitted.transform(train), fitted.transform(test)
-    return encoded(classifier(clf, **settings).fit(train).predict(test))
+    classes = distinct_labels(train.rows)
+    return encoded(classifier(clf, **settings).fit(train).predict(test), classes)
 
 
 def evaluate_grid(

@@ -122,7 +122,7 @@ for key, name, settings in (
 @query("lsa_transform")
 def lsa_transform(spark, sf):
     """Documents in the space of the first singular vectors of their TF-IDF weights."""
-    docs = I.labelled(spark, sf)
+    docs = I.all_labelled(spark, sf)
     weights = Vectorizer("tfidf", norm="l2", df_min=5).fit(docs, words="words").transform(docs, words="words")
     m = I.Matrix.from_weights(docs, weights)
     return LatentSemantics(5).fit(m).transform(m).cells
@@ -130,10 +130,10 @@ def lsa_transform(spark, sf):
 
 @query("topic_terms")
 def topic_terms(spark, sf):
-    """Heaviest terms of each topic of the labelled documents."""
-    docs = I.labelled(spark, sf)
+    """Heaviest terms of each topic of all documents."""
+    docs = I.all_labelled(spark, sf)
     weights = Vectorizer("tfidf", norm="l2", df_min=5).fit(docs, words="words").transform(docs, words="words")
-    return Topics(4, max_iter=10).fit(I.Matrix.from_weights(docs, weights)).top_terms(10)
+    return Topics(4, max_iter=100).fit(I.Matrix.from_weights(docs, weights)).top_terms(10)
 
 
 @query("pls_space_tree")

@@ -40,11 +40,11 @@ def clean_tokens(spark, sf):
 @query("src_texts", f"""
 SELECT CAST(doc_id AS VARCHAR) AS id, CAST(quality AS VARCHAR) AS label,
        trim(regexp_replace(text, '{I.WS}', ' ', 'g')) AS text
-FROM documents JOIN labels USING (doc_id)""")
+FROM documents LEFT JOIN labels USING (doc_id)""")
 def src_texts(spark, sf):
     labels = I.table(spark, sf, "labels")
     docs = I.table(spark, sf, "documents")
-    return docs.join(labels, "doc_id").select(
+    return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("quality").cast("string").alias("label"),
         T.collapse_whitespace(F.col("text")).alias("text"),
@@ -75,7 +75,7 @@ def src_cv_layout(spark, sf):
     return found.select(*[c.alias(n) for n, c in readers.cv_fields(F.col("path")).items()])
 
 
-@query("ngrams", "WITH " + I.LABELLED + """, p AS (
+@query("ngrams", "WITH " + I.TEXTS + """, p AS (
   SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
 g AS (
   SELECT w AS term FROM p
@@ -83,8 +83,8 @@ g AS (
   SELECT w || ' ' || nw FROM (
     SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nw FROM p) WHERE nw IS NOT NULL)
 SELECT term, count(*) AS n FROM g GROUP BY term""")
-def ngrams(spark, sf):
-    grams = terms.with_ngrams(I.labelled(spark, sf), nmin=1, nmax=2, words="words")
+def ntext_grams(spark, sf):
+    grams = terms.with_ngrams(I.texts(spark, sf), nmin=1, nmax=2, words="words")
     return (
         terms.explode_terms(grams, [], F.col("ngrams"))
         .groupBy("term")
@@ -133,7 +133,7 @@ def decision_key(spark, sf):
 
 
 # Dictionary of the lemma queries: tokens that end in s, without it.
-SQL_LEMMAS = I.LABELLED + """, tok AS (SELECT DISTINCT unnest(words) AS token FROM docs),
+SQL_LEMMAS = I.TEXTS + """, tok AS (SELECT DISTINCT unnest(words) AS token FROM docs),
 lem AS (SELECT token, left(token, length(token) - 1) AS lemma FROM tok
         WHERE token LIKE '%s' AND length(token) > 1)"""
 
@@ -144,7 +144,7 @@ j AS (SELECT doc_id, i, coalesce(lemma, p.token) AS w FROM p LEFT JOIN lem USING
 a AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM j GROUP BY doc_id)
 SELECT doc_id, coalesce(text, '') AS text FROM docs LEFT JOIN a USING (doc_id)""")
 def lemmatize(spark, sf):
-    docs = I.labelled(spark, sf)
+    docs = I.texts(spark, sf)
     tokens = terms.explode_terms(docs, [], F.array_distinct("words")).distinct()
     dictionary = tokens.where(F.col("term").endswith("s") & (F.length("term") > 1)).select(
         F.col("term").alias("token"),
@@ -157,37 +157,37 @@ def lemmatize(spark, sf):
 # --- term statistics -------------------------------------------------------------
 
 
-def grams(spark, sf):
-    return I.labelled(spark, sf).withColumnRenamed("words", "ngrams")
+def text_grams(spark, sf):
+    return I.texts(spark, sf).withColumnRenamed("words", "ngrams")
 
 
-@query("term_counts", "WITH " + I.COUNTS + """
+@query("term_counts", "WITH " + I.TEXT_COUNTS + """
 SELECT doc_id, term, cnt, CAST(size AS BIGINT) AS size FROM tc JOIN sizes USING (doc_id)""")
 def term_counts(spark, sf):
-    return terms.term_counts(grams(spark, sf), ["doc_id"])
+    return terms.term_counts(text_grams(spark, sf), ["doc_id"])
 
 
-@query("tf_weights", "WITH " + I.COUNTS + """
+@query("tf_weights", "WITH " + I.TEXT_COUNTS + """
 SELECT doc_id, term, round(cnt / size, 6) + 0.0e0 AS tf FROM tc JOIN sizes USING (doc_id)""")
 def tf_weights(spark, sf):
-    counts = terms.term_counts(grams(spark, sf), ["doc_id"])
+    counts = terms.term_counts(text_grams(spark, sf), ["doc_id"])
     return counts.select("doc_id", "term", rounded(F.col("cnt") / F.col("size")).alias("tf"))
 
 
-@query("doc_freq", "WITH " + I.COUNTS + " SELECT term, df FROM dfs")
+@query("doc_freq", "WITH " + I.TEXT_COUNTS + " SELECT term, df FROM dfs")
 def doc_freq(spark, sf):
-    return terms.document_frequency(grams(spark, sf))
+    return terms.document_frequency(text_grams(spark, sf))
 
 
-@query("vocabulary", "WITH " + I.COUNTS + " SELECT term, df FROM dfs WHERE df >= 2")
+@query("vocabulary", "WITH " + I.TEXT_COUNTS + " SELECT term, df FROM dfs WHERE df >= 2")
 def vocabulary(spark, sf):
-    return terms.vocabulary(grams(spark, sf))
+    return terms.vocabulary(text_grams(spark, sf))
 
 
-@query("idf_weights", "WITH " + I.IDF + """
+@query("idf_weights", "WITH " + I.TEXT_IDF + """
 SELECT term, df, round(gweight, 6) + 0.0e0 AS gweight FROM idf""")
 def idf_weights(spark, sf):
-    return terms.idf_weights(grams(spark, sf)).withColumn("gweight", rounded(F.col("gweight")))
+    return terms.idf_weights(text_grams(spark, sf)).withColumn("gweight", rounded(F.col("gweight")))
 
 
 SQL_CLASS_COUNTS = I.COUNTS + """, nc AS (SELECT label, count(*) AS nc FROM docs GROUP BY label),
@@ -230,14 +230,14 @@ def top_terms(spark, sf):
     return terms.top_terms(scores, "label", "chi2_e6", 10)
 
 
-SQL_TFIDF = I.IDF + """, w AS (
+SQL_TFIDF = I.TEXT_IDF + """, w AS (
   SELECT doc_id, label, term, cnt / size * gweight AS weight
   FROM tc JOIN sizes USING (doc_id) JOIN idf USING (term)),
 nrm AS (SELECT doc_id, sqrt(sum(weight * weight)) AS len FROM w GROUP BY doc_id)"""
 
 
 def tfidf(spark, sf, norm):
-    docs = I.labelled(spark, sf)
+    docs = I.texts(spark, sf)
     model = Vectorizer("tfidf", norm=norm).fit(docs, words="words")
     return model.transform(docs, words="words").withColumn("weight", rounded(F.col("weight")))
 
@@ -277,7 +277,7 @@ def tfidf_apply(spark, sf):
     return model.transform(new, words="words").withColumn("weight", rounded(F.col("weight")))
 
 
-@query("vectors_wide", "WITH " + I.IDF + """, w AS (
+@query("vectors_wide", "WITH " + I.TEXT_IDF + """, w AS (
   SELECT doc_id, term, cnt / size * gweight AS weight
   FROM tc JOIN sizes USING (doc_id) JOIN idf USING (term)
   WHERE term IN ('das', 'la', 'the', 'und'))
@@ -289,7 +289,7 @@ SELECT doc_id AS id, label,
 FROM docs LEFT JOIN w USING (doc_id) GROUP BY doc_id, label""")
 def vectors_wide(spark, sf):
     names = ["das", "la", "the", "und"]
-    docs = I.labelled(spark, sf)
+    docs = I.all_labelled(spark, sf)
     weights = Vectorizer("tfidf", norm=None).fit(docs, words="words").transform(docs, words="words")
     wide = I.Matrix.from_weights(docs, weights).to_wide(names)
     return wide.select("id", "label", *[rounded(F.col(c)).alias(c) for c in names])
@@ -410,8 +410,10 @@ def cluster_index(spark, sf):
 
 
 @query("cluster_posting_lines", SQL_CLUSTERS + """
-SELECT cluster, 0 AS part, string_agg(doc_id || '-' || n, ':' ORDER BY doc_id) AS postings
-FROM post GROUP BY cluster""")
+SELECT cluster, part, string_agg(doc_id || '-' || n, ':' ORDER BY doc_id) AS postings
+FROM (SELECT *, CAST((row_number() OVER (PARTITION BY cluster ORDER BY doc_id) - 1) // 10000 AS INTEGER)
+        AS part FROM post)
+GROUP BY cluster, part""")
 def cluster_posting_lines(spark, sf):
     return clusters.posting_lines(postings(spark, sf))
 

@@ -27,9 +27,12 @@ CV_PATH = (
 )
 
 
+TOKEN = r"[^\s\p{Z}\x0B\x1C-\x1F\x85]+"
+
+
 def first_token(line: str) -> Column:
-    """First space-separated token of a line."""
-    return F.get(F.split(F.trim(F.col(line)), r"\s+"), F.lit(0))
+    """First token of a line, between white space of any kind."""
+    return F.regexp_extract(F.col(line), TOKEN, 0)
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
@@ -180,7 +183,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    kept = lines.where(F.trim("line") != "")
+    kept = lines.where(F.col("line").rlike(TOKEN))
     numbered = row_numbers(kept, ["_file"], ["_start", "_at"], F.col("_start"), "_rn")
     return numbered.select((F.col("_rn") - 1).alias("line_no"), "line")
 

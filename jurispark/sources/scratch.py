@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -26,12 +27,16 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the scratch folder and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/jurispark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below the application's scratch folder."""
+    return f"{scratch_root(spark)}/jurispark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` once to the scratch folder and read it back, as ``schema`` if given."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def materialize_with(df: DataFrame, *sums: Column) -> tuple[DataFrame, dict]:

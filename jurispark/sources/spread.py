@@ -4,19 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Inputs below this size are worth one cheap shuffle to keep every core busy;
-# larger ones already have more splits than cores and are left alone.
-SMALL_INPUT_BYTES = 1 << 30
-
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over the cores by hash of ``keys``; a large one is untouched.
+    """Deal an input that is read in fewer splits than there are cores out to all cores.
 
-    The size is the optimizer's own estimate for the plan, so nothing is read.
+    A file with one row group is one split, whatever its size.  An input with more splits than
+    cores is read as it is split.
     """
-    if not hasattr(df, "_jdf"):  # a Connect session keeps its plans on the server
-        return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

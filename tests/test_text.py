@@ -9,10 +9,10 @@ from jurispark.operators import clusters, lemmas, terms
 from jurispark.operators.vectorizer import Vectorizer, VectorizerModel
 
 SENTENCES = [
-    (0, 0, "the truck is driven on the highway"),
-    (1, 0, "the car is driven on the road"),
-    (2, 1, "the man went out for a walk"),
-    (3, 1, "the children sat around the fire"),
+    (0, 0, "our court is seized of our appeal"),
+    (1, 0, "our judge is seized of our claim"),
+    (2, 1, "our clerk filed two letters on monday"),
+    (3, 1, "our neighbours met at our well"),
 ]
 
 
@@ -28,8 +28,8 @@ def one(spark, column, value):
 @pytest.mark.parametrize(
     "raw,want",
     [
-        ("président ------ décision antérieur lyon juger de le exécution",
-         "président décision antérieur lyon juger de le exécution"),
+        ("appel ;;;;; jugement première nantes rejeter la demande",
+         "appel jugement première nantes rejeter la demande"),
         ("Un mot, a 12 Été bleu\n\tfin", "un été bleu fin"),
         ("", ""),
         (None, ""),
@@ -65,19 +65,19 @@ def test_line_forms(spark):
 def test_bags_and_frequencies(docs):
     grams = terms.with_ngrams(docs)
     counts = {(r["doc_id"], r["term"]): (r["cnt"], r["size"]) for r in terms.term_counts(grams, ["doc_id"]).collect()}
-    assert counts[(0, "the")] == (2, 7) and counts[(2, "walk")] == (1, 7)
+    assert counts[(0, "our")] == (2, 7) and counts[(2, "monday")] == (1, 7)
     df = {r["term"]: r["df"] for r in terms.vocabulary(grams).collect()}
-    assert df == {"the": 4, "is": 2, "driven": 2, "on": 2}
+    assert df == {"our": 4, "is": 2, "seized": 2, "of": 2}
 
 
 def test_idf_and_chi2(docs):
     idf = Vectorizer("tf-idf").fit(docs)
     assert {r["term"]: r["gweight"] for r in idf.table.collect()} == pytest.approx(
-        {"is": math.log(2), "driven": math.log(2), "on": math.log(2)}
+        {"is": math.log(2), "seized": math.log(2), "of": math.log(2)}
     )
     chi2 = Vectorizer("tfchi2").fit(docs)
     assert {r["term"]: r["gweight"] for r in chi2.table.collect()} == pytest.approx(
-        {"is": 1.0, "driven": 1.0, "on": 1.0}
+        {"is": 1.0, "seized": 1.0, "of": 1.0}
     )
 
 
@@ -109,9 +109,9 @@ def test_model_round_trip_and_unknown_terms(spark, docs, tmp_path):
     model = Vectorizer("tfidf").fit(docs)
     model.save(str(tmp_path / "v"))
     again = VectorizerModel.load(spark, str(tmp_path / "v"))
-    new = spark.createDataFrame([(9, "is zebra zebra driven"), (10, "zebra"), (11, None)], "doc_id long, text string")
+    new = spark.createDataFrame([(9, "is zebra zebra seized"), (10, "zebra"), (11, None)], "doc_id long, text string")
     rows = {(r["doc_id"], r["term"]) for r in again.transform(new).collect()}
-    assert rows == {(9, "is"), (9, "driven")}
+    assert rows == {(9, "is"), (9, "seized")}
 
 
 def test_schemes():
@@ -146,3 +146,17 @@ def test_weights_without_broadcasts(docs, monkeypatch):
     got = sorted(Vectorizer("tfidf").fit_transform(docs).collect())
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert [r["weight"] for r in got] == pytest.approx([r["weight"] for r in want])
+
+
+def test_null_tokens_are_no_terms(spark):
+    df = spark.createDataFrame([(1, [None, "a", "b", "a"])], "doc_id long, ngrams array<string>")
+    got = {(r["term"], r["cnt"], r["size"]) for r in terms.term_counts(df, ["doc_id"]).collect()}
+    assert got == {("a", 2, 3), ("b", 1, 3)}
+
+
+def test_posting_lines_are_numbered_in_id_order(spark):
+    rows = [("c", i, 1) for i in range(0, 300_000, 1000)] + [("d", 5, 2)]
+    df = spark.createDataFrame(rows, "cluster string, doc_id long, n long")
+    got = {(r["cluster"], r["part"]): r["postings"] for r in clusters.posting_lines(df, docs_per_line=100).collect()}
+    assert got[("d", 0)] == "5-2" and sorted(k for k in got if k[0] == "c") == [("c", 0), ("c", 1), ("c", 2)]
+    assert got[("c", 1)].split(":") == [f"{i}-1" for i in range(100_000, 200_000, 1000)]
