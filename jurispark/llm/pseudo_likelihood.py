@@ -32,6 +32,7 @@ BYTES = 256
 ROUNDS = 4
 STEPS = 250
 BATCH = 512
+WINDOWS_PER_SHARE = 100_000  # different windows that one set of gradient steps stands for
 MAX_KNOWN = 2_000_000  # windows whose log-probability a worker remembers
 AT_A_TIME = 4096
 CHUNK = 2_000_000  # bytes whose windows are looked at together
@@ -164,6 +165,7 @@ def fit(
 ) -> WindowNetwork:
     """Train on the windows of all texts; an empty corpus leaves the initial weights."""
     counts = materialize(window_counts(docs, text))
+    shares = max(1, -(-counts.count() // WINDOWS_PER_SHARE))
     net = WindowNetwork.new()
     names = list(net.weights)
     for turn in range(rounds):
@@ -185,8 +187,9 @@ def fit(
             )
 
         schema = "mass double, " + ", ".join(f"`{k}` binary" for k in names)
-        # Partitions are shares of all windows by hash, so each is a picture of the corpus.
-        learned = counts.repartition(F.pmod(F.xxhash64("code"), F.lit(1 << 20))).mapInArrow(learn, schema)
+        # Windows are dealt out evenly, so each share is a picture of the corpus; the work is in
+        # proportion to the number of different windows, however many partitions they came in.
+        learned = counts.repartition(shares).mapInArrow(learn, schema)
         total, sums = 0.0, {k: np.zeros(v.shape) for k, v in net.weights.items()}
         for row in learned.toLocalIterator():  # one set of weights at a time
             total += row["mass"]
