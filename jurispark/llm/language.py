@@ -26,8 +26,9 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 6
-MAX_TEXTS = 500  # training texts per language
+MAX_TEXTS = 400  # training texts per language
 MAX_WINDOWS = 16  # training windows per text
+SHORT = (8, 16, 32, 64)  # bytes left of windows cut short for training
 EPOCHS = 6
 BATCH = 64
 UNDETERMINED = "und"
@@ -161,7 +162,10 @@ def fit(
                     x = windows([text])[0]
                     pick = np.unique(np.linspace(0, len(x) - 1, max_windows).astype(int))
                     raw += [x[i].tobytes() for i in pick]
-                    langs += [lang] * len(pick)
+                    # Short texts are mostly fill: the network learns from such windows too.
+                    short = [SHORT[k % len(SHORT)] for k in range(len(pick))]
+                    raw += [x[i].tobytes()[:n].ljust(WINDOW) for i, n in zip(pick, short, strict=True)]
+                    langs += [lang] * (2 * len(pick))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(raw, pa.binary()), pa.array(langs, pa.string())], ["window", "lang"]
             )
