@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .skew import salted_join
 
 
@@ -33,3 +34,22 @@ def lemmatize(
     return joined.groupBy(doc_id).agg(
         F.transform(ordered, lambda x: x["word"]).alias(words)
     )
+
+
+def clean_with_lemmas(
+    docs: DataFrame,
+    lemmas: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lower: bool = True,
+    remove_punctuation: bool = True,
+    remove_single: bool = True,
+) -> DataFrame:
+    """(doc_id, text): white space, lemmas, letters only, length, lower case, in this order.
+
+    ``docs`` has one row per ``doc_id``.
+    """
+    split = docs.select(doc_id, T.tokens(F.col(text)).alias("words"))
+    words = T.clean_tokens(F.col("words"), remove_punctuation, remove_single)
+    done = F.transform(words, F.lower) if lower else words
+    return lemmatize(split, lemmas, doc_id).select(doc_id, F.array_join(done, " ").alias("text"))

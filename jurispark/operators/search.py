@@ -12,7 +12,7 @@ import logging
 import random
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,6 +157,29 @@ def fit_pls_with_search(
     return model, nu, h, model.score(matrix)
 
 
+# Settings searched when a tuned classifier is asked for by name, and the one of which the
+# smallest value wins among equals.
+TUNED = {
+    "Tree": ({"maxDepth": (2, 5, 10, 30), "minInstancesPerNode": (1, 5)}, "maxDepth"),
+    "KNN": ({"k": (1, 3, 5, 9, 15), "weights": ("uniform", "distance")}, "k"),
+    "SVM": ({"regParam": (0.001, 0.01, 0.1, 1.0)}, "regParam"),
+    "quadraticDA": ({"reg_param": tuple(i / 10 for i in range(11))}, "reg_param"),
+}
+
+
+@dataclass(frozen=True)
+class Tuned:
+    """A classifier by name whose settings are searched on the training rows at each fit."""
+
+    name: str
+    n_folds: int = 5
+
+    def fit(self, matrix: Matrix):
+        grid, smallest = TUNED[self.name]
+        best = grid_search(matrix, self.name, grid, self.n_folds, smallest)
+        return classifier(self.name, **best).fit(matrix)
+
+
 def _accuracy(name: str) -> Callable[[dict, Matrix, Matrix], float]:
     def fit_and_score(setting, train, test):
         model = classifier(name, **json.loads(setting["params"])).fit(train)

@@ -34,6 +34,19 @@ def without_documents(selected: DataFrame, documents: DataFrame, key: str) -> Da
     return selected.join(documents, key, "left_anti")
 
 
+def select_decisions(claims: DataFrame, documents: DataFrame, key: str, outcome: Column) -> DataFrame:
+    """(key, outcome, found): single-claim decisions, and 1 if their document exists.
+
+    The rows with ``found`` 0 are the list of missing documents.
+    """
+    present = documents.select(key).distinct().withColumn("_there", F.lit(1))
+    return (
+        single_claims(claims, key, outcome)
+        .join(present, key, "left")
+        .select(key, "outcome", F.coalesce("_there", F.lit(0)).alias("found"))
+    )
+
+
 def balance_classes(rows: DataFrame, label: str, row_id: str, seed: int = 0) -> DataFrame:
     """Keep as many pseudo-random rows of each class as the smallest class has."""
     smallest = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()

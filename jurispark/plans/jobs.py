@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import compare, metrics
+from ..operators import compare, metrics, selection
 from ..operators.folds import cv_expand, stratified_folds
+from ..operators.lemmas import clean_with_lemmas
 from ..operators.matrix import Matrix
 from ..operators.pls import PLS, PLSModel
 from ..operators.registry import classifier, transformation
@@ -28,12 +29,66 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def preprocess(spark: SparkSession, root: str, out: str, **switches: bool) -> None:
-    """Labelled folders of texts to one clean text table."""
+def preprocess(
+    spark: SparkSession, root: str, out: str, lemmas: DataFrame | None = None, **switches: bool
+) -> None:
+    """Labelled folders of texts to one clean text table; ``lemmas`` is (token, lemma)."""
     docs = readers.labelled_folder(spark, root)
-    writers.write_text_table(
-        docs.select(F.col("doc_id").alias("id"), "label", T.clean_text(F.col("text"), **switches).alias("text")),
-        out,
+    if lemmas is None:
+        clean = docs.select("doc_id", "label", T.clean_text(F.col("text"), **switches).alias("text"))
+    else:
+        # Ids are only unique within a label.
+        keyed = docs.withColumn("_key", F.struct("label", "doc_id"))
+        done = clean_with_lemmas(keyed, lemmas, "_key", **switches)
+        clean = done.select(F.col("_key.doc_id"), F.col("_key.label"), "text")
+    writers.write_text_table(clean.select(F.col("doc_id").alias("id"), "label", "text"), out)
+
+
+def select_decisions(spark: SparkSession, annotation_file: str, root: str, object_value, norm_value) -> DataFrame:
+    """(decision, outcome, found): an annotation file and the folder of decisions, brought together.
+
+    Decisions with a single claim about ``object_value`` under ``norm_value``; ``found`` is 1 if
+    the folder holds a file of that name.
+    """
+    claims = selection.matching_claims(
+        readers.annotations(spark, annotation_file), "object", "norm", object_value, norm_value
+    ).withColumn("decision", T.decision_key(F.col("court"), F.col("city"), F.col("number")))
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    present = names.select(F.element_at(F.split("path", "/"), -1).alias("decision"))
+    return selection.select_decisions(claims, present, "decision", F.col("outcome"))
+
+
+def outer_experiment(
+    folds: Sequence[tuple[int, Matrix, Matrix]],
+    params: PLS,
+    nu_range: Sequence[float] = NU_RANGE,
+    n_components_range: Sequence[int] = COMPONENTS_RANGE,
+    n_folds: int = SEARCH_FOLDS,
+    models: str | None = None,
+) -> DataFrame:
+    """(fold, part, nu, n_components, f1_macro, accuracy): per outer fold, search on the training
+    part, fit or reuse the model saved below ``models``, apply it to both parts.
+    """
+    spark = folds[0][1].rows.sparkSession
+    rows = []
+    for fold, train, test in folds:
+        path = models and f"{models}/fold={fold}"
+        if path and path_exists(spark, f"{path}/params"):
+            model = PLSModel.load(spark, path)
+        else:
+            model = fit_pls_with_search(
+                train, params, nu_range, n_components_range, n_folds=n_folds
+            )[0]
+            if path:
+                model.save(path)
+        classes = distinct_labels(train.rows)
+        for part, matrix in (("train", train), ("test", test)):
+            preds = materialize(encoded(model.predict(matrix), classes))
+            f1 = metrics.macro_scores(preds).first()["f1_macro"]
+            right = metrics.accuracy(preds).first()["accuracy"]
+            rows.append((fold, part, float(model.params.nu), model.params.n_components, f1, right))
+    return spark.createDataFrame(
+        rows, "fold int, part string, nu double, n_components int, f1_macro double, accuracy double"
     )
 
 

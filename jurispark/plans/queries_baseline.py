@@ -158,10 +158,17 @@ def tree_grid_search(spark, sf):
     return search.search_scores(I.matrix(spark, sf).written(), "Tree", grid, n_folds=2)
 
 
+@query("tree_tuned")
+def tree_tuned(spark, sf):
+    """Predictions of a tree whose settings are searched on the training fold."""
+    _, train, test = jobs.outer_folds(I.matrix(spark, sf).written(), 4)[0]
+    return search.Tuned("Tree", n_folds=3).fit(train).predict(test)
+
+
 @query("discriminant_random_search")
 def discriminant_random_search(spark, sf):
     grid = {"reg_param": [i / 100 for i in range(101)]}
-    candidates = search.random_candidates(grid, n_iter=3)
+    candidates = search.random_candidates(grid, n_iter=20)
     return search.search_scores(I.matrix(spark, sf).written(), "quadraticDA", candidates, n_folds=2)
 
 

@@ -154,6 +154,27 @@ def lemmatize(spark, sf):
     return out.select("doc_id", F.array_join("words", " ").alias("text"))
 
 
+@query("lemma_clean_text", f"""
+WITH docs AS (SELECT doc_id, {I.sql_tokens('text')} AS words FROM documents),
+tok AS (SELECT DISTINCT unnest(words) AS token FROM docs),
+lem AS (SELECT token, left(token, length(token) - 1) AS lemma FROM tok
+        WHERE token LIKE '%s' AND length(token) > 1),
+p AS (SELECT doc_id, unnest(words) AS token, generate_subscripts(words, 1) AS i FROM docs),
+j AS (SELECT doc_id, i, coalesce(lemma, p.token) AS w FROM p LEFT JOIN lem USING (token)),
+a AS (SELECT doc_id, string_agg(lower(w), ' ' ORDER BY i) AS text FROM j
+      WHERE regexp_full_match(w, '\\p{{L}}+') AND length(w) > 1 GROUP BY doc_id)
+SELECT doc_id, coalesce(text, '') AS text FROM docs LEFT JOIN a USING (doc_id)""")
+def lemma_clean_text(spark, sf):
+    """The whole preprocessing chain, lemmas from tokens that end in s."""
+    docs = I.documents(spark, sf)
+    seen = terms.explode_terms(docs, [], F.array_distinct(T.tokens(F.col("text")))).distinct()
+    dictionary = seen.where(F.col("term").endswith("s") & (F.length("term") > 1)).select(
+        F.col("term").alias("token"),
+        F.expr("left(term, length(term) - 1)").alias("lemma"),
+    )
+    return lemmas.clean_with_lemmas(docs, materialize(dictionary))
+
+
 # --- term statistics -------------------------------------------------------------
 
 
@@ -376,6 +397,15 @@ def missing_docs(spark, sf):
     return selection.without_documents(single(spark, sf), docs, "decision")
 
 
+@query("select_decisions", SQL_SINGLE + """
+SELECT decision, outcome, CAST(decision IN (SELECT doc_id FROM documents) AS INTEGER) AS found
+FROM one""")
+def select_decisions(spark, sf):
+    docs = I.table(spark, sf, "documents").select(F.col("doc_id").alias("decision"))
+    claims = chosen_claims(spark, sf)
+    return selection.select_decisions(claims, docs, "decision", F.col("outcome"))
+
+
 # --- word clusters ---------------------------------------------------------------
 
 # Dictionary of the cluster queries: tokens of 3 letters or more by first letter.

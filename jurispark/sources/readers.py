@@ -121,11 +121,19 @@ def wide_matrix(
 def predictions(
     spark: SparkSession, path: str, sep: str = "\t", names: Sequence[str] | None = PREDICTION_COLS
 ) -> DataFrame:
-    """(doc_id, y_true, y_pred); with ``names=None`` the file has no header and two columns."""
+    """(doc_id, y_true, y_pred); with ``names=None`` the file has no header and two columns.
+
+    A file with a header that lacks the named columns is read by its first two columns.
+    """
     if names is None:
         return spark.read.csv(path, sep=sep, schema="y_true int, y_pred int")
     raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False)
     doc, true, pred = names
+    if not set(names) <= set(raw.columns):
+        true, pred = raw.columns[:2]
+        return raw.select(*[
+            F.col(f"`{c}`").cast("int").alias(n) for c, n in ((true, "y_true"), (pred, "y_pred"))
+        ])
     return raw.select(
         F.col(doc).alias("doc_id"),
         F.col(true).cast("int").alias("y_true"),
