@@ -80,7 +80,7 @@ def _mask(i: int, segments: int) -> int:
 def grid_point(fp: Column, segments: int = SEGMENTS) -> Column:
     """Bit counts of the segments, packed into an integer (the base is the segment width + 1)."""
     width = 64 // segments
-    out = F.lit(0).cast("decimal(38,0)") if width > 8 else F.lit(0).cast("long")
+    out = F.lit(0).cast("long")
     for i in range(segments):
         out = out * F.lit(width + 1).cast("long") + F.bit_count(fp.bitwiseAND(F.lit(_mask(i, segments))))
     return out
