@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"  # fixed: how sentencepiece writes a blank
-MAX_CACHED = 400_000
+MAX_CACHED = 200_000
 MAX_CACHED_LENGTH = 64
 ROWS_OUT = 256  # rows per Arrow batch handed back
 # Fixed values of the model format: kinds of pieces.

@@ -32,9 +32,10 @@ WINDOW = 20
 GRAM = 6
 HOT_SPANS = 1_000  # spans of one minimizer beyond which they are cut into windows
 SPANS_PER_SHARD = 40_000
-MAX_WAITING = 300_000  # spans that a task holds before it sends them
+ROWS = 250  # documents whose spans are cut out together
+MAX_WAITING = 100_000  # spans that a task holds before it sends them
 BLOCKS = "shard int, block binary, doc long, th int, start int, many int"
-GROUP = 4_000_000  # bytes of text looked at together
+GROUP = 2_000_000  # bytes of text looked at together
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIXER = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -232,7 +233,8 @@ def candidate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, i
             if key is not None and key != seen[h, raw][0]:
                 again.append((*key[1:], many))
 
-        for batch in batches:
+        # A few rows at a time: as Python objects the spans of a batch are many times its size.
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             for row in batch.to_pylist():
                 w = words_of(_plain(row["z"]))
                 for x in row["spans"]:
@@ -351,7 +353,8 @@ def deduplicate(
 ) -> DataFrame:
     """Per row: (row_id, n_words, n_removed, kept), kept words joined by one space.
 
-    With ``carry``, the text as it was (``text``) and the columns named there, strings, follow.
+    With ``carry``, the text as it was (``text``) and the columns named there, strings, follow;
+    a name that the result has already gets an underscore at its end.
 
     A word goes if it lies in a window of ``window`` consecutive words of its text whose words
     also start earlier: in a row with a smaller id, or earlier in the same row.  Windows are
@@ -407,7 +410,8 @@ def deduplicate(
                     columns,
                 )
 
-    columns = [row_id, "n_words", "n_removed", "kept", *([] if carry is None else ["text"]), *names]
+    own = [row_id, "n_words", "n_removed", "kept", *([] if carry is None else ["text"])]
+    columns = [*own, *[f"{c}_" if c in own else c for c in names]]
     kinds = ["long", "long", "long"] + ["string"] * (len(columns) - 3)
     return both.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in zip(columns, kinds, strict=True)))
 
