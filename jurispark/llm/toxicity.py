@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .common import held_out
+from .common import WORD, held_out
 
 MAX_LABELLED = 50_000
 MAX_VOTERS = 400
@@ -53,35 +53,19 @@ def pattern_counts(text: str | None) -> list[int]:
 
 
 def without_copies(texts: DataFrame) -> DataFrame:
-    """``texts`` (doc_id, text, ...) without near copies of rows with a smaller id.
+    """``texts`` (doc_id, text, label) without exact copies of rows with a smaller id and the
+    same label: the same words in lower case.
 
-    A row goes if it shares any of four smallest hashes of word 5-shingles with such a row.
-    Copies would otherwise count as evidence of their own for every word in them.
+    Copies would otherwise count as evidence of their own for every word in them.  Texts without
+    words all stay.
     """
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        mixers = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                w = (text or "").lower().split()
-                grams = (" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-                h = np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)
-                out += [int((h * m).min() >> np.uint64(1)) for m in mixers]
-            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(batch)), 4)))
-            which = pa.array(np.tile(np.arange(4, dtype=np.int32), len(batch)))
-            yield pa.RecordBatch.from_arrays(
-                [ids, which, pa.array(out, pa.int64())], ["doc_id", "which", "sig"]
-            )
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    signed = texts.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, which int, sig long")
-    signed = materialize(signed)
-    least = signed.groupBy("which", "sig").agg(F.min("doc_id").alias("least"))
-    later = signed.join(least, ["which", "sig"]).where("doc_id > least").select("doc_id")
-    return texts.join(later, "doc_id", "left_anti")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
+    signed = texts.withColumn("_sig", F.md5(F.array_join(words, " ").cast("binary")))
+    signed = materialize(signed.withColumn("_bare", F.size(words) == 0))
+    least = signed.where("NOT _bare").groupBy("_sig", "label").agg(F.min("doc_id").alias("doc_id"))
+    # The id is among the keys, so that a large group of copies is no hot key.
+    first = signed.where("NOT _bare").join(least, ["doc_id", "_sig", "label"], "left_semi")
+    return first.unionByName(signed.where("_bare")).select(*texts.columns)
 
 
 def find_terms(texts: DataFrame, limit: int = MAX_VOTERS) -> list[str]:

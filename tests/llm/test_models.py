@@ -101,6 +101,17 @@ def test_toxicity_on_held_out_texts(spark):
     assert {r["predicted"] for r in got if r["doc_id"] in (9001, 9002, None)} == {0}
 
 
+def test_toxicity_training_loses_exact_copies_only(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"own{i} {passage} end{i}", i % 2) for i in range(20)]  # a shared passage
+    rows += [(50, None, 0), (51, "", 0), (52, " ", 0)]
+    copies = [(100, f"OWN3  {passage}\nend3", 1), (101, f"own4 {passage} end4", 0)]
+    other = [(102, f"own4 {passage} end4", 1)]  # labelled otherwise
+    df = spark.createDataFrame(rows + copies + other, "doc_id long, text string, label int")
+    kept = sorted(r["doc_id"] for r in toxicity.without_copies(df).collect())
+    assert kept == sorted(i for i, _, _ in rows + other)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(frame(spark, odd_rows()), none).collect()
