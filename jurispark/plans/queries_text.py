@@ -83,7 +83,7 @@ g AS (
   SELECT w || ' ' || nw FROM (
     SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nw FROM p) WHERE nw IS NOT NULL)
 SELECT term, count(*) AS n FROM g GROUP BY term""")
-def ntext_grams(spark, sf):
+def ngrams(spark, sf):
     grams = terms.with_ngrams(I.texts(spark, sf), nmin=1, nmax=2, words="words")
     return (
         terms.explode_terms(grams, [], F.col("ngrams"))
@@ -178,6 +178,10 @@ def lemma_clean_text(spark, sf):
 # --- term statistics -------------------------------------------------------------
 
 
+def labelled_grams(spark, sf):
+    return I.labelled(spark, sf).withColumnRenamed("words", "ngrams")
+
+
 def text_grams(spark, sf):
     return I.texts(spark, sf).withColumnRenamed("words", "ngrams")
 
@@ -225,7 +229,7 @@ chi AS (SELECT term, df, label, a,
 @query("class_term_counts", "WITH " + SQL_CLASS_COUNTS + """
 SELECT term, label, a AS n_term_class, df FROM ct""")
 def class_term_counts(spark, sf):
-    docs = grams(spark, sf)
+    docs = labelled_grams(spark, sf)
     return terms.class_term_counts(docs, "label", terms.distinct_labels(docs)).select(
         "term", "label", "n_term_class", "df"
     )
@@ -245,7 +249,7 @@ def chi2_weights(spark, sf):
 SELECT label, term, CAST(rank AS INTEGER) AS rank, round(1e6 * chi2, 6) + 0.0e0 AS chi2_e6
 FROM r WHERE rank <= 10""")
 def top_terms(spark, sf):
-    scores = terms.chi2_scores(grams(spark, sf)).withColumn(
+    scores = terms.chi2_scores(labelled_grams(spark, sf)).withColumn(
         "chi2_e6", rounded(F.col("chi2") * 1e6)
     )
     return terms.top_terms(scores, "label", "chi2_e6", 10)

@@ -59,8 +59,9 @@ def compare(df, con, sql: str) -> str | None:
 
 def main() -> None:
     from jurispark import get_session
-    from jurispark.plans.catalog import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
 
+    QUERIES, ORACLES = queries(), oracle_sql()
     sf, names = sys.argv[1], sys.argv[2:]
     spark = get_session(
         master="local[8]",
