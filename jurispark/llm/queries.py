@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language, maxscore, mixing, multi_index, pseudo_likelihood, sentencepieces, simhash, substrings, token_store, toxicity
+from . import (
+    common,
+    filter_audit,
+    language,
+    maxscore,
+    mixing,
+    multi_index,
+    pseudo_likelihood,
+    sentencepieces,
+    simhash,
+    substrings,
+    token_store,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +99,10 @@ def op7(spark, sf):
     return substrings.deduplicate(common.documents(spark, sf)).select(
         "doc_id", "n_words", "n_removed", common.sha256(F.col("kept")).alias("kept_sha256")
     )
+
+
+@query("op11_filter_audit", filter_audit.SQL)
+def op11(spark, sf):
+    return filter_audit.audit(
+        common.documents(spark, sf), common.table(spark, sf, "labels")
+    ).drop("filter")

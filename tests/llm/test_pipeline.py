@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline  # noqa: E402
-from test_models import toxic_corpus  # noqa: E402
+from test_trained import toxic_corpus  # noqa: E402
 from test_simhash import slow_components, slow_fingerprint  # noqa: E402
 from test_substrings import slow  # noqa: E402
 
