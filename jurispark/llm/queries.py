@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    collocations,
     common,
     filter_audit,
     language,
@@ -106,3 +107,8 @@ def op11(spark, sf):
     return filter_audit.audit(
         common.documents(spark, sf), common.table(spark, sf, "labels")
     ).drop("filter")
+
+
+@query("op13_collocations", collocations.SQL)
+def op13(spark, sf):
+    return collocations.collocations(common.documents(spark, sf))
