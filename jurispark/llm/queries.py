@@ -15,6 +15,7 @@ from . import (
     maxscore,
     mixing,
     multi_index,
+    prefix_hashes,
     pseudo_likelihood,
     sentencepieces,
     simhash,
@@ -112,3 +113,8 @@ def op11(spark, sf):
 @query("op13_collocations", collocations.SQL)
 def op13(spark, sf):
     return collocations.collocations(common.documents(spark, sf))
+
+
+@query("op12_prefix_hashes")
+def op12(spark, sf):
+    return prefix_hashes.document_fingerprints(common.documents(spark, sf))
