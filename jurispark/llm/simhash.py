@@ -3,15 +3,18 @@
 A 64-bit fingerprint is cut into segments; the numbers of set bits of its segments are a point
 on a grid.  The Manhattan distance of two points never exceeds the Hamming distance of the
 fingerprints, so fingerprints within 2 bits have points within 2 steps, and then there is a grid
-point at most one step from both.  Each distinct fingerprint is put on its own point and on the
-neighbours one step away (1 + 2 x segments cells, the same for every fingerprint); a cell with
-two or more fingerprints holds candidates.
-
-Candidates are verified exactly and without pairing a cell with itself: within a cell, a
-fingerprint is written under each bit string at most one flip away that lies on the cell's grid
-point.  Two fingerprints are within 2 bits if and only if they meet under such a string, and at
-most 65 distinct ones can.  Each is linked to the smallest of them, so a group of any size gives
-links in proportion to its members.
+point at most one step from both.
+
+Two flipped bits leave one of three blocks of segments untouched.  So each distinct fingerprint
+is put, per block, into the cells of (the bits of that block, a grid point of the other segments
+at most one step from its own): as many cells for every fingerprint.  Fingerprints that share a
+cell are candidates; a cell is narrow enough to hold few that meet by chance, however many rows
+there are.
+
+Candidates are verified exactly and without pairing a cell with itself: a candidate is written
+under each bit string at most one flip away.  Two fingerprints are within 2 bits if and only if
+they meet under such a string, and at most 65 distinct ones can.  Each is linked to the smallest
+of them, so a group of any size gives links in proportion to its members.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ from .components import components
 SHINGLE = 3
 SEED = 42
 SEGMENTS = 16
+BLOCKS = 3  # one more than the bits that may differ
 MAX_DIFFERENT_BITS = 2
 CHUNK = 200_000  # shingles whose bits are counted at a time
 
@@ -77,13 +80,32 @@ def _mask(i: int, segments: int) -> int:
     return mask - 2**64 if mask >= 2**63 else mask
 
 
-def grid_point(fp: Column, segments: int = SEGMENTS) -> Column:
-    """Bit counts of the segments, packed into an integer (the base is the segment width + 1)."""
+def blocks(segments: int = SEGMENTS) -> list[range]:
+    """The segments in BLOCKS runs."""
+    cuts = [segments * k // BLOCKS for k in range(BLOCKS + 1)]
+    return [range(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def cells(fp: Column, segments: int = SEGMENTS) -> Column:
+    """The cells of a fingerprint: block, its bits, and a grid point of the other segments,
+    packed into one integer of at most 52 bits."""
     width = 64 // segments
-    out = F.lit(0).cast("long")
-    for i in range(segments):
-        out = out * F.lit(width + 1).cast("long") + F.bit_count(fp.bitwiseAND(F.lit(_mask(i, segments))))
-    return out
+    out = []
+    for k, block in enumerate(blocks(segments)):
+        low, bits = width * block.start, width * len(block)
+        own = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(k << bits)
+        others = [i for i in range(segments) if i not in block]
+        counts = [F.bit_count(fp.bitwiseAND(F.lit(_mask(i, segments)))) for i in others]
+        steps = [(width + 1) ** e for e in range(len(others))]
+        point = own * F.lit((width + 1) ** len(others))
+        for count, step in zip(counts, steps, strict=True):
+            point = point + count.cast("long") * F.lit(step)
+        out.append(point)
+        for count, step in zip(counts, steps, strict=True):
+            # A flipped bit moves the point by one step, up if the bit was clear.
+            out.append(F.when(count < width, point + F.lit(step)))
+            out.append(F.when(count > 0, point - F.lit(step)))
+    return F.array_compact(F.array(*out))
 
 
 def links(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
@@ -91,28 +113,16 @@ def links(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     connected, and every link is between two such."""
     if segments not in (8, 16):
         raise ValueError("a packed grid point needs 8 or 16 segments")
-    width = 64 // segments
     one = F.lit(1).cast("long")
-    # A flipped bit moves the point by one step in its segment, up if the bit was clear.
-    cells = []
-    for i in range(segments):
-        step = (width + 1) ** (segments - 1 - i)
-        count = F.bit_count(F.col("fp").bitwiseAND(F.lit(_mask(i, segments))))
-        cells.append(F.when(count < width, F.col("point") + F.lit(step)))
-        cells.append(F.when(count > 0, F.col("point") - F.lit(step)))
-    placed = (
-        distinct.select("fp", grid_point(F.col("fp"), segments).alias("point"))
-        .select("fp", F.explode(F.array_compact(F.array(F.col("point"), *cells))).alias("cell"))
-    )
+    placed = distinct.select("fp", F.explode(cells(F.col("fp"), segments)).alias("cell"))
     shared = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
-    candidates = placed.join(shared, "cell", "left_semi")
+    candidates = placed.join(shared, "cell", "left_semi").select("fp").distinct()
     near = F.array(
         F.col("fp"),
         *[F.col("fp").bitwiseXOR(F.shiftleft(one, i)) for i in range(64)],
     )
     met = (
-        candidates.select("fp", "cell", F.explode(near).alias("via"))
-        .where(grid_point(F.col("via"), segments) == F.col("cell"))
+        candidates.select("fp", F.explode(near).alias("via"))
         .groupBy("via")
         .agg(F.collect_set("fp").alias("fps"))  # at most 65
         .where(F.size("fps") > 1)
@@ -126,37 +136,27 @@ def links(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
 
 
 def classes(marked: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """(fp, root, component_id, links) per distinct fingerprint of ``marked`` (row_id, fp).
+    """(fp, root, component_id) per distinct fingerprint of ``marked`` (row_id, fp).
 
     ``root`` names the component, ``component_id`` is its smallest row id.
     """
     distinct = materialize(marked.groupBy("fp").agg(F.min("row_id").alias("first")))
-    edges = materialize(links(distinct, segments))
-    roots = components(edges)
+    roots = components(materialize(links(distinct, segments)))
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    degree = (
-        edges.select(F.explode(F.array("a", "b")).alias("fp"))
-        .groupBy("fp")
-        .agg(F.count(F.lit(1)).alias("links"))
-    )
-    return materialize(
-        grouped.join(least, "root")
-        .join(degree, "fp", "left")
-        .select("fp", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    return materialize(grouped.join(least, "root").select("fp", "root", "component_id"))
 
 
 def near_duplicates(
     docs: DataFrame, row_id: str = "doc_id", text: str = "text", segments: int = SEGMENTS
 ) -> DataFrame:
-    """Per row: (row_id, fingerprint, component_id, links).
+    """Per row: (row_id, fingerprint, component_id).
 
     Rows are linked if their fingerprints differ in at most 2 bits; ``component_id`` is the
     smallest row id that can be reached, the row's own included.  ``fingerprint`` is 16 hex
-    digits; ``links`` is the number of links of its fingerprint to others.
+    digits.
 
     NULL and empty texts have fingerprint zero and are linked like any other.  Rows with a NULL
     id belong to the component of their fingerprint; a component of only such rows has a NULL
@@ -167,29 +167,36 @@ def near_duplicates(
         F.col("row_id").alias(row_id),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
-        "links",
     )
 
 
 def one_of_each(
     docs: DataFrame, row_id: str = "doc_id", text: str = "text", segments: int = SEGMENTS
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their component: the one with the
-    smallest id; of rows with that same id one; of a component without ids one row."""
-    marked = materialize(fingerprints(docs, row_id, text))
-    found = classes(marked, segments)
-    kept = found.where("component_id IS NOT NULL").select(F.col("component_id").alias(row_id)).distinct()
-    named = docs.join(kept, row_id, "left_semi").dropDuplicates([row_id])
-
-    def signed(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
-
-    signed = F.pandas_udf(signed, "long")
-    bare = (
-        docs.where(F.col(row_id).isNull())
-        .withColumn("_fp", signed(F.col(text)))
-        .join(found.where("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root")), "_fp")
-        .dropDuplicates(["_root"])
-        .drop("_fp", "_root")
+    """The rows of ``docs``, all columns, that stand for their component.
+
+    That is the row with the smallest id; of several such rows, or in a component without ids,
+    the one with the smallest fingerprint, then text hash; of rows with the same id and text any
+    one.  Rows with one id and different texts are rows of their own.  Columns may have any
+    names.  An empty table stays empty.
+    """
+    mark = F.struct(F.xxhash64(F.col(text)).alias("x"), F.hash(F.col(text)).alias("y"))
+    keyed = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), mark.alias("mark"))
+    marked = materialize(
+        fingerprints(keyed.select(F.struct("row_id", "mark").alias("key"), "text"), "key", "text").select(
+            "row_id.row_id", "row_id.mark", "fp"
+        )
+    )
+    first = (
+        marked.join(classes(marked, segments), "fp")
+        .where(F.col("row_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root")
+        .agg(F.min(F.struct("fp", "mark", "row_id")).alias("first"))
+        .select("first.row_id", "first.mark")
+    )
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.col(row_id).alias("row_id"), mark.alias("mark"))
+    kept = rows.alias("r").join(
+        first.alias("f"), F.expr("r.row_id <=> f.row_id AND r.mark = f.mark"), "left_semi"
     )
-    return named.unionAll(bare.select(*docs.columns))
+    return kept.dropDuplicates(["row_id", "mark"]).select("row.*")

@@ -106,6 +106,35 @@ def test_null_ids_and_repeated_rows(spark):
     assert got == [-1, 3, 3, 3]
 
 
+def test_cells_are_shared_by_all_pairs_within_two_bits(spark):
+    rng = random.Random(7)
+    pairs = []
+    for _ in range(300):
+        f = rng.choice([rng.getrandbits(64), 0, 2**64 - 1, 2**63])
+        g = f
+        for b in rng.sample(range(64), rng.randrange(3)):
+            g ^= 1 << b
+        pairs.append((f - 2**64 if f >= 2**63 else f, g - 2**64 if g >= 2**63 else g))
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for segments in (8, 16):
+        met = df.select(F.arrays_overlap(simhash.cells(F.col("a"), segments), simhash.cells(F.col("b"), segments)).alias("m"))
+        assert all(r["m"] for r in met.collect())
+
+
+def test_one_row_of_each_component(spark):
+    rows = [
+        (5, "a b c d", "x", 1), (9, "a b c d", "y", 2), (None, "a b c d", "z", 3),  # copies
+        (7, "one two three four", "x", 4), (7, "five six seven eight nine", "x", 5),  # one id, two texts
+        (8, "five six seven eight nine", "x", 6), (8, "five six seven eight nine", "x", 6),
+        (None, "q r s t", "x", 7), (None, "q r s t", "x", 7), (3, None, "x", 8), (4, "", "x", 9),
+    ]
+    clashing = "doc_id long, text string, fp string, row int"
+    got = simhash.one_of_each(spark.createDataFrame(rows, clashing))
+    assert got.columns == ["doc_id", "text", "fp", "row"]
+    assert sorted(r["row"] for r in got.collect()) == [1, 4, 5, 7, 8]
+    assert simhash.one_of_each(spark.createDataFrame([], clashing)).collect() == []
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
