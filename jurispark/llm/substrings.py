@@ -34,7 +34,7 @@ HOT_SPANS = 1_000  # spans of one minimizer beyond which they are cut into windo
 SPANS_PER_SHARD = 40_000
 ROWS = 250  # documents whose spans are cut out together
 MAX_WAITING = 100_000  # spans that a task holds before it sends them
-BLOCKS = "shard int, block binary, doc long, th int, start int, many int"
+BLOCKS = "shard int, block binary, doc long, th long, start int, many int"
 GROUP = 2_000_000  # bytes of text looked at together
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIXER = np.uint64(0xBF58476D1CE4E5B9)
@@ -110,6 +110,18 @@ def covered(n: int, starts: np.ndarray, counts: np.ndarray, window: int = WINDOW
     return np.cumsum(change)[:n] > 0
 
 
+def runs(found: list[tuple]) -> list[tuple]:
+    """(document ..., start, many): what overlaps or follows on within a document as one run."""
+    out: list[tuple] = []
+    for *doc, start, many in sorted(found, key=lambda r: (r[0] is not None, *(x or 0 for x in r))):
+        if out and list(out[-1][:-2]) == doc and start <= out[-1][-2] + out[-1][-1]:
+            first = out[-1][-2]
+            out[-1] = (*doc, first, max(out[-1][-1], start + many - first))
+        else:
+            out.append((*doc, start, many))
+    return out
+
+
 def repeated_windows(
     texts: list[list[bytes]], order: np.ndarray, window: int = WINDOW
 ) -> Iterator[tuple[int, int]]:
@@ -154,7 +166,7 @@ def _compressed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 ["doc", "th", "z", *[f"c_{c}" for c in carry]],
             )
 
-    schema = "doc long, th int, z binary" + "".join(f", `c_{c}` string" for c in carry)
+    schema = "doc long, th long, z binary" + "".join(f", `c_{c}` string" for c in carry)
     return docs.mapInArrow(run, schema)
 
 
@@ -183,7 +195,7 @@ def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     ["doc", "th", "h", "part"],
                 )
 
-    return docs.mapInArrow(run, "doc long, th int, h long, part long")
+    return docs.mapInArrow(run, "doc long, th long, h long, part long")
 
 
 def candidate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int]:
@@ -221,8 +233,9 @@ def candidate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, i
             seen.clear()
             for shard, rows in parts.items():
                 yield _rows([(shard, _block(rows), None, None, None, None)])
-            for i in range(0, len(again), 50_000):
-                yield _rows([(None, None, *r) for r in again[i : i + 50_000]])
+            joined = runs(again)
+            for i in range(0, len(joined), 50_000):
+                yield _rows([(None, None, *r) for r in joined[i : i + 50_000]])
             again.clear()
 
         def add(h: int, raw: bytes, key: tuple, many: int) -> None:
@@ -258,7 +271,7 @@ def candidate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, i
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
         [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
@@ -272,8 +285,8 @@ def _block(rows: list[tuple[tuple, bytes]]) -> bytes:
 
     rows.sort(key=lambda r: r[0])
     named = np.array([k[0] for k, _ in rows], "<i1")
-    doc = np.array([k[1] or 0 for k, _ in rows], "<i8")
-    th, start = (np.array([k[i] for k, _ in rows], "<i4") for i in (2, 3))
+    doc, th = (np.array([k[i] or 0 for k, _ in rows], "<i8") for i in (1, 2))
+    start = np.array([k[3] for k, _ in rows], "<i4")
     raw = b"".join(
         [len(rows).to_bytes(8, "little"), named.tobytes(), doc.tobytes(), th.tobytes(), start.tobytes()]
     )
@@ -285,7 +298,7 @@ def _unblock(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
     raw = zstandard.ZstdDecompressor().decompress(block)
     n, at, out = int.from_bytes(raw[:8], "little"), 8, []
-    for kind in ("<i1", "<i8", "<i4", "<i4"):
+    for kind in ("<i1", "<i8", "<i8", "<i4"):
         out.append(np.frombuffer(raw, kind, n, at))
         at += out[-1].nbytes
     return *out, raw[at:].split(b"\n")  # a word holds no line feed
@@ -324,13 +337,12 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             at = np.array(later + [int(kept[i]) for i, _ in hits], np.int64)
             begin = start[at] + np.array([0] * len(later) + [o for _, o in hits], np.int32)
             many = [len(spans[i].split(b" ")) - window + 1 for i in later] + [1] * len(hits)
+            owners = [d if k else None for d, k in zip(doc[at].tolist(), named[at], strict=True)]
+            joined = runs(list(zip(owners, th[at].tolist(), begin.tolist(), many, strict=True)))
+            columns = zip(*joined, strict=True) if joined else [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc[at], mask=named[at] == 0),
-                    pa.array(th[at]),
-                    pa.array(begin.astype(np.int32)),
-                    pa.array(many, pa.int32()),
-                ],
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 ["doc", "th", "start", "many"],
             )
 
@@ -338,7 +350,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         found.where("block IS NOT NULL")
         .select("shard", "block")
         .repartition(shards, "shard")
-        .mapInArrow(search, "doc long, th int, start int, many int")
+        .mapInArrow(search, "doc long, th long, start int, many int")
     )
     known = found.where("block IS NULL").select("doc", "th", "start", "many")
     return indexed.unionAll(known)
@@ -361,19 +373,19 @@ def deduplicate(
     judged on the input.  Words are runs of bytes other than the six ASCII blanks.
 
     NULL and short texts lose nothing; a NULL text has no words.  Rows with a NULL id come
-    before all others.  Rows with the same id are in the order of a hash of their texts; equal
+    before all others.  Rows with the same id are in the order of a 64-bit hash of their texts; equal
     rows with equal ids are one document and share its result.  Other columns are ignored.
     """
     source = docs.select(
         F.col(row_id).cast("long").alias("doc"),
-        F.hash(F.col(text)).alias("th"),
+        F.xxhash64(F.col(text)).alias("th"),
         F.col(text).cast("string").alias("text"),
     )
     found = repeats(source, window)
     names = tuple(carry or ())
     source = docs.select(
         F.col(row_id).cast("long").alias("doc"),
-        F.hash(F.col(text)).alias("th"),
+        F.xxhash64(F.col(text)).alias("th"),
         F.col(text).cast("string").alias("text"),
         *[F.col(c).cast("string").alias(f"c_{c}") for c in names],
     )
