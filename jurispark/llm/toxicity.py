@@ -68,6 +68,14 @@ def without_copies(texts: DataFrame) -> DataFrame:
     return first.unionByName(signed.where("_bare")).select(*texts.columns)
 
 
+def label_counts(texts: DataFrame) -> tuple[int, int]:
+    """Texts with label 1 and with label 0."""
+    sizes = texts.agg(
+        F.sum("label").alias("toxic"), F.sum(F.lit(1) - F.col("label")).alias("clean")
+    ).first()
+    return sizes["toxic"] or 0, sizes["clean"] or 0
+
+
 def find_terms(texts: DataFrame, limit: int = MAX_VOTERS) -> list[str]:
     """Terms that speak for label 1, strongest first: at most ``limit``.
 
@@ -82,10 +90,7 @@ def find_terms(texts: DataFrame, limit: int = MAX_VOTERS) -> list[str]:
             flat = pa.array([t for f in found for t in f], pa.string())
             yield pa.RecordBatch.from_arrays([flat, pa.array(labels)], ["term", "label"])
 
-    sizes = texts.agg(
-        F.sum("label").alias("toxic"), F.sum(F.lit(1) - F.col("label")).alias("clean")
-    ).first()
-    toxic, clean = sizes["toxic"] or 0, sizes["clean"] or 0
+    toxic, clean = label_counts(texts)
     if not toxic or not clean:
         return []
     a, c = F.col("a").cast("double"), F.col("c").cast("double")
@@ -242,7 +247,7 @@ def fit(
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic (0/1).  Rows with a NULL label or
     id are not learned from; of repeated labels of a document the largest counts.  Without both
-    labels, or without any telling term, the model scores 0 throughout.
+    labels the model scores 0 throughout; without any telling term the patterns vote alone.
     """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -258,7 +263,7 @@ def fit(
     rows = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     texts = materialize(without_copies(rows).select("text", "label"))
     voters = Voters(find_terms(texts, max_voters))
-    if not voters.terms:
+    if not all(label_counts(texts)):
         return ToxicityModel(voters, None, None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,3 +173,12 @@ def test_held_out_is_the_stated_fold(spark):
 
     df = spark.range(50).select("id", common.held_out(F.col("id")).alias("h"))
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in df.collect())
+
+
+def test_patterns_vote_when_no_term_tells(spark):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, "aa", 12) + (" STOP THAT NOW!!!" if i % 5 == 0 else "."), "aa") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(frame(spark, rows), labels).collect()}
+    shouted = [s for i, s in got.items() if i % 5 == 0]
+    assert min(shouted) > max(s for i, s in got.items() if i % 5)
