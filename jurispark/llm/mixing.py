@@ -28,10 +28,13 @@ DIGITS = 3
 REFINEMENTS = 3
 
 
-def order_key(row_id: Column, seed: int) -> Column:
-    """Seeded pseudo-random order of the rows, the same in every run and engine."""
-    text = F.coalesce(row_id.cast("string"), F.lit(""))
-    return F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary"))
+def order_key(row_id: Column, text: Column, seed: int) -> Column:
+    """Seeded pseudo-random order of the rows, the same in every run and engine.
+
+    Rows without an id are told apart by their texts.
+    """
+    bare = F.concat(F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), bare)).cast("binary"))
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -144,7 +147,7 @@ def sized_rows(docs: DataFrame, row_id: str, text: str, source: str, seed: int,
         F.col(row_id).alias("row_id"),
         F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"),
-        order_key(F.col(row_id), seed).alias("key"),
+        order_key(F.col(row_id), F.col(text), seed).alias("key"),
         *[F.col(c).alias(f"c_{c}") for c in keep],
     )
 
@@ -199,8 +202,8 @@ def mix(
     more than ``max_epochs`` times.
 
     NULL or empty texts have size 0 and take nothing; a source without words has target 0; a
-    NULL source is a source of its own.  NULL ids share one place in the order.  Repeated rows
-    count as often as they occur and, being tied in the order, share their decision.  Columns
+    NULL source is a source of its own.  Rows with a NULL id are told apart by their texts.  Repeated
+    rows count as often as they occur and, being tied in the order, share their decision.  Columns
     besides the three named ones are ignored, whatever their names.
     """
     sized = materialize(sized_rows(docs, row_id, text, source, seed))
@@ -246,7 +249,7 @@ SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), ':' || md5(coalesce(text, '')))) AS key
   FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (

@@ -80,3 +80,11 @@ def test_ties_null_ids_and_nothing(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
     empty = mixing.mix(frame(spark, [(1, "", "s"), (2, None, None)])).collect()
     assert [(r["target"], r["taken"]) for r in empty] == [(0.0, 0), (0.0, 0)]
+
+
+def test_targets_are_met_without_ids(spark):
+    rows = [(None, f"w{i} " * (1 + i % 9), "abc"[i % 3]) for i in range(1000)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    for s in "abc":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 9
