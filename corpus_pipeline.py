@@ -1,14 +1,15 @@
 """The training-data pipeline: each stage is one operator applied to what the one before kept.
 
 toxicity        documents scored as toxic go
-near_duplicates one document, the one with the smallest id, of each component of texts with a
-                similarity of 0.8 or more (word 5-shingles) stays
+near_duplicates one document, the one with the smallest id, of each component of texts whose
+                SimHash fingerprints (word 3-shingles) differ in at most 2 bits stays
 substrings      words in windows of 20 words that also start earlier go
 mixing          documents are repeated or left out so that sources reach their target shares
 encoding        SentencePiece ids, source byte ends of the pieces, and the decoded text
 
 Rows with a NULL id: of a component that has rows with an id, they go; of one without, one of
-its rows stays.  Of repeated rows with the kept id one stays.
+its rows stays.  Of repeated rows with the kept id one stays; rows with one id and different
+texts are rows of their own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurispark.llm import common, mixing, near_copies, sentencepieces, substrings, toxicity
+from jurispark.llm import common, mixing, sentencepieces, simhash, substrings, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.one_of_each(docs.select(*COLUMNS))
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
