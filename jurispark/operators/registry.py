@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import mllib
 from .bayes import BernoulliBayes
 from .discriminant import Discriminant
+from .kernel_svm import KernelSVM
 from .knn import Neighbours
 from .matrix import Matrix
 from .pls import PLS, PLSModel
@@ -91,7 +92,8 @@ CLASSIFIERS = {
     "quadraticDA": lambda **s: Discriminant("quadratic", **s),
     "GaussianNB": lambda **s: BernoulliBayes(**s),
     "KNN": lambda **s: Neighbours(**s),
-    "SVM": lambda **s: mllib.MLlibClassifier(mllib.linear_svm, s),
+    "SVM": lambda **s: KernelSVM(**s),
+    "LinearSVM": lambda **s: mllib.MLlibClassifier(mllib.linear_svm, s),
     "Tree": lambda **s: mllib.MLlibClassifier(mllib.decision_tree, s),
     "RandomForest": lambda **s: mllib.MLlibClassifier(mllib.random_forest, s),
     "ExtraTrees": lambda **s: mllib.MLlibClassifier(mllib.extra_trees, s),

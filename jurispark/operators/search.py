@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import json
 import logging
+import math
 import random
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from . import compare, metrics
+from . import compare, kernel_svm, metrics
 from .folds import clamped_fold_count, stratified_folds
 from .matrix import Matrix
 from .pls import PLS, PLSModel
@@ -157,16 +158,55 @@ def fit_pls_with_search(
     return model, nu, h, model.score(matrix)
 
 
+@dataclass(frozen=True)
+class Uniform:
+    """A number drawn evenly from [low, high]."""
+
+    low: float
+    high: float
+
+    def draw(self, rng: random.Random) -> float:
+        return rng.uniform(self.low, self.high)
+
+
+@dataclass(frozen=True)
+class Integers:
+    """A whole number drawn evenly from low to high, both included."""
+
+    low: int
+    high: int
+
+    def draw(self, rng: random.Random) -> int:
+        return rng.randint(self.low, self.high)
+
+
 # Settings searched when a tuned classifier is asked for by name, and the one of which the
 # smallest value wins among equals.
 TUNED = {
     "Tree": ({"maxDepth": (2, 5, 10, 30), "minInstancesPerNode": (1, 5)}, "maxDepth"),
     "KNN": ({"k": (1, 3, 5, 9, 15), "weights": ("uniform", "distance")}, "k"),
-    "SVM": ({"regParam": (0.001, 0.01, 0.1, 1.0)}, "regParam"),
+    "LinearSVM": ({"regParam": (0.001, 0.01, 0.1, 1.0)}, "regParam"),
     "quadraticDA": ({"reg_param": tuple(i / 10 for i in range(11))}, "reg_param"),
 }
 
 
+# The same for classifiers whose settings are drawn: (ranges, folds).
+DRAWN = {
+    "SVM": (
+        {
+            "C": Uniform(1e-3, 100.0),
+            "kernel": kernel_svm.KERNELS,
+            "degree": Integers(2, 4),
+            "gamma": Uniform(1e-3, 100.0),
+        },
+        4,
+    ),
+}
+
+# Classifiers that fit all candidates on all folds side by side.
+SIDE_BY_SIDE = {"SVM": kernel_svm.score_candidates}
+
+
 @dataclass(frozen=True)
 class Tuned:
     """A classifier by name whose settings are searched on the training rows at each fit."""
@@ -175,6 +215,10 @@ class Tuned:
     n_folds: int = 5
 
     def fit(self, matrix: Matrix):
+        if self.name in DRAWN:
+            ranges, folds = DRAWN[self.name]
+            best = random_search(matrix, self.name, ranges, folds)
+            return classifier(self.name, **best).fit(matrix)
         grid, smallest = TUNED[self.name]
         best = grid_search(matrix, self.name, grid, self.n_folds, smallest)
         return classifier(self.name, **best).fit(matrix)
@@ -193,6 +237,8 @@ def search_scores(
     matrix: Matrix, name: str, candidates: Sequence[dict], n_folds: int = 5, seed: int = 0
 ) -> DataFrame:
     """(params, fold, score): accuracy of each candidate, written as JSON, on each fold."""
+    if name in SIDE_BY_SIDE:
+        return SIDE_BY_SIDE[name](matrix, candidates, n_folds, seed)
     tasks = [{"params": json.dumps(c, sort_keys=True)} for c in candidates]
     return score_settings(
         matrix.rows.sparkSession, inner_splits(matrix, n_folds, seed), tasks, _accuracy(name),
@@ -205,10 +251,43 @@ def grid_candidates(grid: dict[str, Sequence]) -> list[dict]:
     return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
-def random_candidates(grid: dict[str, Sequence], n_iter: int = 20, seed: int = 0) -> list[dict]:
-    """``n_iter`` combinations drawn without repetition (all of them if there are fewer)."""
-    every = grid_candidates(grid)
-    return every if len(every) <= n_iter else random.Random(seed).sample(every, n_iter)
+def random_candidates(grid: dict, n_iter: int = 20, seed: int = 0) -> list[dict]:
+    """``n_iter`` seeded draws from lists of values, ``Uniform`` and ``Integers`` ranges.
+
+    From lists alone, combinations are drawn without repetition (all of them if there are
+    fewer), by their numbers: the product is never listed.  With a range in the grid every draw
+    is independent.
+    """
+    rng = random.Random(seed)
+    if any(hasattr(values, "draw") for values in grid.values()):
+        return [
+            {k: v.draw(rng) if hasattr(v, "draw") else rng.choice(list(v)) for k, v in grid.items()}
+            for _ in range(n_iter)
+        ]
+    values = [list(v) for v in grid.values()]
+    total = math.prod(len(v) for v in values)
+    if total <= n_iter:
+        return grid_candidates(grid)
+    return [combination(dict(zip(grid, values)), i) for i in distinct_numbers(rng, total, n_iter)]
+
+
+def distinct_numbers(rng: random.Random, total: int, n: int) -> list[int]:
+    """``n`` different numbers below ``total``, which may be beyond what a range can hold."""
+    if total < 2**62:
+        return rng.sample(range(total), n)
+    found: dict[int, None] = {}
+    while len(found) < n:
+        found[rng.randrange(total)] = None
+    return list(found)
+
+
+def combination(grid: dict[str, Sequence], number: int) -> dict:
+    """The combination with a number; the last parameter varies fastest."""
+    out = {}
+    for name in reversed(grid):
+        number, i = divmod(number, len(grid[name]))
+        out[name] = grid[name][i]
+    return {name: out[name] for name in grid}
 
 
 def choose(scores: DataFrame, smallest: str | None = None) -> dict:

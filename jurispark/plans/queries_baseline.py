@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.ordering import rounded
 from ..operators import search
 from ..operators.mllib import LatentSemantics, Topics
+from ..operators.kernel_svm import KernelSVM
 from ..operators.pls import PLS
 from ..operators.registry import classifier, transformation
 from ..operators.vectorizer import Vectorizer
@@ -111,7 +114,7 @@ def predict_named(name, **settings):
 for key, name, settings in (
     ("linear_discriminant", "linearDA", {}),
     ("quadratic_discriminant", "quadraticDA", {"reg_param": 0.1}),
-    ("linear_svm", "SVM", {}),
+    ("linear_svm", "LinearSVM", {}),
     ("decision_tree", "Tree", {}),
     ("random_forest", "RandomForest", {}),
     ("extra_trees", "ExtraTrees", {}),
@@ -177,3 +180,112 @@ def evaluate_grid(spark, sf):
     """Metric table of two classifiers over two folds."""
     folds = jobs.outer_folds(I.matrix(spark, sf).written(), 2)
     return jobs.evaluate_grid({"raw": folds}, "embeddings", ["pls_canonical", "GaussianNB"])
+
+
+def sql_svm(settings: list[tuple[dict, str]], marks: int, fits: str, landmark_rows: str, steps: int = 10) -> str:
+    """Newton steps of kernel machines in SQL, written out: the CTEs up to ``w`` (s, f, a1.., b).
+
+    ``settings`` are (candidate, gamma as SQL); ``fits`` are the folds that models leave out.
+    """
+    n = marks + 1
+    ks = range(1, n)
+
+    def kernel(dot: str, one: str, two: str) -> str:
+        return (
+            f"CASE kernel WHEN 'linear' THEN {dot} WHEN 'poly' THEN pow(gamma * {dot}, degree) "
+            f"ELSE exp(-gamma * greatest({one} + {two} - 2 * {dot}, 0)) END"
+        )
+
+    rows = ", ".join(
+        f"({i}, '{json.dumps(c, sort_keys=True)}', '{c['kernel']}', {c['C']}e0, {gamma}, {c.get('degree', 3)})"
+        for i, (c, gamma) in enumerate(settings)
+    )
+    entry = lambda i, j: "sum(x.k{} * x.k{})".format(i, j)
+    ctes = [
+        """e AS (
+  SELECT vec_id, CASE WHEN label >= 5 THEN 1.0e0 ELSE -1.0e0 END AS y, CAST(embedding AS DOUBLE[]) AS x,
+         (row_number() OVER (PARTITION BY CAST(label >= 5 AS INTEGER)
+                             ORDER BY md5('0:' || vec_id), vec_id) - 1) % 4 AS fold FROM embeddings)""",
+        f"""lm AS (
+  SELECT x, row_number() OVER (ORDER BY md5('0:' || vec_id), vec_id) AS k FROM e
+  WHERE {landmark_rows} QUALIFY k <= {marks})""",
+        f"""u AS (SELECT unnest(x) AS v, generate_subscripts(x, 1) AS i, vec_id FROM e WHERE {landmark_rows}),
+sc AS (SELECT 1 / (nf * (ss / (nr * nf) - pow(s / (nr * nf), 2))) AS scale FROM (
+  SELECT count(DISTINCT i) FILTER (v <> 0) AS nf, count(DISTINCT vec_id) AS nr, sum(v) AS s, sum(v * v) AS ss FROM u))""",
+        f"st AS (SELECT * FROM (VALUES {rows}) v(s, params, kernel, c, gamma0, degree))".replace(
+            "SELECT *", "SELECT s, params, kernel, c, coalesce(gamma0, scale) AS gamma, degree"
+        ).replace("v(s, params, kernel, c, gamma0, degree)", "v(s, params, kernel, c, gamma0, degree), sc"),
+        "pr AS (SELECT vec_id, y, fold, list_dot_product(e.x, e.x) AS len, "
+        + ", ".join(f"list_dot_product(e.x, l{k}.x) AS d{k}, list_dot_product(l{k}.x, l{k}.x) AS q{k}" for k in ks)
+        + " FROM e, " + ", ".join(f"(SELECT x FROM lm WHERE k = {k}) l{k}" for k in ks) + ")",
+        "ker AS MATERIALIZED (SELECT s, c, vec_id, y, fold, "
+        + ", ".join(f"{kernel(f'd{k}', 'len', f'q{k}')} AS k{k}" for k in ks) + f", 1.0e0 AS k{n} FROM pr, st)",
+        "own AS MATERIALIZED (SELECT s, " + ", ".join(
+            f"max(CASE WHEN i = {i} AND j = {j} THEN p END) AS p{i}_{j}" for i in ks for j in ks
+        ) + " FROM (SELECT s, a.k AS i, b.k AS j, "
+        + kernel("list_dot_product(a.x, b.x)", "list_dot_product(a.x, a.x)", "list_dot_product(b.x, b.x)")
+        + " AS p FROM lm a, lm b, st) GROUP BY s)",
+        f"w0 AS (SELECT s, f, {', '.join(f'0.0e0 AS a{i}' for i in range(1, n + 1))} FROM st, {fits})",
+    ]
+    for step in range(1, steps + 1):
+        line = " + ".join(f"w.a{i} * x.k{i}" for i in range(1, n + 1))
+        cells = [
+            (f"any_value(p{i}_{j}) + " if i < n and j < n else "") + f"2 * any_value(x.c) * {entry(i, j)} AS m{i}_{j}"
+            for i in range(1, n + 1) for j in range(1, n + 1)
+        ] + [f"2 * any_value(x.c) * sum(x.k{i} * x.y) AS m{i}_{n + 1}" for i in range(1, n + 1)]
+        ctes.append(
+            f"g{step}_0 AS (SELECT w.s, w.f, {', '.join(cells)} FROM w{step - 1} w JOIN ker x ON x.s = w.s AND x.fold <> w.f "
+            f"JOIN own o ON o.s = w.s WHERE 1 - x.y * ({line}) > 0 GROUP BY w.s, w.f)"
+        )
+        for k in range(1, n + 1):  # elimination of one column
+            made = [
+                f"m{k}_{j} / m{k}_{k} AS m{k}_{j}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k} AS m{i}_{j}"
+                for i in range(1, n + 1) for j in range(k + 1, n + 2)
+            ]
+            ctes.append(f"g{step}_{k} AS (SELECT s, f, {', '.join(made)} FROM g{step}_{k - 1})")
+        ctes.append(
+            f"w{step} AS MATERIALIZED (SELECT s, f, {', '.join(f'm{i}_{n + 1} AS a{i}' for i in range(1, n + 1))} FROM g{step}_{n})"
+        )
+    margin = " + ".join(f"w.a{i} * x.k{i}" for i in range(1, n + 1))
+    ctes.append(f"mg AS (SELECT x.s, w.f, vec_id, y, {margin} AS margin FROM w{steps} w JOIN ker x ON x.s = w.s AND x.fold = w.f)")
+    return "WITH " + ",\n".join(ctes)
+
+
+SVM_MARKS = 3
+
+
+@query("svm_kernel_margins", sql_svm([({"kernel": "rbf", "C": 1.0}, "NULL::DOUBLE")], SVM_MARKS, "(SELECT 0 AS f)", "fold <> 0") + """
+SELECT vec_id, round(margin, 6) + 0.0e0 AS margin, CAST(margin >= 0 AS INTEGER) AS y_pred FROM mg""")
+def svm_kernel_margins(spark, sf):
+    """Radial kernel machine on a few landmarks: margins of the test fold."""
+    train, test = split_matrix(spark, sf)
+    model = KernelSVM("rbf", 1.0, n_landmarks=SVM_MARKS).fit(train)
+    margin = F.col("margins")[0]
+    return model.decision(test).select(
+        F.col("id").alias("vec_id"), rounded(margin).alias("margin"), (margin >= 0).cast("int").alias("y_pred")
+    )
+
+
+SVM_GRID = [
+    *[{"kernel": "linear", "C": c} for c in (0.1, 10.0)],
+    *[{"kernel": "rbf", "C": c, "gamma": g} for c in (0.1, 10.0) for g in (0.01, 0.1)],
+    *[{"kernel": "poly", "C": 1.0, "gamma": 0.1, "degree": d} for d in (2, 3)],
+]
+
+
+@query("svm_kernel_search", sql_svm([(c, f"{c.get('gamma', 0.0)}e0") for c in SVM_GRID], SVM_MARKS, "(SELECT unnest(range(4)) AS f)", "fold >= 0") + """
+SELECT params, CAST(f AS INTEGER) AS fold, avg(CAST((margin >= 0) = (y > 0) AS DOUBLE)) AS score
+FROM mg JOIN st USING (s) GROUP BY params, f""")
+def svm_kernel_search(spark, sf):
+    """All settings on all folds, fitted side by side."""
+    grid = [{**c, "n_landmarks": SVM_MARKS} for c in SVM_GRID]
+    found = search.search_scores(I.matrix(spark, sf).written(), "SVM", grid, n_folds=4)
+    return found.withColumn("params", F.regexp_replace("params", f', "n_landmarks": {SVM_MARKS}', ""))
+
+
+@query("svm_random_search")
+def svm_random_search(spark, sf):
+    """Twenty drawn settings on four folds."""
+    ranges, folds = search.DRAWN["SVM"]
+    candidates = search.random_candidates(ranges, n_iter=20)
+    return search.search_scores(I.matrix(spark, sf).written(), "SVM", candidates, folds)
