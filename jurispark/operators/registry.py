@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import mllib
+from . import mllib, trees
 from .bayes import BernoulliBayes
 from .discriminant import Discriminant
 from .kernel_svm import KernelSVM
@@ -96,7 +96,9 @@ CLASSIFIERS = {
     "LinearSVM": lambda **s: mllib.MLlibClassifier(mllib.linear_svm, s),
     "Tree": lambda **s: mllib.MLlibClassifier(mllib.decision_tree, s),
     "RandomForest": lambda **s: mllib.MLlibClassifier(mllib.random_forest, s),
-    "ExtraTrees": lambda **s: mllib.MLlibClassifier(mllib.extra_trees, s),
+    "ExactTree": lambda **s: trees.Trees(**s),
+    "ExactForest": lambda **s: trees.forest(**s),
+    "ExtraTrees": lambda **s: trees.extra_trees(**s),
     "pls_standard": lambda **s: pls("standard", **s),
     "pls_gini": lambda **s: pls("gini", **s),
     "pls_logit": lambda **s: pls("logit", **s),

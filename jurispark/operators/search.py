@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from . import compare, kernel_svm, metrics
+from . import compare, kernel_svm, metrics, trees
 from .folds import clamped_fold_count, stratified_folds
 from .matrix import Matrix
 from .pls import PLS, PLSModel
@@ -204,7 +204,7 @@ DRAWN = {
 }
 
 # Classifiers that fit all candidates on all folds side by side.
-SIDE_BY_SIDE = {"SVM": kernel_svm.score_candidates}
+SIDE_BY_SIDE = {"SVM": kernel_svm.score_candidates, "ExactTree": trees.score_candidates}
 
 
 @dataclass(frozen=True)

@@ -289,3 +289,69 @@ def svm_random_search(spark, sf):
     ranges, folds = search.DRAWN["SVM"]
     candidates = search.random_candidates(ranges, n_iter=20)
     return search.search_scores(I.matrix(spark, sf).written(), "SVM", candidates, folds)
+
+
+TREE_GRID = [
+    {"criterion": "gini", "max_depth": 1},
+    {"criterion": "gini", "max_depth": 2},
+    {"criterion": "gini", "max_depth": 2, "min_samples_leaf": 20},
+    {"criterion": "entropy", "max_depth": 2},
+    {"criterion": "entropy", "max_depth": 2, "min_samples_leaf": 20},
+]
+
+
+def sql_trees(grid: list[dict], folds: int, depth: int) -> str:
+    """Trees of two classes grown in SQL, level by level: the CTEs up to ``leaf``."""
+    rows = ", ".join(
+        f"({i}, '{json.dumps(c, sort_keys=True)}', '{c['criterion']}', {c.get('min_samples_leaf', 1)}, {c['max_depth']})"
+        for i, c in enumerate(grid)
+    )
+
+    def purity(a: str, b: str) -> str:
+        part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * ln({x} / ({a} + {b})) ELSE 0 END"
+        return f"CASE WHEN criterion = 'gini' THEN ({a} * {a} + {b} * {b}) / ({a} + {b}) ELSE {part(a)} + {part(b)} END"
+
+    ctes = [
+        f"""e AS (
+  SELECT vec_id, CAST(label >= 5 AS INTEGER) AS y, CAST(embedding AS DOUBLE[]) AS x,
+         (row_number() OVER (PARTITION BY CAST(label >= 5 AS INTEGER)
+                             ORDER BY md5('0:' || vec_id), vec_id) - 1) % {folds} AS fold FROM embeddings),
+cells AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS feature FROM e),
+st AS (SELECT * FROM (VALUES {rows}) t(s, params, criterion, leaf, deepest)),
+at0 AS (SELECT s, f, vec_id, y, 1 AS node FROM e, st, (SELECT unnest(range({folds})) AS f) WHERE fold <> f),
+go0 AS (SELECT s, f, vec_id, y, 1 AS node FROM e, st, (SELECT unnest(range({folds})) AS f) WHERE fold = f)"""
+    ]
+    for d in range(depth + 1):
+        ctes.append(f"""tot{d} AS MATERIALIZED (
+  SELECT s, f, node, count(*) AS n, sum(1.0e0 - y) AS c0, sum(1.0e0 * y) AS c1 FROM at{d} GROUP BY ALL),
+lad{d} AS (
+  SELECT s, f, node, feature, v, count(*) AS n, sum(1.0e0 - y) AS c0, sum(1.0e0 * y) AS c1
+  FROM at{d} JOIN cells USING (vec_id) GROUP BY ALL),
+run{d} AS (
+  SELECT s, f, node, feature, v, lead(v) OVER w AS nv, sum(n) OVER w AS ln, sum(c0) OVER w AS l0, sum(c1) OVER w AS l1
+  FROM lad{d} WINDOW w AS (PARTITION BY s, f, node, feature ORDER BY v)),
+sp{d} AS MATERIALIZED (
+  SELECT r.s, r.f, r.node, feature, (v + nv) / 2 AS threshold
+  FROM run{d} r JOIN tot{d} t ON t.s = r.s AND t.f = r.f AND t.node = r.node JOIN st ON st.s = r.s
+  WHERE nv IS NOT NULL AND ln >= leaf AND n - ln >= leaf AND c0 > 0 AND c1 > 0 AND {d} < deepest
+  QUALIFY row_number() OVER (PARTITION BY r.s, r.f, r.node ORDER BY
+    -round({purity('l0', 'l1')} + {purity('(c0 - l0)', '(c1 - l1)')}, 9), feature, v) = 1)""")
+        for name in ("at", "go"):
+            ctes.append(f"""{name}{d + 1} AS MATERIALIZED (
+  SELECT a.s, a.f, a.vec_id, a.y, 2 * a.node + CAST(c.v > threshold AS INTEGER) AS node
+  FROM {name}{d} a JOIN sp{d} b ON a.s = b.s AND a.f = b.f AND a.node = b.node
+  JOIN cells c ON c.vec_id = a.vec_id AND c.feature = b.feature)""")
+    ends = " UNION ALL ".join(
+        f"SELECT g.s, g.f, g.vec_id, g.y, t.c0, t.c1 FROM go{d} g JOIN tot{d} t ON t.s = g.s AND t.f = g.f AND t.node = g.node "
+        f"ANTI JOIN sp{d} p ON p.s = g.s AND p.f = g.f AND p.node = g.node" for d in range(depth + 1)
+    )
+    return "WITH " + ",\n".join(ctes) + f",\nleaf AS ({ends})"
+
+
+@query("tree_exact_search", sql_trees(TREE_GRID, 4, 2) + """
+SELECT params, CAST(f AS INTEGER) AS fold,
+       avg(CASE WHEN y = CASE WHEN c1 > c0 THEN 1 ELSE 0 END THEN 1.0e0 ELSE 0.0e0 END) AS score
+FROM leaf JOIN st USING (s) GROUP BY params, f""")
+def tree_exact_search(spark, sf):
+    """Exact trees of all settings on all folds, grown side by side."""
+    return search.search_scores(I.matrix(spark, sf).written(), "ExactTree", TREE_GRID, n_folds=4)
