@@ -69,6 +69,29 @@ def posting_lines(postings: DataFrame, doc_id: str = "doc_id", docs_per_line: in
     )
 
 
+def posting_directory(lines: DataFrame) -> DataFrame:
+    """(cluster, part, n_docs, first_doc): what each posting line holds, without reading it."""
+    entries = F.split("postings", ":")
+    return lines.select(
+        "cluster",
+        "part",
+        F.size(entries).alias("n_docs"),
+        F.substring_index(entries[0], "-", 1).alias("first_doc"),
+    )
+
+
+def read_postings(directory: DataFrame, lines: DataFrame, cluster, doc_id: int) -> DataFrame:
+    """(doc_id, n) of the one posting line of ``cluster`` that may hold ``doc_id``."""
+    mine = directory.where((F.col("cluster") == F.lit(cluster)) & (F.col("first_doc").cast("long") <= doc_id))
+    part = mine.agg(F.max("part")).first()[0]
+    line = lines.where((F.col("cluster") == F.lit(cluster)) & (F.col("part") == F.lit(part)))
+    entry = F.explode(F.split("postings", ":")).alias("e")
+    return line.select(entry).select(
+        F.substring_index("e", "-", 1).cast("long").alias("doc_id"),
+        F.substring_index("e", "-", -1).cast("long").alias("n"),
+    )
+
+
 def index_summary(index: DataFrame, documents: DataFrame) -> DataFrame:
     """One row: number of clusters found and number of documents scanned."""
     n_files = documents.agg(F.count(F.lit(1))).scalar()

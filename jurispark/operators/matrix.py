@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
@@ -145,6 +146,19 @@ def standardize(matrix: Matrix, stats: DataFrame, n_features: int | None = None)
 
 
 def encode_labels(df: DataFrame, label: str, name: str = "label_index") -> DataFrame:
-    """Add the position (from 0) of the label among the sorted distinct labels."""
-    ordered = df.agg(F.array_sort(F.collect_set(label))).scalar()
-    return df.withColumn(name, (F.array_position(ordered, F.col(label)) - 1).cast("int"))
+    """Add the position (from 0) of the label among the sorted distinct labels; NULL for NULL.
+
+    The distinct labels are sorted across tasks and counted per partition, so their number is
+    not bound by one task either.
+    """
+    labels = df.select(label).where(F.col(label).isNotNull()).distinct()
+    placed = materialize(
+        labels.repartitionByRange(label).sortWithinPartitions(label).withColumn("_at", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    shift = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    place = F.col("_at") - F.shiftleft(part, 33) + F.col("_shift")
+    numbered = placed.withColumn("_part", part).join(shift, "_part").select(label, place.cast("int").alias(name))
+    return df.join(numbered, label, "left").select(*df.columns, name)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators import compare, metrics, selection
@@ -234,6 +237,36 @@ def predict_config(
     return encoded(classifier(clf, **settings).fit(train).predict(test), classes)
 
 
+MANIFEST = "path string, n long, kind string"
+
+
+def write_part(preds: DataFrame, where: str) -> DataFrame:
+    """Write predictions to a new folder below ``where``, then a manifest that names it.
+
+    The manifest comes last and holds the number of rows, so what a broken run leaves behind
+    (part files without a manifest, or a manifest that was not committed) does not count.
+    """
+    spark = preds.sparkSession
+    path = f"{where}/rows-{uuid.uuid4().hex}"
+    preds.write.parquet(path)
+    table = spark.read.schema(preds.schema).parquet(path)
+    entry = spark.createDataFrame([(path, table.count(), preds.schema.json())], MANIFEST)
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{where}/manifest")
+    return table
+
+
+def finished_part(spark: SparkSession, where: str) -> DataFrame | None:
+    """The predictions that the manifest below ``where`` names, if they are whole."""
+    if not path_exists(spark, f"{where}/manifest"):
+        return None
+    entry = spark.read.schema(MANIFEST).parquet(f"{where}/manifest").first()
+    if entry is None or not path_exists(spark, entry["path"]):
+        return None
+    kind = StructType.fromJson(json.loads(entry["kind"]))
+    table = spark.read.schema(kind).parquet(entry["path"])
+    return table if table.count() == entry["n"] else None
+
+
 def evaluate_grid(
     vectors: dict[str, list[tuple[int, Matrix, Matrix]]],
     category: str,
@@ -245,8 +278,8 @@ def evaluate_grid(
     """Metric table of every (vectorization, transformation, classifier) over its folds.
 
     ``vectors`` maps a vectorization name to its (fold, train, test) list.  Predictions
-    are written once per configuration and fold below ``cache`` and reused if present;
-    the metrics are one aggregate over all of them.
+    are written once per configuration and fold below ``cache`` and reused if they were
+    finished (see ``finished_part``); the metrics are one aggregate over all of them.
     """
     parts = []
     for vectorization, folds in vectors.items():
@@ -258,15 +291,10 @@ def evaluate_grid(
                         f"{cache}/category={category}/vectorization={vectorization}"
                         f"/space={space}/classifier={clf}/fold={fold}"
                     )
-                    if where and path_exists(spark, where):
-                        preds = spark.read.parquet(where)
-                    else:
+                    preds = finished_part(spark, where) if where else None
+                    if preds is None:
                         preds = predict_config(train, test, clf, space, balance)
-                        if where:
-                            preds.write.parquet(where)
-                            preds = spark.read.parquet(where)
-                        else:
-                            preds = materialize(preds)
+                        preds = write_part(preds, where) if where else materialize(preds)
                     parts.append(
                         preds.select(
                             F.lit(category).alias("category"),

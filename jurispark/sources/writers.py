@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.clusters import posting_directory
 from ..operators.matrix import Matrix
 from .readers import ID_COL, LABEL_COL, METRIC_COLS, PREDICTION_COLS, TEXT_COL
 
@@ -92,9 +93,15 @@ def write_class_files(docs: DataFrame, path: str) -> None:
 def write_cluster_index(
     index: DataFrame, lines: DataFrame, documents: DataFrame, summary: DataFrame, path: str
 ) -> None:
-    """Cluster table, posting lines, document list and summary of a cluster index."""
+    """Cluster table, posting lines and their directory, chunk count, document list and summary
+    of a cluster index."""
     _delimited(index, f"{path}/index")
     _delimited(lines, f"{path}/postings")
+    _delimited(posting_directory(lines), f"{path}/chunks")
+    _delimited(
+        index.agg(F.count(F.lit(1)).alias("n")).select(F.lit("#").alias("chunk"), F.lit(1).alias("number"), "n"),
+        f"{path}/chunk_index",
+    )
     _delimited(documents, f"{path}/corpus_index")
     text = F.concat_ws(
         "\n",

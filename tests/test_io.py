@@ -112,6 +112,10 @@ def test_cluster_files(spark, tmp_path):
     writers.write_cluster_index(index, clusters.posting_lines(postings), documents, summary, str(tmp_path / "i"))
     info = {r["value"] for r in spark.read.text(str(tmp_path / "i" / "info")).collect()}
     assert "NB_FILES=2" in info and "SIZE_VOC=1" in info
+    chunk = spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "i" / "chunk_index")).first()
+    assert tuple(chunk) == ("#", "1", "1")
+    held = spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "i" / "chunks")).first()
+    assert (held["cluster"], held["n_docs"], held["first_doc"]) == ("c3", "2", "0")
 
 
 def test_metric_files(spark, tmp_path):

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from jurispark.operators import lemmas
-from jurispark.operators.matrix import Matrix
+from jurispark.operators import clusters, lemmas
+from jurispark.operators.matrix import Matrix, encode_labels
 from jurispark.operators.pls import PLS
 from jurispark.plans import jobs
 from jurispark.sources import readers
@@ -51,3 +51,40 @@ def test_lemmas_come_before_the_filters(spark):
 def test_predictions_without_the_names(spark, tmp_path):
     (tmp_path / "p.tsv").write_text("truth\tguess\n1\t0\n0\t0\n")
     assert {tuple(r) for r in readers.predictions(spark, str(tmp_path / "p.tsv")).collect()} == {(1, 0), (0, 0)}
+
+
+def test_what_a_broken_run_left_is_done_again(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(12)], "id long, label int")
+    m = Matrix(rows, rows.select("id", F.lit(0).alias("feature"), F.col("label").cast("double").alias("value")))
+    calls = []
+    predict = jobs.predict_config
+    monkeypatch.setattr(jobs, "predict_config", lambda *a: calls.append(a[2]) or predict(*a))
+    run = lambda: sorted(map(tuple, jobs.evaluate_grid({"raw": [(0, m, m)]}, "c", ["GaussianNB"], cache=str(tmp_path)).collect()))
+    first = run()
+    assert run() == first and len(calls) == 1
+    (where,) = tmp_path.glob("*/*/*/*/*")
+    (part,) = where.glob("rows-*")
+    for hurt in (
+        lambda: [p.unlink() for p in (where / "manifest").iterdir()],  # ended before the manifest was committed
+        lambda: [p.unlink() for p in max(where.glob("rows-*"), key=lambda p: p.stat().st_mtime).glob("*part-*")],  # rows lost
+    ):
+        hurt()
+        assert run() == first
+    assert len(calls) == 3 and part.exists()
+
+
+def test_label_codes_follow_the_sorted_labels(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(["b", None, "é", "a", "b", ""])], "id long, y string")
+    got = {r["id"]: r["label_index"] for r in encode_labels(df, "y").collect()}
+    assert got == {0: 2, 1: None, 2: 3, 3: 1, 4: 2, 5: 0}
+    assert encode_labels(df, "y").columns == ["id", "y", "label_index"]
+
+
+def test_a_posting_line_is_found_by_its_directory(spark):
+    postings = spark.createDataFrame([("c", 10 * i, i + 1) for i in range(50)] + [("d", 3, 9)], "cluster string, doc_id long, n long")
+    lines = clusters.posting_lines(postings, docs_per_line=8)
+    directory = clusters.posting_directory(lines)
+    assert {(r["cluster"], r["part"]): r["n_docs"] for r in directory.collect()}[("c", 6)] == 2
+    found = {r["doc_id"]: r["n"] for r in clusters.read_postings(directory, lines, "c", 170).collect()}
+    assert found[170] == 18 and len(found) == 8
+    assert clusters.read_postings(directory, lines, "none", 1).collect() == []
