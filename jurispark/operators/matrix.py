@@ -102,9 +102,15 @@ def feature_stats(matrix: Matrix) -> DataFrame:
     return stats_of_cells(matrix.cells.where("value <> 0").join(y, "id"), n, sy)
 
 
-def stats_of_cells(cells: DataFrame, n: float, sy: float) -> DataFrame:
-    """``feature_stats`` from nonzero cells (feature, value, y) of a matrix of ``n`` rows."""
-    agg = cells.groupBy("feature").agg(
+def stats_of_cells(
+    cells: DataFrame, n: float | Column, sy: float | Column, by: Sequence[str] = ("feature",)
+) -> DataFrame:
+    """``feature_stats`` from nonzero cells (feature, value, y) of a matrix of ``n`` rows.
+
+    For several matrices at once, ``by`` also names the columns that tell them apart and hold
+    their ``n`` and ``sy``.
+    """
+    agg = cells.groupBy(*by).agg(
         F.count(F.lit(1)).alias("nnz"),
         F.avg("value").alias("_m"),
         F.var_pop("value").alias("_v"),
@@ -119,7 +125,7 @@ def stats_of_cells(cells: DataFrame, n: float, sy: float) -> DataFrame:
     y_zero = F.when(zeros > 0, (F.lit(sy) - F.col("_sy")) / zeros).otherwise(0.0)
     cross = F.col("_c") * k + m * (F.col("_sy") / k - y_zero) * k * zeros / n
     return agg.select(
-        "feature",
+        *by,
         "nnz",
         F.col("_sy").alias("sy"),
         (m * k / n).alias("mean"),

@@ -168,7 +168,8 @@ class PLS:
         ladder = prep.ladder
         if self.variant == "gini":
             cross = F.col("r") * (F.col("sy") - F.col("cnt") * prep.y_mean)
-            cov = F.sum(cross) / ((prep.n - 1) * y_sd)
+            # Ranks to the power 0 are all equal: no covariance, not rounding noise either.
+            cov = F.lit(0.0) if self.nu == 1 else F.sum(cross) / ((prep.n - 1) * y_sd)
             return (
                 ladder.groupBy("feature").agg((-self.nu * cov).alias("w"))
                 .join(features.select("feature"), "feature")
@@ -276,9 +277,8 @@ class PLS:
         )
         rank = F.col("cnt_before") + (F.col("cnt") + 1) / 2.0
         v = ranks.gini_rank(rank, prep.n, self.nu)
-        return ranked.groupBy("feature").agg(
-            (-self.nu * F.sum(v * F.col("s")) / (prep.n - 1)).alias("w")
-        )
+        cov = F.lit(0.0) if self.nu == 1 else F.sum(v * F.col("s")) / (prep.n - 1)
+        return ranked.groupBy("feature").agg((-self.nu * cov).alias("w"))
 
     def _normalise(self, raw: DataFrame, ts: list[str]) -> tuple[DataFrame, float, float, list[float]]:
         """Write raw weights; return them with their norm and the sums the scores need.

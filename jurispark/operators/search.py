@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from . import compare, kernel_svm, metrics, trees
+from . import compare, kernel_svm, metrics, pls_grid, trees
 from .folds import clamped_fold_count, stratified_folds
 from .matrix import Matrix
 from .pls import PLS, PLSModel
@@ -82,10 +82,22 @@ def pls_scores(
 ) -> DataFrame:
     """(nu, n_comp, fold, score): macro F1 of every setting on every inner fold.
 
-    Numbers of components share their first components, so each (nu, fold) is fitted
-    once, with the largest number, and scored for all; only with variable elimination,
-    or if that fit fails, are they fitted one by one.
+    The variants without a regression per feature are fitted side by side, all nu and folds
+    in the same passes.  Elsewhere numbers of components share their first components, so each
+    (nu, fold) is fitted once, with the largest number, and scored for all; only with variable
+    elimination, or if that fit fails, are they fitted one by one.
     """
+    valid = min(n_components_range) >= 1 and min(nu_range) > 0
+    if params.variant in pls_grid.SIDE_BY_SIDE and not params.use_vip and valid:
+        try:
+            k = clamped_fold_count(matrix.rows, n_folds, "label")
+            marked = materialize(stratified_folds(matrix.rows, k, "label", "id", seed))
+            folds = [0] if only_first else range(k)
+            return pls_grid.grid_scores(
+                matrix, marked, params, nu_range, [int(h) for h in n_components_range], folds
+            )
+        except ValueError:  # a fold that cannot be fitted: the others are, one by one
+            log.exception("not fitted side by side")
     splits = inner_splits(matrix, n_folds, seed, only_first)
     sizes = [int(h) for h in n_components_range]
 

@@ -15,7 +15,7 @@ from ..operators.registry import classifier, transformation
 from ..operators.vectorizer import Vectorizer
 from . import inputs as I
 from . import jobs
-from .queries_model import STD1, STD2, on_split, split_matrix
+from .queries_model import STD1, STD2, average_rank, determinant, on_split, split_matrix
 from .registry import query
 
 SQL_DISTANCES = "WITH " + """folds AS (
@@ -148,11 +148,97 @@ def pls_space_tree(spark, sf):
     return out.select(F.col("id").alias("vec_id"), "label", "y_pred")
 
 
-@query("pls_search")
+def sql_pls_grid(nus, folds: int, h: int) -> str:
+    """Rank-covariance models of all nu on all folds, written out: the CTEs up to ``tt{h}`` and ``co1..h``.
+
+    Keys: s (nu), f (the fold left out).  ``rz`` holds centred ranks, those of left-out rows as if each
+    joined the training rows alone.
+    """
+    values = ", ".join(f"({i}, {float(nu)}e0)" for i, nu in enumerate(nus))
+
+    def solve(j: int, side: str) -> list[str]:
+        """Cramer's rule for the moments of j components; 0 where they are all 0."""
+        gram = [[f"g{min(a, b)}{max(a, b)}" for b in range(1, j + 1)] for a in range(1, j + 1)]
+        swapped = lambda l: [[f"{side}{a + 1}" if b == l else gram[a][b] for b in range(j)] for a in range(j)]
+        return [f"coalesce(({determinant(swapped(l))}) / nullif({determinant(gram)}, 0), 0)" for l in range(j)]
+
+    weights = "coalesce(c / nullif(sum(abs(c)) OVER (PARTITION BY s, f), 0), 0) AS w"
+    cov = "CASE WHEN any_value(nu) = 1 THEN 0 ELSE -any_value(nu) * covar_samp({v}, {y}) END AS c"
+    ctes = [
+        I.MATRIX,
+        f"""fo AS (
+  SELECT vec_id, y, (row_number() OVER (PARTITION BY y ORDER BY md5('0:' || vec_id), vec_id) - 1) % {folds} AS fold
+  FROM (SELECT DISTINCT vec_id, y FROM cells)),
+nus AS (SELECT * FROM (VALUES {values}) t(s, nu)),
+x AS MATERIALIZED (SELECT f, vec_id, c.y, feature, v, fold
+  FROM cells c JOIN fo USING (vec_id), (SELECT unnest(range({folds})) AS f)),
+st AS (SELECT f, feature, avg(v) AS m, stddev_samp(v) AS sd FROM x WHERE fold <> f
+       GROUP BY f, feature HAVING min(v) <> max(v)),
+ym AS (SELECT f, avg(y) AS ym, stddev_samp(y) AS ysd, count(*) AS n
+       FROM (SELECT DISTINCT f, vec_id, y FROM x WHERE fold <> f) GROUP BY f),
+rk AS MATERIALIZED (SELECT f, vec_id, feature, v, {average_rank('f, feature', 'v')} AS rank
+       FROM x JOIN st USING (f, feature) WHERE fold <> f),
+r AS MATERIALIZED (SELECT s, f, vec_id, feature, nu, pow(n + 1 - rank, nu - 1) AS r FROM rk JOIN ym USING (f), nus),
+pairs AS (
+  SELECT s, a.f, a.vec_id, a.feature, any_value(n) AS n, any_value(nu) AS nu,
+         count(*) FILTER (b.v < a.v) AS lower, count(*) FILTER (b.v = a.v) AS same,
+         coalesce(sum(pow(n + 2 - b.rank, nu - 1)) FILTER (b.v < a.v), 0)
+         + coalesce(sum(pow(n + 1 - b.rank, nu - 1)) FILTER (b.v > a.v), 0) AS others
+  FROM x a JOIN rk b ON a.f = b.f AND a.feature = b.feature JOIN ym ON ym.f = a.f, nus
+  WHERE a.fold = a.f GROUP BY s, a.f, a.vec_id, a.feature),
+own AS (SELECT *, pow(n + 2 - (lower + same / 2.0e0 + 1), nu - 1) AS r FROM pairs),
+rz AS MATERIALIZED (
+  SELECT s, f, vec_id, feature, r - avg(r) OVER (PARTITION BY s, f, feature) AS z FROM r
+  UNION ALL SELECT s, f, vec_id, feature, r - (others + (same + 1) * r) / (n + 1) AS z FROM own),
+v0 AS (SELECT s, f, feature, {cov.format(v='r', y='ys')}
+       FROM r JOIN (SELECT f, vec_id, (y - ym) / ysd AS ys FROM fo, ym) USING (f, vec_id) GROUP BY s, f, feature),
+w1 AS MATERIALIZED (SELECT s, f, feature, {weights} FROM v0),
+tt1 AS MATERIALIZED (
+  SELECT s, f, vec_id, any_value(fold) AS fold, any_value(x.y) AS y, any_value((x.y - ym) / ysd) AS ys,
+         sum((v - m) / sd * w) AS t1
+  FROM x JOIN st USING (f, feature) JOIN w1 USING (f, feature) JOIN ym USING (f) GROUP BY s, f, vec_id)""",
+    ]
+    for j in range(1, h + 1):
+        each = range(1, j + 1)
+        sums = [f"sum(t{a} * t{b}) AS g{a}{b}" for a in each for b in each if a <= b]
+        sums += [f"sum(t{a} * ys) AS q{a}, avg(t{a}) AS m{a}" for a in each]
+        ctes.append(f"mo{j} AS (SELECT s, f, {', '.join(sums)} FROM tt{j} WHERE fold <> f GROUP BY s, f)")
+        ctes.append(f"co{j} AS MATERIALIZED (SELECT *, " + ", ".join(f"{x} AS c{l + 1}" for l, x in enumerate(solve(j, "q"))) + f" FROM mo{j})")
+        if j == h:
+            break
+        ctes.append(f"""bx{j} AS (SELECT s, f, feature, {', '.join(f'sum(z * t{a}) AS x{a}' for a in each)}
+  FROM rz JOIN tt{j} USING (s, f, vec_id) WHERE fold <> f GROUP BY s, f, feature),
+bb{j} AS MATERIALIZED (SELECT s, f, feature, {', '.join(f'{x} AS b{l + 1}' for l, x in enumerate(solve(j, 'x')))}
+  FROM bx{j} JOIN co{j} USING (s, f)),
+re{j} AS MATERIALIZED (
+  SELECT s, f, vec_id, feature, fold, z - ({' + '.join(f't{a} * b{a}' for a in each)}) AS res,
+         ys - ({' + '.join(f't{a} * c{a}' for a in each)}) AS eps
+  FROM rz JOIN tt{j} USING (s, f, vec_id) JOIN bb{j} USING (s, f, feature) JOIN co{j} USING (s, f)),
+rq{j} AS (SELECT s, f, feature, eps, round(res, 10) AS q FROM re{j} WHERE fold <> f),
+rv{j} AS (SELECT s, f, feature, eps, nu, pow(n + 1 - {average_rank('s, f, feature', 'q')}, nu - 1) AS v2
+  FROM rq{j} JOIN ym USING (f) JOIN nus USING (s)),
+v{j} AS (SELECT s, f, feature, {cov.format(v='v2', y='eps')} FROM rv{j} GROUP BY s, f, feature),
+w{j + 1} AS MATERIALIZED (SELECT s, f, feature, {weights} FROM v{j}),
+sc{j + 1} AS (SELECT s, f, vec_id, sum(res * w) AS t{j + 1} FROM re{j} JOIN w{j + 1} USING (s, f, feature) GROUP BY s, f, vec_id),
+tt{j + 1} AS MATERIALIZED (SELECT * FROM tt{j} JOIN sc{j + 1} USING (s, f, vec_id))""")
+    guesses = " UNION ALL ".join(
+        f"SELECT s, f, {j} AS n_comp, y, CAST({' + '.join(f'c{a} * t{a}' for a in range(1, j + 1))} >= "
+        f"{' + '.join(f'c{a} * m{a}' for a in range(1, j + 1))} AS INTEGER) AS p "
+        f"FROM tt{h} JOIN co{j} USING (s, f) WHERE fold = f" for j in range(1, h + 1)
+    )
+    return "WITH " + ",\n".join(ctes) + f",\ngu AS ({guesses})"
+
+
+@query("pls_search", sql_pls_grid(search.NU_RANGE, search.SEARCH_FOLDS, max(search.COMPONENTS_RANGE)) + """
+SELECT nu, CAST(n_comp AS INTEGER) AS n_comp, CAST(f AS INTEGER) AS fold,
+       round((coalesce(2.0e0 * sum(y * p) / nullif(sum(y) + sum(p), 0), 0)
+        + coalesce(2.0e0 * sum((1 - y) * (1 - p)) / nullif(sum(1 - y) + sum(1 - p), 0), 0)) / 2, 6) AS score
+FROM gu JOIN nus USING (s) GROUP BY nu, n_comp, f""")
 def pls_search(spark, sf):
-    """Score table of a small (nu, components) grid."""
+    """Score table of the default (nu, components) grid, all models fitted side by side."""
     m = I.matrix(spark, sf).written()
-    return search.pls_scores(m, PLS("gini"), [1.5, 2.0], [1], n_folds=2)
+    scores = search.pls_scores(m, PLS("gini"), search.NU_RANGE, search.COMPONENTS_RANGE)
+    return scores.withColumn("score", rounded(F.col("score")))
 
 
 @query("tree_grid_search")
