@@ -49,7 +49,7 @@ def test_power_zero_has_no_weights(spark):
 
 
 def test_components_of_one_model(spark):
-    """The first model's components are those of a single fit, for all rows."""
+    """Components of training rows and of rows that join them are those of a single fit."""
     X, y = tied_matrix(22, n=30, k=4)
     X = np.asarray(X, dtype=float)
     X[:, 0] += 20  # a column without zeros
@@ -64,9 +64,10 @@ def test_components_of_one_model(spark):
     rows, fits = kept[0]
     np.testing.assert_allclose(fits[2][0, 1][1], model.coefficients[2], rtol=1e-8)
     got = {r["id"]: [r[t][1] for t in ("t1", "t2", "t3")] for r in rows.where("g = 0").collect()}
-    for part in (train, test):
-        for r in model.transform(part).collect():
-            np.testing.assert_allclose(got[r["id"]], [r["t1"], r["t2"], r["t3"]], atol=1e-9)
+    for part in (model.train_rows, model.transform(test)):
+        for r in part.collect():
+            np.testing.assert_allclose(got.pop(r["id"]), [r["t1"], r["t2"], r["t3"]], atol=1e-9)
+    assert not got
 
 
 def test_without_broadcasts(spark, monkeypatch):
