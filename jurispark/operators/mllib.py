@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from operator import itemgetter
 
-import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -15,14 +13,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize, scratch_path
+from ..sources.scratch import scratch_path
 from .matrix import Matrix
-from .skew import weighted_join
 from .terms import distinct_labels
 from .vectors import FeatureSpace
 
@@ -101,50 +96,6 @@ def _as_matrix(table: DataFrame, values, prefix: str) -> Matrix:
     return Matrix(table.select("id", "label"), cells.where("value <> 0"))
 
 
-@dataclass(frozen=True)
-class LatentSemantics:
-    """Truncated singular value decomposition without centring."""
-
-    n_components: int = 10
-
-    def fit(self, matrix: Matrix) -> LatentSemanticsModel:
-        space = FeatureSpace.of(matrix)
-        vectors = space.vectors(matrix)
-        k = min(self.n_components, space.size)
-        old = MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features")
-        rows = old.rdd.map(itemgetter(0))
-        svd = RowMatrix(rows, numCols=space.size).computeSVD(k)
-        names = [f"s{j + 1}" for j in range(k)]
-        directions = pd.DataFrame(svd.V.toArray(), columns=names).assign(fidx=range(space.size))
-        local = vectors.sparkSession.createDataFrame(directions)
-        table = materialize(space.index.join(local, "fidx").drop("fidx"))
-        return LatentSemanticsModel(table, space.size, [float(x) for x in svd.s])
-
-
-@dataclass(frozen=True)
-class LatentSemanticsModel:
-    """Directions as a table (feature, nnz, s1..sk) and the singular values."""
-
-    table: DataFrame
-    n_features: int
-    values: list[float]
-
-    def transform(self, matrix: Matrix) -> Matrix:
-        names = [f"s{j + 1}" for j in range(len(self.values))]
-        sums = (
-            weighted_join(
-                matrix.cells.where("value <> 0"), self.table, ["feature"], "nnz", ["id"],
-                self.n_features,
-            )
-            .groupBy("id")
-            .agg(*[F.sum(F.col("value") * F.col(s)).alias(s) for s in names])
-        )
-        entries = F.array(
-            *[F.struct(F.lit(s).alias("feature"), F.col(s).alias("value")) for s in names]
-        )
-        return Matrix(matrix.rows, sums.select("id", F.inline(entries)).where("value <> 0"))
-
-
 @dataclass(frozen=True)
 class Topics:
     """Topic model by online variational Bayes."""

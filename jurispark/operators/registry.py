@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import mllib, trees
+from . import lsa, mllib, trees
 from .bayes import BernoulliBayes
 from .discriminant import Discriminant
 from .kernel_svm import KernelSVM
@@ -108,7 +108,7 @@ CLASSIFIERS = {
 }
 
 TRANSFORMATIONS = {
-    "lsa": lambda **s: mllib.LatentSemantics(**s),
+    "lsa": lambda **s: lsa.LatentSemantics(**s),
     "latentDA": lambda **s: mllib.Topics(**s),
     "linearDA": CLASSIFIERS["linearDA"],
     "quadraticDA": CLASSIFIERS["quadraticDA"],

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import rounded
 from ..operators import search
-from ..operators.mllib import LatentSemantics, Topics
 from ..operators.kernel_svm import KernelSVM
+from ..operators.lsa import LatentSemantics
+from ..operators.mllib import Topics
 from ..operators.pls import PLS
 from ..operators.registry import classifier, transformation
 from ..operators.vectorizer import Vectorizer
@@ -126,7 +127,7 @@ for key, name, settings in (
 def lsa_transform(spark, sf):
     """Documents in the space of the first singular vectors of their TF-IDF weights."""
     docs = I.all_labelled(spark, sf)
-    weights = Vectorizer("tfidf", norm="l2", df_min=5).fit(docs, words="words").transform(docs, words="words")
+    weights = Vectorizer("tfidf", norm="l2").fit(docs, words="words").transform(docs, words="words")
     m = I.Matrix.from_weights(docs, weights)
     return LatentSemantics(5).fit(m).transform(m).cells
 
