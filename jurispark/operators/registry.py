@@ -14,6 +14,7 @@ from .kernel_svm import KernelSVM
 from .knn import Neighbours
 from .matrix import Matrix
 from .pls import PLS, PLSModel
+from .spectral import SpectralDiscriminant
 
 # Settings the named variants use when none are given.
 DEFAULT_COMPONENTS, DEFAULT_NU = 2, 14.0
@@ -88,7 +89,7 @@ def pls(variant: str, n_components: int = DEFAULT_COMPONENTS, nu: float = DEFAUL
 
 
 CLASSIFIERS = {
-    "linearDA": lambda **s: Discriminant("linear", **s),
+    "linearDA": lambda **s: SpectralDiscriminant(**s),
     "quadraticDA": lambda **s: Discriminant("quadratic", **s),
     "GaussianNB": lambda **s: BernoulliBayes(**s),
     "KNN": lambda **s: Neighbours(**s),

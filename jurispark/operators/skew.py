@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize_with
+
 # A model table is broadcast only up to this many rows (tens of MB as a hash table).
 BROADCAST_ROWS = 500_000
 # A key is cut into slices of about this many rows ...
 ROWS_PER_SLICE = 1_000_000
 # ... and at most this many keys count as hot, which bounds the hot-key broadcast.
 MAX_HOT_KEYS = 1_000
+# A bucket of running totals with more rows is cut into this many equal spans of its values.
+SPANS = 1_024
 
 
 def weighted_join(
@@ -72,6 +76,41 @@ def salted_join(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def cut_buckets(
+    df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], bucket: Column
+) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with ``_bucket``, sums of ``measures`` per keys and ``_bucket``): no bucket too large.
+
+    A bucket is an array that sorts by its entries.  One with more than max(ROWS_PER_SLICE,
+    total / MAX_HOT_KEYS) rows gets one more entry: which of SPANS equal spans between its
+    smallest and its largest value a row lies in.  That follows the order, and the two extremes
+    part, so every round tells values apart that the last one did not.  At most MAX_HOT_KEYS
+    buckets can be that large, which bounds their broadcast.  ``order`` is a finite number, and so
+    is the distance of two values in one bucket.
+    """
+    parts = df.withColumn("_bucket", F.array(bucket.cast("int")))
+    while True:
+        found = parts.groupBy(*keys, "_bucket").agg(
+            *[F.sum(m).alias(m) for m in measures],
+            F.count(F.lit(1)).alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"),
+        )
+        sums, seen = materialize_with(
+            found, F.sum("_n").alias("n"), F.max(F.when(F.col("_low") < F.col("_high"), F.col("_n"))).alias("most")
+        )
+        limit = max(ROWS_PER_SLICE, (seen["n"] or 0) / MAX_HOT_KEYS)
+        if (seen["most"] or 0) <= limit:
+            return parts, sums.drop("_n", "_low", "_high")
+        large = sums.where((F.col("_n") > limit) & (F.col("_low") < F.col("_high")))
+        share = (F.col(order) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        span = F.least(F.floor(share * SPANS), F.lit(SPANS - 1)).cast("int")
+        parts = (
+            parts.join(F.broadcast(large.select(*keys, "_bucket", "_low", "_high")), [*keys, "_bucket"], "left")
+            .withColumn("_bucket", F.when(F.col("_low").isNull(), F.col("_bucket")).otherwise(
+                F.concat("_bucket", F.array(span))))
+            .select(*parts.columns)
+        )
+
+
 def running_totals(
     df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], bucket: Column
 ) -> DataFrame:
@@ -80,11 +119,11 @@ def running_totals(
     ``df`` has one row per (keys, order).  ``bucket`` must follow the order.  Each
     task sorts one bucket of one key; the carry between buckets comes from a
     per-bucket aggregate, so a key with most of the rows is spread over many tasks.
+    Buckets are counted, and those that hold too many rows are cut by ``cut_buckets``.
     """
     keys = list(keys)
-    parts = df.withColumn("_bucket", bucket)
+    parts, sums = cut_buckets(df, keys, order, measures, bucket)
     before = (W.unboundedPreceding, -1)
-    sums = parts.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     across = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(*before)
     carry = sums.select(
         *keys,

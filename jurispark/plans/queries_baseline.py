@@ -113,7 +113,6 @@ def predict_named(name, **settings):
 
 
 for key, name, settings in (
-    ("linear_discriminant", "linearDA", {}),
     ("quadratic_discriminant", "quadraticDA", {"reg_param": 0.1}),
     ("linear_svm", "LinearSVM", {}),
     ("decision_tree", "Tree", {}),
@@ -123,6 +122,41 @@ for key, name, settings in (
     query(key)(predict_named(name, **settings))
 
 
+def sql_discriminant(steps: int = 40) -> str:
+    """The two-class discriminant in SQL: conjugate gradients on the covariance within classes, written out."""
+    ctes = ["""mu AS (SELECT y, feature, avg(v) AS m FROM cells GROUP BY y, feature),
+sizes AS (SELECT count(DISTINCT vec_id) AS n, count(DISTINCT vec_id) FILTER (y = 1) AS n1 FROM cells),
+z AS MATERIALIZED (SELECT vec_id, feature, v - m AS z FROM cells JOIN mu USING (y, feature)),
+g AS MATERIALIZED (SELECT a.feature AS i, b.feature AS j, sum(a.z * b.z) / (any_value(n) - 2) AS g
+  FROM z a JOIN z b USING (vec_id), sizes GROUP BY a.feature, b.feature),
+v0 AS MATERIALIZED (SELECT a.feature AS i, 0.0e0 AS x, a.m - b.m AS r, a.m - b.m AS p
+  FROM mu a JOIN mu b USING (feature) WHERE a.y = 1 AND b.y = 0)"""]
+    for k in range(steps):
+        ctes.append(f"""q{k} AS (SELECT g.i, sum(g * p) AS q FROM g JOIN v{k} v ON v.i = g.j GROUP BY g.i),
+u{k} AS (SELECT i, x + a * p AS x, r - a * q AS r, p, rr FROM (
+  SELECT *, sum(r * r) OVER () AS rr, coalesce(sum(r * r) OVER () / nullif(sum(p * q) OVER (), 0), 0) AS a
+  FROM v{k} JOIN q{k} USING (i))),
+v{k + 1} AS MATERIALIZED (SELECT i, x, r, r + p * coalesce(sum(r * r) OVER () / nullif(rr, 0), 0) AS p FROM u{k})""")
+    return ",\n" + ",\n".join(ctes) + f""",
+c AS (SELECT ln(any_value(n1) / (any_value(n) - any_value(n1))) - sum(x * m) / 2 AS c
+      FROM v{steps} JOIN mu ON mu.feature = i, sizes),
+s AS (SELECT vec_id, any_value(y) AS label, sum(v * x) + any_value(c) AS s
+      FROM cells0 JOIN v{steps} ON feature = i, c WHERE fold = 0 GROUP BY vec_id)
+SELECT vec_id, label, round(s, 6) + 0.0e0 AS margin, CAST(s > 0 AS INTEGER) AS y_pred FROM s"""
+
+
+@query("linear_discriminant", SPLIT_CELLS + sql_discriminant())
+def linear_discriminant(spark, sf):
+    """Classes of held-out vectors and by how much class 1 is likelier, by spectral regression."""
+    train, test = split_matrix(spark, sf)
+    model = classifier("linearDA", tol=1e-11).fit(train)
+    margin = F.col("scores")[1] - F.col("scores")[0]
+    return model.decision(test).select(
+        F.col("id").alias("vec_id"), "label", rounded(margin).alias("margin"),
+        (margin > 0).cast("int").alias("y_pred"),
+    )
+
+
 @query("lsa_transform")
 def lsa_transform(spark, sf):
     """Documents in the space of the first singular vectors of their TF-IDF weights."""

@@ -29,6 +29,29 @@ def test_running_totals(spark):
         assert r["n_before"] == sum(n for k, v, n in data if k == r["k"] and v < r["v"])
 
 
+def test_close_values_are_cut_by_counts(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SLICE", 5000)
+    u = F.col("id") / 1_000_000
+    df = spark.range(1_000_000).select(
+        F.lit("a").alias("k"), (1 + u * u * u * u * 0.02 + u * 1e-8).alias("v"), F.lit(1).alias("n"), "id"
+    )
+    plain = df.groupBy(value_bucket(F.col("v")).alias("b")).count().agg(F.max("count")).first()[0]
+    assert plain > 900_000
+    parts, _ = skew.cut_buckets(df, ["k"], "v", ["n"], value_bucket(F.col("v")))
+    assert max(r["count"] for r in parts.groupBy("_bucket").count().collect()) <= 5000
+    got = skew.running_totals(df, ["k"], "v", ["n"], value_bucket(F.col("v")))
+    assert got.count() == 1_000_000 and got.where("n_before <> id").isEmpty()
+
+
+def test_cut_buckets_keep_the_order_of_extremes(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SLICE", 2)
+    values = sorted({0.0, 5e-324, 1e-323, 1.5e-323, -5e-324, 1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.0 + 3 * 2**-52, -1.7e308})
+    df = spark.createDataFrame([(0, v, 1) for v in values], "k long, v double, n long")
+    for bucket in (value_bucket(F.col("v")), F.when(F.col("v") < -1, 0).otherwise(1)):
+        got = skew.running_totals(df, ["k"], "v", ["n"], bucket).orderBy("v").collect()
+        assert [r["n_before"] for r in got] == list(range(len(values)))
+
+
 def test_row_numbers_equal_a_plain_window(spark):
     df = spark.range(3000).select("id", (F.col("id") % 7 == 0).cast("int").alias("label"))
     keyed = df.withColumn("key", shuffle_key(3, F.col("id")))
