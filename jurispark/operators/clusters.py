@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import row_numbers, salted_join
+from .skew import counted_join, row_numbers
 
 ID_RANGE = 65_536  # ids per numbered range
 
@@ -24,7 +24,6 @@ def cluster_postings(
     counts: DataFrame,
     dictionary: DataFrame,
     doc_id: str = "doc_id",
-    salts: int = 8,
 ) -> DataFrame:
     """(cluster, doc_id, n): occurrences of each cluster in each document.
 
@@ -33,7 +32,7 @@ def cluster_postings(
     """
     words = counts.select(doc_id, F.col("term").alias("word"), "cnt")
     return (
-        salted_join(words, dictionary.select("word", "cluster"), ["word"], [doc_id], salts)
+        counted_join(words, dictionary.select("word", "cluster"), "word", [doc_id])
         .groupBy("cluster", doc_id)
         .agg(F.sum("cnt").alias("n"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .skew import salted_join
+from .skew import counted_join
 
 
 def lemmatize(
@@ -14,15 +14,15 @@ def lemmatize(
     lemmas: DataFrame,
     doc_id: str = "doc_id",
     words: str = "words",
-    salts: int = 8,
 ) -> DataFrame:
     """(doc_id, words) with each token replaced by its lemma; unknown tokens stay.
 
-    ``lemmas`` is (token, lemma), unique on token.  Frequent tokens are spread by a
-    salt of the document; the tokens of a document come back together in order.
+    ``lemmas`` is (token, lemma), unique on token.  A dictionary too large
+    to broadcast has its frequent tokens counted and spread by document; the tokens of a document
+    come back together in order.
     """
     placed = docs.select(doc_id, F.posexplode_outer(words).alias("_pos", "token"))
-    joined = salted_join(placed, lemmas.select("token", "lemma"), ["token"], [doc_id], salts, "left")
+    joined = counted_join(placed, lemmas.select("token", "lemma"), "token", [doc_id], "left")
     ordered = F.sort_array(
         F.collect_list(
             F.when(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize_with
+from ..sources.scratch import materialize, materialize_with
 
 # A model table is broadcast only up to this many rows (tens of MB as a hash table).
 BROADCAST_ROWS = 500_000
@@ -60,20 +60,20 @@ def weighted_join(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    salt_from: Sequence[str],
-    salts: int = 8,
-    how: str = "inner",
+def counted_join(
+    left: DataFrame, right: DataFrame, on: str, salt_from: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join with a ``right`` side of unknown key weights: every right row is copied
-    ``salts`` times and the left rows of a key spread over the copies."""
-    keys = list(on)
-    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int"))
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    """``weighted_join`` with a ``right`` side (unique on ``on``) whose key weights are not known.
+
+    A ``right`` too large to broadcast has the left rows of its keys counted first, so only keys
+    that are frequent are sliced and copied.
+    """
+    n = right.count()
+    if n <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("_weight"))
+    weighted = materialize(right.join(counts, on, "left").na.fill(0, ["_weight"]))
+    return weighted_join(left, weighted, [on], "_weight", salt_from, n, how)
 
 
 def cut_buckets(

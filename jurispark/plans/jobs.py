@@ -32,6 +32,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    return path_exists(spark, f"{path}/_SUCCESS")
+
+
 def preprocess(
     spark: SparkSession, root: str, out: str, lemmas: DataFrame | None = None, **switches: bool
 ) -> None:
@@ -47,6 +52,47 @@ def preprocess(
     writers.write_text_table(clean.select(F.col("doc_id").alias("id"), "label", "text"), out)
 
 
+def raw_to_vectors(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    lemmas: DataFrame | None = None,
+    k: int = 4,
+    schemes: Sequence[str] = ("tfchi2", "tfidf"),
+    nmin: int = 1,
+    nmax: int = 2,
+    seed: int = 0,
+    **switches: bool,
+) -> DataFrame:
+    """(scheme, cv, split, path) of the vectors made from labelled folders of texts.
+
+    Below ``out``: ``text`` (clean texts), ``cv`` (outer folds as text tables), ``models`` and
+    ``vectors`` per scheme and fold.  A run that was stopped goes on after its last finished
+    part; ``settings`` is written first, and other settings on the same folder are refused.
+    """
+    names = lemmas is not None and str(lemmas.agg(F.bit_xor(F.xxhash64("token", "lemma"))).first()[0])
+    settings = json.dumps(
+        {"root": root, "lemmas": names, "k": k, "schemes": list(schemes), "nmin": nmin, "nmax": nmax,
+         "seed": seed, **switches}, sort_keys=True,
+    )
+    if is_written(spark, f"{out}/settings"):
+        earlier = spark.read.parquet(f"{out}/settings").first()[0]
+        if earlier != settings:
+            raise ValueError(f"{out} holds a dataset with the settings {earlier}")
+    else:
+        spark.createDataFrame([(settings,)], "settings string").write.mode("overwrite").parquet(f"{out}/settings")
+    if not is_written(spark, f"{out}/text"):
+        preprocess(spark, root, f"{out}/text", lemmas, **switches)
+    # Ids are only unique within a label.
+    docs = readers.text_table(spark, f"{out}/text").withColumn("id", F.concat_ws("/", "label", "id"))
+    if not is_written(spark, f"{out}/cv"):
+        writers.write_cv(cv_expand(stratified_folds(docs, k, "label", "id", seed), k), f"{out}/cv")
+    build_dataset(docs, out, k, schemes, nmin, nmax, seed, resume=True)
+    parts = [(s, cv, split, f"{out}/vectors/scheme={s}/cv={cv}/split={split}")
+             for s in schemes for cv in range(k) for split in ("train", "test")]
+    return spark.createDataFrame(parts, "scheme string, cv int, split string, path string")
+
+
 def select_decisions(spark: SparkSession, annotation_file: str, root: str, object_value, norm_value) -> DataFrame:
     """(decision, outcome, found): an annotation file and the folder of decisions, brought together.
 
@@ -123,20 +169,34 @@ def build_dataset(
     nmin: int = 1,
     nmax: int = 2,
     seed: int = 0,
+    resume: bool = False,
 ) -> None:
     """Outer folds of (id, label, text) and vectors per scheme, fold and part.
 
-    Weights are learned on the training rows of each fold only.
+    Weights are learned on the training rows of each fold only.  With ``resume``, models and
+    vectors that are there in full stay.
     """
+    spark = docs.sparkSession
     folded = materialize(cv_expand(stratified_folds(docs, k, "label", "id", seed), k))
     for scheme in schemes:
         for cv in range(k):
             part = folded.where(F.col("cv") == cv)
             train = part.where("split = 'train'")
-            model = Vectorizer(scheme, nmin, nmax).fit(train)
-            model.save(f"{out}/models/scheme={scheme}/cv={cv}")
+            saved = f"{out}/models/scheme={scheme}/cv={cv}"
             target = f"{out}/vectors/scheme={scheme}/cv={cv}"
-            for split in ("train", "test"):
+            # Cells are written last.
+            todo = [
+                split for split in ("train", "test")
+                if not (resume and is_written(spark, f"{target}/split={split}/cells"))
+            ]
+            if not todo:
+                continue
+            if resume and is_written(spark, f"{saved}/params"):
+                model = VectorizerModel.load(spark, saved)
+            else:
+                model = Vectorizer(scheme, nmin, nmax).fit(train)
+                model.save(saved)
+            for split in todo:
                 rows = part.where(F.col("split") == split)
                 matrix = Matrix.from_weights(rows, model.transform(rows, "id"), "id")
                 writers.write_vectors(matrix, f"{target}/split={split}")

@@ -1,12 +1,15 @@
 """Jobs: classes from training, the outer experiment, selection, lemmas in preprocessing."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from jurispark.operators import clusters, lemmas
 from jurispark.operators.matrix import Matrix, encode_labels
 from jurispark.operators.pls import PLS
 from jurispark.plans import jobs
-from jurispark.sources import readers
+from jurispark.sources import readers, writers
 
 
 def test_codes_come_from_training(spark):
@@ -88,3 +91,37 @@ def test_a_posting_line_is_found_by_its_directory(spark):
     found = {r["doc_id"]: r["n"] for r in clusters.read_postings(directory, lines, "c", 170).collect()}
     assert found[170] == 18 and len(found) == 8
     assert clusters.read_postings(directory, lines, "none", 1).collect() == []
+
+
+def test_raw_folders_to_vectors_goes_on_where_it_stopped(spark, tmp_path):
+    texts = [("accepte", "la cour condamne au paiement des sommes"), ("rejette", "la cour rejette les demandes")]
+    for label, text in texts:
+        (tmp_path / "raw" / label).mkdir(parents=True)
+        for i in range(6):  # the same names under both labels
+            (tmp_path / "raw" / label / f"d{i}.txt").write_text(f"{text} mot{i}", encoding="utf-8")
+    table = spark.createDataFrame([("sommes", "somme"), ("demandes", "demande")], "token string, lemma string")
+    run = lambda **more: jobs.raw_to_vectors(
+        spark, str(tmp_path / "raw"), str(tmp_path / "out"), table, **{"k": 2, "schemes": ["tfidf"], "nmax": 1, **more})
+    parts = {(r["cv"], r["split"]): r["path"] for r in run().collect()}
+    assert sorted(parts) == [(c, s) for c in (0, 1) for s in ("test", "train")]
+    seen = [row_ids(spark, parts[c, s]) for c in (0, 1) for s in ("train", "test")]
+    for train, test in (seen[:2], seen[2:]):
+        assert len(train | test) == 12 and not train & test
+    cells = writers.read_vectors(spark, parts[0, "train"]).cells
+    words = {r["feature"] for r in cells.select("feature").distinct().collect()}
+    assert {"somme", "demande"} <= words and not {"sommes", "demandes"} & words
+
+    def stamp(part):
+        return (Path(parts[part]) / "cells" / "_SUCCESS").stat().st_mtime_ns
+
+    kept, redone = stamp((0, "test")), stamp((1, "train"))
+    (Path(parts[1, "train"]) / "cells" / "_SUCCESS").unlink()
+    run()
+    assert stamp((0, "test")) == kept and stamp((1, "train")) > redone
+    assert row_ids(spark, parts[1, "train"]) == seen[2]
+    with pytest.raises(ValueError):
+        run(nmax=2)
+
+
+def row_ids(spark, path):
+    return {r["id"] for r in writers.read_vectors(spark, path).rows.collect()}

@@ -73,9 +73,14 @@ def test_weighted_join_slices_hot_keys(spark, monkeypatch, right_rows):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_salted_join_keeps_unmatched_rows(spark):
-    left = spark.range(100).select("id", (F.col("id") % 4).alias("k"))
-    right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
-    got = skew.salted_join(left, right, ["k"], ["id"], 5, "left").select("id", "k", "v").collect()
-    assert len(got) == 100
-    assert {r["v"] for r in got if r["k"] == 0} == {"a"} and {r["v"] for r in got if r["k"] > 1} == {None}
+@pytest.mark.parametrize("limit", [0, 10])
+def test_counted_join_keeps_unmatched_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(skew, "ROWS_PER_SLICE", 7)
+    left = spark.range(200).select("id", F.when(F.col("id") % 3 > 0, 0).when(F.col("id") > 9, F.col("id") % 4).alias("k"))
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (9, "never")], "k long, v string")
+    for how in ("left", "inner"):
+        got = skew.counted_join(left, right, "k", ["id"], how).select("id", "k", "v")
+        want = left.join(right, "k", how).select("id", "k", "v")
+        order = lambda r: r["id"]
+        assert sorted(got.collect(), key=order) == sorted(want.collect(), key=order)
