@@ -21,6 +21,13 @@ from ..functions.ordering import shuffle_key, value_bucket
 from ..sources.scratch import materialize
 
 METRICS = ("euclidean", "manhattan", "chebyshev")
+# Distances of a task that are held at once, and a stretch of them that stays in the cache.
+PAIRS_AT_ONCE = 4_000_000
+TILE = 32_768
+# Vectors with larger numbers (or none at all) are compared one way only, without a bound on rounding.
+PLAIN_ABOVE = 1e15
+# Tasks that the blocks are dealt out to, at most.
+MAX_TASKS = 4_096
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -38,6 +45,73 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _near_enough(a: np.ndarray, b: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``a``, row of ``b``) of every pair that may be among the k nearest of its row of ``a``.
+
+    Distances are summed in the order that is fastest (a matrix product, or feature by feature in
+    single precision on stretches that fit the cache); what that may round differently is allowed
+    for, so none is missed.
+    """
+    width = a.shape[1]
+    if metric == "euclidean":
+        squares, own = (b * b).sum(axis=1), (a * a).sum(axis=1)
+        near = a @ b.T
+        near *= -2.0
+        near += squares
+        near += own[:, None]
+        slack = 8 * np.finfo(float).eps * (width + 8) * (own + squares.max())
+    else:
+        near = np.empty((len(a), len(b)), dtype=np.float32)
+        rows, columns = a.astype(np.float32), np.ascontiguousarray(b.T.astype(np.float32))
+        merge = np.add if metric == "manhattan" else np.maximum
+        total, gap = np.empty(TILE, dtype=np.float32), np.empty(TILE, dtype=np.float32)
+        for j in range(0, len(b), TILE):
+            part = np.ascontiguousarray(columns[:, j : j + TILE])
+            s, g = total[: part.shape[1]], gap[: part.shape[1]]
+            for i, row in enumerate(rows):
+                s[:] = 0
+                for x, column in zip(row, part):
+                    np.subtract(column, x, out=g)
+                    np.abs(g, out=g)
+                    merge(s, g, out=s)
+                near[i, j : j + TILE] = s
+        largest = max(np.abs(a).max(), np.abs(b).max())
+        slack = 8 * np.finfo(np.float32).eps * (width + 8) * width * (largest + 1e-30)
+    last = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(b) else near.max(axis=1)
+    return np.nonzero(near <= (last + slack)[:, None])
+
+
+def nearest_in_block(x: np.ndarray, z: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``x``, row of ``z``, distance): the k nearest rows of ``z``, ties to the earlier row."""
+    k = min(k, len(z))
+    step = max(1, PAIRS_AT_ONCE // len(z))  # bounds the distance table held at once
+    # Rounding is bounded for numbers whose squares and sums stay finite.
+    plain = not x.shape[1] or not all((np.abs(side) < PLAIN_ABOVE).all() for side in (x, z))
+    out = []
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        if plain:
+            d = distances(part, z, metric)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            out.append((np.repeat(np.arange(len(part)), k) + i, order.ravel(), np.take_along_axis(d, order, axis=1).ravel()))
+            continue
+        rows, cols = _near_enough(part, z, k, metric)
+        d = np.empty(len(rows))
+        few = max(1, 4_000_000 // x.shape[1])
+        for j in range(0, len(rows), few):
+            gap = np.abs(part[rows[j : j + few]] - z[cols[j : j + few]])
+            if metric == "euclidean":
+                d[j : j + few] = np.sqrt((gap * gap).sum(axis=1))
+            else:
+                d[j : j + few] = gap.sum(axis=1) if metric == "manhattan" else gap.max(axis=1)
+        order = np.lexsort((cols, d, rows))
+        rows, cols, d = rows[order], cols[order], d[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < k
+        out.append((rows[kept] + i, cols[kept], d[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _to_cells(rows: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
     """Add ``cell`` (nearest pivot) and ``reach`` (distance to it)."""
 
@@ -140,25 +214,22 @@ def nearest_neighbours(
             return pd.DataFrame({"id": [], "train_id": [], "label": [], "distance": []})
         trains = trains.sort_values("train_id")
         x, z = np.stack(tests["features"].to_numpy()), np.stack(trains["features"].to_numpy())
-        step = max(1, 4_000_000 // len(z))  # bounds the distance table held at once
-        picks, gaps = [], []
-        for i in range(0, len(x), step):
-            d = distances(x[i : i + step], z, metric)
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            picks.append(order)
-            gaps.append(np.take_along_axis(d, order, axis=1))
-        flat, width = np.concatenate(picks).ravel(), min(k, len(z))
+        rows, cols, gaps = nearest_in_block(x, z, k, metric)
         return pd.DataFrame(
             {
-                "id": np.repeat(tests["id"].to_numpy(), width),
-                "train_id": trains["train_id"].to_numpy()[flat],
-                "label": trains["label"].to_numpy()[flat],
-                "distance": np.concatenate(gaps).ravel(),
+                "id": tests["id"].to_numpy()[rows],
+                "train_id": trains["train_id"].to_numpy()[cols],
+                "label": trains["label"].to_numpy()[cols],
+                "distance": gaps,
             }
         )
 
     keys = ["test_cell", "block", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
+    # The work of a block is the product of its sides, not its bytes: a fixed number of partitions
+    # keeps adaptive execution from putting many small blocks into one task.
+    tasks = min(MAX_TASKS, max(1, sum(block_counts.values()) * train_blocks))
+    sides = [side.repartition(tasks, *keys).groupBy(*keys) for side in (left, right)]
+    found = sides[0].cogroup(sides[1]).applyInPandas(best, schema)
     order = W.partitionBy("id").orderBy("distance", "train_id")
     return (
         found.withColumn("rank", F.row_number().over(order))

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from jurispark.functions.ordering import shuffle_bucket, shuffle_key, value_bucket
-from jurispark.operators import skew
+from jurispark.operators import knn, skew
 
 
 def test_value_bucket_follows_the_order(spark):
@@ -84,3 +85,30 @@ def test_counted_join_keeps_unmatched_rows(spark, monkeypatch, limit):
         want = left.join(right, "k", how).select("id", "k", "v")
         order = lambda r: r["id"]
         assert sorted(got.collect(), key=order) == sorted(want.collect(), key=order)
+
+
+@pytest.mark.parametrize("metric", knn.METRICS)
+def test_nearest_in_block_agrees_with_all_distances(metric):
+    rng = np.random.default_rng(3)
+    for x, z in (
+        (rng.normal(size=(30, 7)), rng.normal(size=(200, 7))),
+        (rng.integers(-1, 2, (30, 4)) * 1.0, rng.integers(-1, 2, (200, 4)) * 1.0),  # many ties
+        (rng.normal(size=(3, 2)) * 1e200, rng.normal(size=(4, 2)) * 1e200),
+        (np.array([[np.nan, 1.0], [0.0, 1.0]]), np.array([[2.0, 1.0], [0.0, np.nan]])),
+    ):
+        with np.errstate(all="ignore"):
+            d = knn.distances(x, z, metric)
+            order = np.argsort(d, axis=1, kind="stable")[:, :5]
+            rows, cols, gaps = knn.nearest_in_block(x, z, 5, metric)
+        assert np.array_equal(cols.reshape(len(x), -1), order)
+        assert np.array_equal(gaps, np.take_along_axis(d, order, axis=1).ravel(), equal_nan=True)
+        assert np.array_equal(rows, np.repeat(np.arange(len(x)), order.shape[1]))
+
+
+def test_neighbour_blocks_keep_their_own_tasks(spark):
+    """Blocks have few bytes and much work: adaptive execution must not put them into one task."""
+    rows = spark.range(64).select("id", (F.col("id") % 2).alias("label"), F.array(F.col("id") * 1.0).alias("features"))
+    found = knn.nearest_neighbours(rows, rows.select("id", "features"), k=1, n_pivots=1, block_rows=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and ", 64), REPARTITION_BY_NUM" in plan
+    assert found.where("id = train_id AND distance = 0").count() == 64
