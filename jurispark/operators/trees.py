@@ -177,7 +177,8 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
     )
     cells = materialize(cells.where("value <> 0").select("id", "feature", F.col("value").cast("double").alias("value")))
     features = materialize(cells.select("feature").distinct())
-    models = materialize(_models(spark, rows, specs, k, features.count()))
+    n_features = features.count()
+    models = materialize(_models(spark, rows, specs, k, n_features))
     small = F.broadcast(models)
 
     u = _uniform(F.col("id"), F.col("tree"), F.col("seed"))
@@ -189,6 +190,8 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
         F.when(F.col("k") == i, weight).otherwise(0.0).alias(c) for i, c in enumerate(cs)
     ])
     narrows = any(t.features_per_node(10**6) < 10**6 for t, _ in specs)
+    # Rows meet the features their node looks at before the cells, if those are the fewer.
+    few = narrows and max(t.features_per_node(n_features) for t, _ in specs) * rows.count() < cells.count()
     limits, number = {}, 0
     for t, _ in specs:
         limits.update({number + i: t.max_leaf_nodes for i in range(t.n_trees) if t.max_leaf_nodes})
@@ -210,7 +213,13 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
             ranked = able.withColumn("_one", F.lit(1)).join(features.withColumn("_one", F.lit(1)), "_one").drop("_one")
             first = W.partitionBy("m", "node").orderBy(key, "feature")
             looked = ranked.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= F.col("n_features")).drop("_r")
-        ladder = at.join(cells, "id").groupBy("m", "node", "feature", "value").agg(
+            looked = materialize(looked)
+        # Rows in leaves have no split to look for.
+        if few:
+            met = at.join(looked.select("m", "node", "feature"), ["m", "node"]).join(cells, ["id", "feature"])
+        else:
+            met = at.join(able.select("m", "node"), ["m", "node"], "left_semi").join(cells, "id")
+        ladder = met.groupBy("m", "node", "feature", "value").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in cs]
         )
         sums = ("n", *cs)

@@ -140,3 +140,19 @@ def test_one_class_and_bad_settings(spark):
     for bad in ({"criterion": "x"}, {"n_trees": 0}, {"max_leaf_nodes": 1}, {"class_weight": "x"}):
         with pytest.raises(ValueError):
             trees.Trees(**bad)
+
+
+def test_rows_meet_looked_features_first(spark, monkeypatch):
+    """With few features a node, rows are joined with those before the cells; the trees stay the same."""
+    rows = [(i, i % 2, [float((i * j) % 7 - 3) for j in range(1, 17)]) for i in range(60)]
+    m = Matrix.from_arrays(
+        spark.createDataFrame(rows, "id int, y int, v array<double>"), "id", F.col("y"), F.col("v")
+    ).written()
+    seen, write = [], trees.materialize
+    monkeypatch.setattr(trees, "materialize", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    model = trees.extra_trees(n_trees=2, max_depth=2, max_features=2).fit(m)
+    ladders = [p for p in seen if "sum(c0" in p and "value#" in p and "Join Inner, ((id#" in p]
+    assert any("(feature#" in p.split("Join Inner, ((id#")[1][:80] for p in ladders)
+    for level in model.grown.levels:
+        assert level.where("feature IS NOT NULL AND feature > 15").count() == 0
+    assert model.predict(m).where("y_pred IS NULL").count() == 0
