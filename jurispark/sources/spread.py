@@ -13,3 +13,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by ``key``, over a fixed number of partitions.
+
+    For rows that are small but cost much work: adaptive execution would put them into a few tasks
+    by their bytes.
+    """
+    session = df.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(tasks, key)
