@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 # separators and the ASCII control separators.
 WHITESPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x85]+"
 ALPHABETIC = r"^\p{L}+$"
+# Tokens of two letters or more, found in the text as it stands.  The plain letters and blanks are
+# named as well because the regex engine tests them faster.
+_NO_SPACE = r"[^ \n" + WHITESPACE[1:-1]
+LETTER_WORDS = rf"(?<!{_NO_SPACE})[a-zA-Z\p{{L}}]{{2,}}+(?!{_NO_SPACE})"
 # Entity names whose markers are removed from annotated decisions.
 MARKER_NAMES = ("argent", "norme")
 # Marks that get a space on both sides in the class-file form.
@@ -29,9 +33,7 @@ def collapse_whitespace(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """White-space tokens of ``text``; an empty array for NULL or blank text."""
-    return F.filter(
-        F.split(F.coalesce(collapse_whitespace(text), F.lit("")), " "), lambda t: t != ""
-    )
+    return F.filter(F.split(F.coalesce(text, F.lit("")), WHITESPACE), lambda t: t != "")
 
 
 def clean_tokens(
@@ -55,8 +57,14 @@ def clean_words(
     remove_punctuation: bool = True,
     remove_single: bool = True,
 ) -> Column:
-    """The preprocessing chain without lemmas, as tokens (``operators.lemmas`` adds those)."""
-    words = clean_tokens(tokens(text), remove_punctuation, remove_single)
+    """The preprocessing chain without lemmas, as tokens (``operators.lemmas`` adds those).
+
+    With both filters on, the words are matched in one pass over the text.
+    """
+    if remove_punctuation and remove_single:
+        words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LETTER_WORDS), F.lit(0))
+    else:
+        words = clean_tokens(tokens(text), remove_punctuation, remove_single)
     return F.transform(words, F.lower) if lower else words
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .skew import counted_join, row_numbers
 
 ID_RANGE = 65_536  # ids per numbered range
@@ -50,7 +51,9 @@ def posting_lines(postings: DataFrame, doc_id: str = "doc_id", docs_per_line: in
     number ``part * docs_per_line`` and following, in the order of their (integer) ids.
 
     The documents are numbered inside ranges of ids, so no task holds a whole posting list.
+    The postings are written first, as numbering reads them twice.
     """
+    postings = materialize(postings)
     ranges = F.floor(F.col(doc_id) / F.lit(ID_RANGE))
     return (
         row_numbers(postings, ["cluster"], [doc_id], ranges, "_rn")

@@ -423,14 +423,16 @@ idx AS (SELECT cluster, 1 AS size, CAST(sum(n) AS BIGINT) AS n_occ, count(*) AS
 
 def postings(spark, sf):
     words = I.documents(spark, sf).select("doc_id", T.clean_words(F.col("text")).alias("ngrams"))
+    # Written, so that texts are tokenised once for dictionary and postings.
+    counts = materialize(terms.term_counts(words, ["doc_id"]).select("doc_id", "term", "cnt"))
     raw = (
-        terms.explode_terms(words, [], F.array_distinct("ngrams"))
+        counts.select("term")
         .where(F.length("term") >= 3)
         .distinct()
         .select("term", F.expr("left(term, 1)").alias("cluster"))
     )
     dictionary = materialize(clusters.clean_dictionary(raw, "term", "cluster"))
-    return clusters.cluster_postings(terms.term_counts(words, ["doc_id"]), dictionary)
+    return clusters.cluster_postings(counts, dictionary)
 
 
 @query("cluster_postings", SQL_CLUSTERS + " SELECT cluster, doc_id, n FROM post")
