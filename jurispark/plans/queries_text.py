@@ -263,8 +263,8 @@ nrm AS (SELECT doc_id, sqrt(sum(weight * weight)) AS len FROM w GROUP BY doc_id)
 
 def tfidf(spark, sf, norm):
     docs = I.texts(spark, sf)
-    model = Vectorizer("tfidf", norm=norm).fit(docs, words="words")
-    return model.transform(docs, words="words").withColumn("weight", rounded(F.col("weight")))
+    weights = Vectorizer("tfidf", norm=norm).fit_transform(docs, words="words")
+    return weights.withColumn("weight", rounded(F.col("weight")))
 
 
 @query("tfidf_weights", "WITH " + SQL_TFIDF + """

@@ -160,3 +160,63 @@ def test_posting_lines_are_numbered_in_id_order(spark):
     got = {(r["cluster"], r["part"]): r["postings"] for r in clusters.posting_lines(df, docs_per_line=100).collect()}
     assert got[("d", 0)] == "5-2" and sorted(k for k in got if k[0] == "c") == [("c", 0), ("c", 1), ("c", 2)]
     assert got[("c", 1)].split(":") == [f"{i}-1" for i in range(100_000, 200_000, 1000)]
+
+
+def test_letter_words_in_one_pass(spark):
+    """The pattern over whole texts finds what splitting and filtering tokens finds."""
+    texts = [
+        None, "", " ", "a", "ab", " ab\n", "ab cd", "ab\u0085cd\u00a0ef\u2028gh", "\x1cAB\x1fCD\x0b", "ab\x00cd ef\u200b",
+        "\u00c9lan \u0152uvre \u03a3\u0391\u03a3 \u0130STANBUL \u1e9e\u00df", "x\U00020000y \U00020000\U00020001 \U0001d400",
+        "\U0001f600ab ab\U0001f600 cd", "ab, cd. (ef) g-h ij\r\nkl", "\ufeffab e\u0301le 12 ab3 3ab",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    one_by_one = F.transform(T.clean_tokens(T.tokens(F.col("t"))), F.lower)
+    got = rows.select(one_by_one.alias("a"), T.clean_words(F.col("t")).alias("b"), T.tokens(F.col("t")).alias("t")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+    assert got[0]["t"] == [] and got[5]["t"] == ["ab"] and got[7]["t"] == ["ab", "cd", "ef", "gh"]
+    plan = rows.select(T.clean_words(F.col("t")).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "RLIKE" not in plan
+
+
+def _texts_read(monkeypatch, module):
+    """Schemas of what a module writes to scratch tables, in order."""
+    seen, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: seen.append(df.columns) or write(df))
+    return seen
+
+
+def test_fit_transform_counts_texts_once(spark, monkeypatch):
+    from jurispark.operators import vectorizer
+
+    rows = [(1, ["a", "b", "b", None]), (1, ["c", "b"]), (2, ["a", "d", "a"]), (3, []), (None, ["c", "d"])]
+    docs = spark.createDataFrame(rows, "doc_id int, words array<string>")
+    for norm in ("compat", "l2", None):
+        v = Vectorizer("tfidf", norm=norm, df_min=1)
+        plain = v.fit(docs, words="words").transform(docs, words="words")
+        seen = _texts_read(monkeypatch, vectorizer)
+        got = v.fit_transform(docs, words="words")
+        assert ["doc_id", "size", "bag"] in seen
+        key = lambda r: (r["doc_id"] or 0, r["term"], r["weight"])
+        assert [(r[0], r[1], round(r[2], 9)) for r in sorted(got.collect(), key=key)] == [
+            (r[0], r[1], round(r[2], 9)) for r in sorted(plain.collect(), key=key)
+        ]
+        # Only documents move: weights are broadcast and norms are taken where the bags are.
+        plan = got.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == (1 if norm else 0)
+
+
+def test_lemmas_move_documents_not_tokens(spark):
+    docs = spark.createDataFrame([(1, "Cats eat  mice 7"), (2, None), (3, "no cats")], "doc_id int, text string")
+    small = spark.createDataFrame([("cats", "cat"), ("Cats", "Cat")], "token string, lemma string")
+    out = lemmas.clean_with_lemmas(docs, small)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "cat eat mice", 2: "", 3: "no cat"}
+    plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_posting_lines_write_postings_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", i, 1) for i in range(5)] + [("b", 2, 3)], "cluster string, doc_id long, n long")
+    seen = _texts_read(monkeypatch, clusters)
+    got = {(r["cluster"], r["part"]): r["postings"] for r in clusters.posting_lines(rows, docs_per_line=3).collect()}
+    assert seen == [["cluster", "doc_id", "n"]]
+    assert got == {("a", 0): "0-1:1-1:2-1", ("a", 1): "3-1:4-1", ("b", 0): "2-3"}
