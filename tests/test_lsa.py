@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from test_pls import as_matrix
 
+from jurispark.operators import lsa, skew
 from jurispark.operators.lsa import LatentSemantics, tall_factor
+from jurispark.operators.matrix import Matrix
 
 
 def dense(rows, k, decay, seed):
@@ -46,3 +48,34 @@ def test_factor_of_many_parts(spark):
     table = spark.createDataFrame([(x.tolist(),) for x in X], "x array<double>").repartition(90)
     R = tall_factor(table, "x", 5)
     np.testing.assert_allclose(R.T @ R, X.T @ X, atol=1e-9)
+
+
+def test_rounds_move_features_of_blocks_and_not_cells(spark, monkeypatch):
+    X = dense(90, 30, 0.8, 3)
+    m = as_matrix(spark, X, np.arange(90) % 2)
+    cells = int((X != 0).sum())
+    met = []
+    plain = lsa.weighted_join
+
+    def counted(left, right, on, *rest):
+        # As for a vocabulary that is too large to broadcast.
+        met.append(left.count())
+        return plain(left, right.repartition(3), on, *rest)
+
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(lsa, "SMALL_BLOCK", 400, raising=False)
+    monkeypatch.setattr(lsa, "CELLS_PER_PIECE", 50, raising=False)
+    monkeypatch.setattr(lsa, "weighted_join", counted)
+    model = LatentSemantics(3).fit(m)
+    np.testing.assert_allclose(model.values, np.linalg.svd(X, compute_uv=False)[:3], rtol=1e-7)
+    assert max(met) <= 30 * 5 < cells
+    counts = {r["feature"]: r["nnz"] for r in model.table.collect()}
+    assert sum(counts.values()) == cells
+
+
+def test_repeated_ids_are_one_row(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "id long, label int")
+    cells = spark.createDataFrame(
+        [(1, "a", 1.0), (1, "a", 2.0), (1, "b", 1.0), (2, "b", 4.0)], "id long, feature string, value double")
+    model = LatentSemantics(2).fit(Matrix(rows, cells))
+    np.testing.assert_allclose(model.values, np.linalg.svd([[3.0, 1.0], [0.0, 4.0]], compute_uv=False))
