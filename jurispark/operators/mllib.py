@@ -57,6 +57,21 @@ def stored(model):
     return type(model).load(path)
 
 
+@dataclass(frozen=True)
+class Vectors:
+    """A training matrix as written vectors (id, label, features), for any number of fits."""
+
+    table: DataFrame
+    space: FeatureSpace
+    classes: list
+
+    @staticmethod
+    def of(matrix: Matrix) -> Vectors:
+        classes = distinct_labels(matrix.rows)
+        space = FeatureSpace.of(matrix)
+        return Vectors(space.vectors(matrix), space, classes)
+
+
 @dataclass(frozen=True)
 class MLlibClassifier:
     """Wrap an MLlib classifier; labels are encoded as their sorted position."""
@@ -65,14 +80,16 @@ class MLlibClassifier:
     settings: dict | None = None
 
     def fit(self, matrix: Matrix) -> MLlibModel:
-        classes = distinct_labels(matrix.rows)
-        space = FeatureSpace.of(matrix)
-        names = F.array(*[F.lit(c) for c in classes])
-        vectors = space.vectors(matrix).select(
+        return self.fit_vectors(Vectors.of(matrix))
+
+    def fit_vectors(self, train: Vectors) -> MLlibModel:
+        names = F.array(*[F.lit(c) for c in train.classes])
+        vectors = train.table.select(
             (F.array_position(names, F.col("label")) - 1).cast("double").alias("label"),
             "features",
         )
-        return MLlibModel(stored(self.make(**(self.settings or {})).fit(vectors)), space, classes)
+        fitted = self.make(**(self.settings or {})).fit(vectors)
+        return MLlibModel(stored(fitted), train.space, train.classes)
 
 
 @dataclass(frozen=True)
@@ -82,8 +99,12 @@ class MLlibModel:
     classes: list
 
     def predict(self, matrix: Matrix) -> DataFrame:
+        return self.predict_vectors(self.space.vectors(matrix))
+
+    def predict_vectors(self, table: DataFrame) -> DataFrame:
+        """Classes of rows (id, label, features) in the feature space of the model."""
         names = F.array(*[F.lit(c) for c in self.classes])
-        return self.model.transform(self.space.vectors(matrix)).select(
+        return self.model.transform(table).select(
             "id", "label", F.get(names, F.col("prediction").cast("int")).alias("y_pred")
         )
 

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from . import compare, kernel_svm, metrics, pls_grid, trees
+from . import compare, kernel_svm, metrics, mllib, pls_grid, trees
 from .folds import clamped_fold_count, stratified_folds
 from .matrix import Matrix
 from .pls import PLS, PLSModel
-from .registry import classifier
+from .registry import CLASSIFIERS, classifier
 
 log = logging.getLogger(__name__)
 PARALLEL_FITS = 4
@@ -245,6 +245,32 @@ def _accuracy(name: str) -> Callable[[dict, Matrix, Matrix], float]:
     return fit_and_score
 
 
+def _vector_splits(splits: Sequence[tuple[int, Matrix, Matrix]]) -> list[tuple]:
+    """[(fold, train, test)] as vectors, written once for all settings; an error in place of either."""
+
+    def run(split):
+        fold, train, test = split
+        try:
+            vectors = mllib.Vectors.of(train)
+            return fold, vectors, vectors.space.vectors(test)
+        except Exception as error:  # each setting reports it
+            return fold, error, None
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(run, splits))
+
+
+def _vector_accuracy(name: str) -> Callable[[dict, mllib.Vectors, DataFrame], float]:
+    def fit_and_score(setting, train, test):
+        if isinstance(train, Exception):
+            raise train
+        model = classifier(name, **json.loads(setting["params"])).fit_vectors(train)
+        preds = model.predict_vectors(test).withColumnRenamed("label", "y_true")
+        return metrics.accuracy(preds).first()["accuracy"]
+
+    return fit_and_score
+
+
 def search_scores(
     matrix: Matrix, name: str, candidates: Sequence[dict], n_folds: int = 5, seed: int = 0
 ) -> DataFrame:
@@ -252,10 +278,10 @@ def search_scores(
     if name in SIDE_BY_SIDE:
         return SIDE_BY_SIDE[name](matrix, candidates, n_folds, seed)
     tasks = [{"params": json.dumps(c, sort_keys=True)} for c in candidates]
-    return score_settings(
-        matrix.rows.sparkSession, inner_splits(matrix, n_folds, seed), tasks, _accuracy(name),
-        "params string",
-    )
+    splits, score = inner_splits(matrix, n_folds, seed), _accuracy(name)
+    if name in CLASSIFIERS and isinstance(CLASSIFIERS[name](), mllib.MLlibClassifier):
+        splits, score = _vector_splits(splits), _vector_accuracy(name)
+    return score_settings(matrix.rows.sparkSession, splits, tasks, score, "params string")
 
 
 def grid_candidates(grid: dict[str, Sequence]) -> list[dict]:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jurispark.operators import search, trees
+from jurispark.operators import vectors as vectors_module
 from jurispark.operators.matrix import Matrix
 from jurispark.operators.registry import classifier
 
@@ -156,3 +157,31 @@ def test_rows_meet_looked_features_first(spark, monkeypatch):
     for level in model.grown.levels:
         assert level.where("feature IS NOT NULL AND feature > 15").count() == 0
     assert model.predict(m).where("y_pred IS NULL").count() == 0
+
+
+def test_settings_of_a_fold_share_its_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(60, 4))
+    m = as_matrix(spark, X, (X[:, 0] > 0).astype(int)).written()
+    grid = search.grid_candidates({"maxDepth": [1, 2, 5], "minInstancesPerNode": [1, 5]})
+    plain = {}
+    for fold, train, test in search.inner_splits(m, 2):
+        for c in grid:
+            preds = classifier("Tree", **c).fit(train).predict(test)
+            plain[json.dumps(c, sort_keys=True), fold] = preds.where("label = y_pred").count() / test.rows.count()
+    made, vectors = [], vectors_module.FeatureSpace.vectors
+    monkeypatch.setattr(
+        vectors_module.FeatureSpace, "vectors", lambda space, matrix: made.append(1) or vectors(space, matrix)
+    )
+    scores = search.search_scores(m, "Tree", grid, n_folds=2)
+    assert len(made) == 4  # two folds, their training and their test rows
+    found = {(r["params"], r["fold"]): r["score"] for r in scores.collect()}
+    assert found == pytest.approx(plain)
+
+
+def test_a_fold_without_vectors_has_no_scores(spark):
+    m = as_matrix(spark, np.ones((1200, 1)), np.arange(1200))
+    rows = m.rows.unionAll(m.rows.withColumn("id", F.col("id") + 5000))
+    many = Matrix(rows, m.cells)
+    scores = search.search_scores(many, "Tree", [{"maxDepth": 1}, {"maxDepth": 2}], n_folds=2)
+    assert [r["score"] for r in scores.collect()] == [None] * 4
