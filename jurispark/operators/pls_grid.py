@@ -42,6 +42,7 @@ PLACE = ["num", "chunk", "pos"]
 BLOCK_ROWS, LEAST_ROWS, WIDTH = 4096, 256, 128
 CELL = {"value": "f8", "rn": "i4", "idn": "i4", "fold": "i4", "y": "f8"}
 RANKED = {"rn": "i4", "idn": "i4", "fold": "i4"}
+SUMS = ["cross", "r0", "new0", "high", "low"]
 RESIDUAL = {"value": "sorted", "s": "planes", "cnt": "i4"}
 # Below this size a double has more than RESIDUAL_DIGITS decimals.
 EXACT = 2.0**53 / 10.0**RESIDUAL_DIGITS
@@ -143,8 +144,9 @@ class _Placing:
         values = np.unique(np.append(cell["value"], 0.0) if holds_zero else cell["value"])
         at = np.searchsorted(values, cell["value"])
         zero = int(np.searchsorted(values, 0.0)) if holds_zero else None
-        rank = np.full((len(at), len(self.size)), np.nan)
-        new = np.full((len(at), len(self.nus)), np.nan)
+        if self.what == "cells":
+            rank = np.full((len(at), len(self.size)), np.nan)
+            new = np.full((len(at), len(self.nus)), np.nan)
         p, out = np.asarray(self.nus) - 1.0, []
         for i, (g, n) in enumerate(self.size.items()):
             nnz, sy_listed = side.nnz[i], side.sy[i]
@@ -161,29 +163,33 @@ class _Placing:
                 continue
             before = np.cumsum(cnt) - cnt + side.before[i]
             ranks = before + (cnt + 1) / 2.0
-            own = (n + 2.0 - (before + cnt / 2.0 + 1.0))[:, None] ** p
-            down = np.where(cnt > 0, n + 1.0 - ranks, 1.0)[:, None]  # where no row is, none counts
-            r, low = down**p, cnt[:, None] * (down + 1.0) ** p
-            high = cnt[:, None] * r
-            below, above = np.cumsum(low, 0) - low, high.sum(0) - np.cumsum(high, 0)
-            if self.centred:
-                shift = np.asarray(side.shift).reshape(len(self.size), -1)[i]
-                own = own - (above + below + (cnt + 1)[:, None] * own) / (n + 1.0) - shift
-            if self.what == "sums":
-                nothing = np.zeros(len(p))
-                out.append((
-                    g, num, part, high.sum(0), (r * (sy - cnt * g_mean)[:, None]).sum(0),
-                    r[zero] if zeros > 0 else nothing, own[zero] if zero is not None else nothing,
-                    high.sum(0), low.sum(0), float(zero is not None),
-                ))
-                continue
-            rank[train, i] = ranks[at[train]]
-            new[~train] = own[at[~train]]
+            place = n + 2.0 - (before + cnt / 2.0 + 1.0)
+            down = np.where(cnt > 0, n + 1.0 - ranks, 1.0)  # where no row is, none counts
+            shift = np.asarray(side.shift).reshape(len(self.size), -1)[i]
+            sums = {c: np.zeros(len(p)) for c in SUMS}
+            for k, power in enumerate(p):  # one by one: a column can be long
+                own, r = place**power, down**power
+                high, low = cnt * r, cnt * (down + 1.0) ** power
+                if self.centred:
+                    below, above = np.cumsum(low) - low, high.sum() - np.cumsum(high)
+                    own = own - (above + below + (cnt + 1) * own) / (n + 1.0) - shift[k]
+                if self.what == "cells":
+                    new[~train, k] = own[at[~train]]
+                    continue
+                sums["high"][k], sums["low"][k] = high.sum(), low.sum()
+                sums["cross"][k] = (r * (sy - cnt * g_mean)).sum()
+                if zeros > 0:
+                    sums["r0"][k] = r[zero]
+                if zero is not None:
+                    sums["new0"][k] = own[zero]
+            if self.what == "cells":
+                rank[train, i] = ranks[at[train]]
+            else:
+                out.append({"g": g, "num": num, "part": part, **sums, "zero": float(zero is not None)})
         if self.what == "count":
             return pd.DataFrame(out, columns=["g", "num", "part", "cnt"])
         if self.what == "sums":
-            names = ["g", "num", "part", "total", "cross", "r0", "new0", "high", "low", "zero"]
-            return pd.DataFrame(out, columns=names)
+            return pd.DataFrame(out, columns=["g", "num", "part", *SUMS, "zero"])
         ends = np.cumsum([0, *(len(x) // 4 for x in pieces["rn"])])
         return pd.DataFrame({
             "block": pieces["block"], "chunk": num // WIDTH, "pos": num % WIDTH,
@@ -356,10 +362,10 @@ class _Grid:
             side = side.drop("before").join(
                 carried.groupBy("num", "part").agg(per_fold("before")), ["num", "part"], "left"
             ).withColumn("before", F.coalesce("before", zeros(len(size))))
-        sums = ", ".join(f"{c} array<double>" for c in ["total", "cross", "r0", "new0", "high", "low"])
+        sums = ", ".join(f"{c} array<double>" for c in SUMS)
         found = run("sums", f"g int, num int, part int, {sums}, zero double")
         found = materialize(found.select("g", "num", "part", "zero", *[
-            F.transform(c, _number).alias(c) for c in ("total", "cross", "r0", "new0", "high", "low")
+            F.transform(c, _number).alias(c) for c in SUMS
         ]))
         shift = zeros(len(nus))
         if parts > 1 and centred:  # what the other ranges of the feature add to the mean rank
@@ -385,10 +391,10 @@ class _Grid:
             )
         total = lambda c, k: F.sum(F.col(c)[k])
         summed = found.withColumn("_shift", shift).groupBy("g", "num").agg(
-            *[self._array(lambda k, c=c: total(c, k)).alias(c) for c in ("total", "cross", "r0")],
+            *[self._array(lambda k, c=c: total(c, k)).alias(c) for c in ("high", "cross", "r0")],
             self._array(lambda k: F.sum(F.col("new0")[k] - F.col("zero") * F.col("_shift")[k])).alias("base_new"),
         )
-        mean = lambda k: F.col("total")[k] / F.col("g_n") if centred else F.lit(0.0)
+        mean = lambda k: F.col("high")[k] / F.col("g_n") if centred else F.lit(0.0)
         weight = lambda k: (
             F.lit(0.0) if self.nus[k] == 1  # all ranks to the power 0 are equal
             else -self.nus[k] * F.col("cross")[k] / ((F.col("g_n") - 1) * F.col("g_sd"))
