@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,9 @@ PARALLEL_FITS = 4
 NU_RANGE = (1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9)
 COMPONENTS_RANGE = (1, 2, 3, 4)
 SEARCH_FOLDS = 3
+# What a fit raises that its setting or its fold rules out.  Anything else (a lost executor, a full disk,
+# no memory, a mistake in the code) says nothing about the setting.
+UNFIT = (ValueError, ArithmeticError, ArithmeticException, IllegalArgumentException)
 
 
 def inner_splits(
@@ -53,14 +57,17 @@ def score_settings(
     fit_and_score: Callable[[dict, Matrix, Matrix], float],
     schema: str,
 ) -> DataFrame:
-    """(settings..., fold, score); a fit that fails leaves a NULL score and a log line."""
+    """(settings..., fold, score); a setting that cannot be fitted leaves a NULL score and a log line.
+
+    An error that is not the setting's own ends the search.
+    """
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(task):
         setting, (fold, train, test) = task
         try:
             value = float(fit_and_score(setting, train, test))
-        except Exception:  # one bad setting must not end the search
+        except UNFIT:  # one bad setting must not end the search
             log.exception("setting %s failed on fold %d", setting, fold)
             value = None
         return (*[setting[n] for n in names], fold, value)
@@ -253,7 +260,7 @@ def _vector_splits(splits: Sequence[tuple[int, Matrix, Matrix]]) -> list[tuple]:
         try:
             vectors = mllib.Vectors.of(train)
             return fold, vectors, vectors.space.vectors(test)
-        except Exception as error:  # each setting reports it
+        except UNFIT as error:  # each setting reports it
             return fold, error, None
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
@@ -329,8 +336,13 @@ def combination(grid: dict[str, Sequence], number: int) -> dict:
 
 
 def choose(scores: DataFrame, smallest: str | None = None) -> dict:
-    """Best candidate; among equals the one with the smallest value of one parameter."""
-    top = compare.top_params(scores, ["params"], 1).select("params").collect()
+    """Best candidate; among equals the one with the smallest value of one parameter.
+
+    A fold that failed counts 0.
+    """
+    top = compare.top_params(scores.na.fill(0.0, ["score"]), ["params"], 1).select("params", "mean_score").collect()
+    if not any(r["mean_score"] for r in top) and scores.where("score IS NOT NULL").isEmpty():
+        raise ValueError("no setting could be fitted")
     found = sorted((json.loads(r["params"]) for r in top), key=lambda c: json.dumps(c, sort_keys=True))
     return min(found, key=lambda c: c[smallest]) if smallest else found[0]
 

@@ -185,3 +185,31 @@ def test_a_fold_without_vectors_has_no_scores(spark):
     many = Matrix(rows, m.cells)
     scores = search.search_scores(many, "Tree", [{"maxDepth": 1}, {"maxDepth": 2}], n_folds=2)
     assert [r["score"] for r in scores.collect()] == [None] * 4
+
+
+def test_failures_are_no_results(spark, monkeypatch):
+    """What is not the setting's fault ends a search; failed folds count 0, and a choice needs a score."""
+    m = as_matrix(spark, *data(6, 40, 2)).written()
+    splits = search.inner_splits(m, 2)
+
+    def broken(error):
+        def fit_and_score(setting, train, test):
+            raise error
+
+        return fit_and_score
+
+    score = lambda error: search.score_settings(spark, splits, [{"params": "{}"}], broken(error), "params string")
+    assert [r["score"] for r in score(ValueError("bad setting")).collect()] == [None, None]
+    for error in (RuntimeError("lost executor"), OSError("disk full"), MemoryError()):
+        with pytest.raises(type(error)):
+            score(error)
+        with monkeypatch.context() as patch:
+            patch.setattr(vectors_module.FeatureSpace, "vectors", lambda *_, error=error: broken(error)(*_, None))
+            with pytest.raises(type(error)):
+                search.Tuned("Tree", n_folds=2).fit(m)
+    schema = "params string, fold int, score double"
+    a, b = '{"maxDepth": 1}', '{"maxDepth": 2}'
+    half = spark.createDataFrame([(a, 0, 0.9), (a, 1, None), (b, 0, 0.7), (b, 1, 0.7)], schema)
+    assert search.choose(half, "maxDepth") == {"maxDepth": 2}
+    with pytest.raises(ValueError, match="no setting"):
+        search.choose(half.withColumn("score", F.lit(None).cast("double")))
