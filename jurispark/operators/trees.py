@@ -9,6 +9,9 @@ not with the number of models, and no node's rows are ever gathered.
 Nodes are numbered 1, then 2n and 2n + 1 below n.  A tree with a limit on its leaves keeps the
 splits that best-first growth would make.  What that growth leaves out among the levels known so
 far it leaves out for good, so each level adds at most two candidates per split kept.
+
+Below the root, nodes with random thresholds and few cells leave the levels: ``subtrees`` grows
+each of them on in one task.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import value_bucket
 from ..sources.scratch import materialize, materialize_with
+from . import subtrees
 from .folds import clamped_fold_count, stratified_folds
 from .matrix import Matrix
 from .skew import running_totals
@@ -134,14 +138,20 @@ def _models(
 
 @dataclass(frozen=True)
 class Grown:
-    """``models`` (m, setting, ...), ``nodes`` (m, node, c0.., feature, threshold) per level."""
+    """``models`` (m, setting, ...), ``nodes`` (m, node, c0.., feature, threshold, below) per level.
+
+    A node is ``below`` if what it starts is in ``subtrees`` (m, root, node, c0.., fidx, threshold),
+    whose features are those of ``numbers`` (feature, fidx).
+    """
 
     models: DataFrame
     levels: list[DataFrame]
     classes: int
+    subtrees: DataFrame | None = None
+    numbers: DataFrame | None = None
 
     def route(self, rows: DataFrame, cells: DataFrame) -> DataFrame:
-        """(id, m, c0..): class weights of the leaf that each row (id, fold) reaches in each tree.
+        """(id, m, c0.., times): class weights of the leaf that each row (id, fold) reaches in each tree.
 
         A model sees the rows of the fold it was not grown on, or all if there is none.
         """
@@ -149,12 +159,19 @@ class Grown:
         models = F.broadcast(self.models.select("m", "left_out"))
         at = rows.select("id", "fold").join(models, (F.col("fold") == F.col("left_out")) | (F.col("left_out") == -2))
         at = at.select("id", "m", F.lit(1).cast("long").alias("node"))
-        done = None
-        for level in self.levels:
+        done = handed = None
+        for depth, level in enumerate(self.levels):
             here = at.join(level, ["m", "node"])
-            ended = here.where("feature IS NULL").select("id", "m", *cs)
+            ended = here.where("feature IS NULL AND NOT below").select("id", "m", *cs, F.lit(1).cast("long").alias("times"))
             done = ended if done is None else done.unionAll(ended)
-            at = materialize(_step(here.where("feature IS NOT NULL"), cells, "id", "m"))
+            if self.subtrees is not None:
+                down = here.where("below").select("id", "m", F.col("node").alias("root"))
+                handed = down if handed is None else handed.unionAll(down)
+            if depth + 1 < len(self.levels):
+                at = materialize(_step(here.where("feature IS NOT NULL"), cells, "id", "m"))
+        if handed is not None:
+            packed = subtrees.packed(cells, self.numbers)
+            done = done.unionAll(subtrees.route(handed, packed, self.subtrees, self.classes, self.numbers.count()))
         return done
 
 
@@ -184,11 +201,24 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
     u = _uniform(F.col("id"), F.col("tree"), F.col("seed"))
     drawn = sum(((u >= F.lit(p)).cast("int") for p in POISSON), F.lit(0))
     times = F.when(F.col("bootstrap"), drawn).otherwise(F.lit(1))
+    # Trees whose small nodes are grown on by one task.
+    ends_in_tasks = n_features <= subtrees.LOCAL_FEATURES and any(
+        t.splitter == "random" and not t.max_leaf_nodes for t, _ in specs
+    )
+    entries, hand_on, numbers = [*cs], F.lit(False), None
+    if ends_in_tasks:
+        numbers, draws = subtrees.numbered_features(features, SCORE_DIGITS)
+        numbers = materialize(numbers)
+        packed = materialize(subtrees.packed(cells, numbers))
+        rows = materialize(rows.join(packed.select("id", "held"), "id", "left").na.fill(1, ["held"]))
+        entries.append("held")
+        fits_a_task = (F.col("held") <= subtrees.LOCAL_CELLS) & (F.col("n") * F.col("n_features") <= subtrees.LOCAL_PAIRS)
+        hand_on = F.col("random") & F.col("max_leaves").isNull() & fits_a_task
     start = rows.join(small, F.col("fold") != F.col("left_out")).withColumn("times", times).where("times > 0")
     weight = F.col("times") * F.get("cw", F.col("k"))
     at = start.select("m", "id", F.lit(1).cast("long").alias("node"), *[
         F.when(F.col("k") == i, weight).otherwise(0.0).alias(c) for i, c in enumerate(cs)
-    ])
+    ], *entries[k:])
     narrows = any(t.features_per_node(10**6) < 10**6 for t, _ in specs)
     # Rows meet the features their node looks at before the cells, if those are the fewer.
     few = narrows and max(t.features_per_node(n_features) for t, _ in specs) * rows.count() < cells.count()
@@ -196,17 +226,26 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
     for t, _ in specs:
         limits.update({number + i: t.max_leaf_nodes for i in range(t.n_trees) if t.max_leaf_nodes})
         number += t.n_trees
-    found, levels = None, []
+    found, levels, handed = None, [], None
     for depth in range(DEEPEST + 1):
         at, seen = materialize_with(at, F.count(F.lit(1)).alias("n"))
         if not seen["n"]:
             break
-        totals = materialize(
-            at.groupBy("m", "node").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in cs])
-        )
         mixed = sum(((F.col(c) > 0).cast("int") for c in cs), F.lit(0)) > 1
-        able = totals.join(small, "m").where(mixed & (F.col("n") >= F.col("min_split")) & (F.lit(depth) < F.col("deepest")))
-        able = able.select("m", "node", *[F.col(c).alias(f"t_{c}") for c in ("n", *cs)], "criterion", "random", "min_leaf", "tree", "seed", "n_features")
+        splits = mixed & (F.col("n") >= F.col("min_split")) & (F.lit(depth) < F.col("deepest"))
+        counted = at.groupBy("m", "node").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in entries])
+        counted = counted.join(small, "m").withColumn("below", splits & hand_on & F.lit(depth > 0))
+        totals, seen = materialize_with(
+            counted.select("m", "node", "n", *cs, "below", (splits & ~F.col("below")).alias("able")),
+            F.count_if("below").alias("below"), F.count_if("able").alias("able"),
+        )
+        if seen["below"]:
+            down = at.join(totals.where("below").select("m", "node"), ["m", "node"], "left_semi").drop("held")
+            handed = down if handed is None else handed.unionAll(down)
+        if not seen["able"]:
+            levels.append((totals, None))
+            break
+        able = totals.where("able").join(small, "m").select("m", "node", *[F.col(c).alias(f"t_{c}") for c in ("n", *cs)], "criterion", "random", "min_leaf", "tree", "seed", "n_features")
         if narrows:
             key = F.xxhash64("feature", "node", "tree", "seed")
             # Open nodes by features: what max_features is defined over.
@@ -260,15 +299,23 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
             found = materialize(found.where(~free).join(F.broadcast(kept), ["m", "node"], "left_semi"))
             best = best.where(free).unionAll(best.where(~free).join(F.broadcast(kept), ["m", "node"], "left_semi"))
         levels.append((totals, best))
-        at = _step(at.join(best.select("m", "node", "feature", "threshold"), ["m", "node"]), cells, "m", "id", *cs)
+        at = _step(at.join(best.select("m", "node", "feature", "threshold"), ["m", "node"]), cells, "m", "id", *entries)
     out = []
     for totals, best in levels:
         made = best
-        if limits:  # a split may have been left out when a later level was known
+        if limits and best is not None:  # a split may have been left out when a later level was known
             made = best.where(~F.col("m").isin(list(limits))).unionAll(found)
+        nodes = totals.select("m", "node", *cs, "below")
+        if made is None:  # the last level: leaves, and nodes that tasks grow on
+            feature = F.lit(None).cast(cells.schema["feature"].dataType)
+            out.append(nodes.select("m", "node", *cs, feature.alias("feature"), F.lit(None).cast("double").alias("threshold"), "below"))
+            continue
         split = made.select("m", "node", "feature", "threshold")
-        out.append(materialize(totals.select("m", "node", *cs).join(split, ["m", "node"], "left")))
-    return Grown(models, out, k)
+        out.append(materialize(nodes.join(split, ["m", "node"], "left")))
+    if handed is None:
+        return Grown(models, out, k)
+    own = {r["m"]: r for r in models.collect()}
+    return Grown(models, out, k, subtrees.grow(handed, packed, own, draws, k), numbers)
 
 
 def _best(whole: DataFrame, group: list[str], sums: Sequence[str]) -> DataFrame:
@@ -336,7 +383,7 @@ def _voted(leaves: DataFrame, models: DataFrame, k: int) -> DataFrame:
     cs = [f"c{i}" for i in range(k)]
     total = sum((F.col(c) for c in cs), F.lit(0.0))
     shares = leaves.join(F.broadcast(models.select("m", "setting")), "m").groupBy("id", "setting").agg(
-        *[F.round(F.avg(F.col(c) / total), 12).alias(c) for c in cs]
+        *[F.round(F.sum(F.col(c) / total * F.col("times")) / F.sum("times"), 12).alias(c) for c in cs]
     )
     means = F.array(*[F.col(c) for c in cs])
     return shares.select("id", "setting", (F.array_position(means, F.array_max(means)) - 1).cast("int").alias("found"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jurispark.operators import search, trees
+from jurispark.operators import search, subtrees, trees
 from jurispark.operators import vectors as vectors_module
 from jurispark.operators.matrix import Matrix
 from jurispark.operators.registry import classifier
@@ -213,3 +213,60 @@ def test_failures_are_no_results(spark, monkeypatch):
     assert search.choose(half, "maxDepth") == {"maxDepth": 2}
     with pytest.raises(ValueError, match="no setting"):
         search.choose(half.withColumn("score", F.lit(None).cast("double")))
+
+
+def grown_nodes(model):
+    """{(m, node): (feature, threshold, class sums)} of levels and subtrees."""
+    grown, out = model.grown, {}
+    keep = ["m", "node", "feature", "threshold", *[f"c{i}" for i in range(grown.classes)]]
+    parts = [d.where("NOT below").select(*keep) for d in grown.levels]
+    if grown.subtrees is not None:
+        parts.append(grown.subtrees.join(grown.numbers, "fidx", "left").select(*keep))
+    for part in parts:
+        for r in part.collect():
+            assert (r["m"], r["node"]) not in out
+            out[r["m"], r["node"]] = tuple(r)[2:]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["dense", "words", "twice"])
+def test_small_nodes_grown_by_one_task_are_the_same(spark, monkeypatch, kind):
+    X, y = data(7, 70, 3)
+    m = as_matrix(spark, X, y)
+    settings = {"n_trees": 2, "seed": 3, "max_depth": 5}
+    if kind == "words":
+        settings.update(criterion="entropy", class_weight="balanced", bootstrap=True, min_samples_leaf=2, max_features=3)
+        m = Matrix(m.rows, m.cells.where("value <> 0").withColumn("feature", F.concat(F.lit("é"), "feature")))
+    if kind == "twice":
+        again = m.rows.where("id % 9 = 0")
+        m = Matrix(m.rows.unionAll(again).unionAll(spark.createDataFrame([(None, 1)], m.rows.schema)),
+                   m.cells.unionAll(m.cells.join(again.select("id"), "id").select(*m.cells.columns)))
+    m = m.written()
+    found = {}
+    for cells in (subtrees.LOCAL_CELLS, 0):
+        monkeypatch.setattr(subtrees, "LOCAL_CELLS", cells)
+        model = trees.extra_trees(**settings).fit(m)
+        assert (model.grown.subtrees is None) == (cells == 0)
+        monkeypatch.setattr(subtrees, "LOCAL_CELLS", 50)  # routed rows come in slices
+        found[cells] = grown_nodes(model), sorted(map(str, model.predict(m).collect()))
+        levels = len(model.grown.levels)
+        assert levels == 2 if cells else levels > 2
+    (nodes, preds), (plain, plain_preds) = found.values()
+    assert preds == plain_preds and nodes.keys() == plain.keys() and len(nodes) > 10
+    for key, node in plain.items():
+        assert nodes[key][0] == node[0] and (nodes[key][1] is None) == (node[1] is None)
+        assert [x or 0 for x in nodes[key][1:]] == pytest.approx([x or 0 for x in node[1:]], rel=1e-12)
+
+
+def test_draws_and_rounding_are_those_of_spark(spark):
+    ids = [0, 1, -5, 2**31 - 1, 2**59 + 17]
+    rows = spark.createDataFrame([(f"w{i}", x) for i, x in enumerate(ids)], "feature string, node long")
+    got = rows.select(
+        F.xxhash64("feature").alias("s"), F.xxhash64("feature", "node", F.lit(7), F.lit(-3)).alias("h")
+    ).collect()
+    states = np.array([r["s"] for r in got], np.int64).view(np.uint64)
+    hashes = subtrees.hashed_int(subtrees.hashed_int(subtrees.hashed_long(states, np.array(ids)), 7), -3)
+    assert list(hashes.view(np.int64)) == [r["h"] for r in got]
+    x = [0.0, 0.5e-9, -0.5e-9, 2.4999999995, 12345.6789012345, 77.0000000005, -3.1234567885, 1 / 3, 2 / 3]
+    spark_rounds = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9)).collect()]
+    assert list(subtrees.round_units(np.array(x), 9) / 1e9) == spark_rounds
