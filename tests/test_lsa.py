@@ -1,5 +1,7 @@
 """Truncated singular value decomposition against numpy."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from test_pls import as_matrix
@@ -7,6 +9,7 @@ from test_pls import as_matrix
 from jurispark.operators import lsa, skew
 from jurispark.operators.lsa import LatentSemantics, tall_factor
 from jurispark.operators.matrix import Matrix
+from jurispark.sources import scratch
 
 
 def dense(rows, k, decay, seed):
@@ -79,3 +82,30 @@ def test_repeated_ids_are_one_row(spark):
         [(1, "a", 1.0), (1, "a", 2.0), (1, "b", 1.0), (2, "b", 4.0)], "id long, feature string, value double")
     model = LatentSemantics(2).fit(Matrix(rows, cells))
     np.testing.assert_allclose(model.values, np.linalg.svd([[3.0, 1.0], [0.0, 4.0]], compute_uv=False))
+
+
+def test_disk_of_rounds_is_bounded(spark, monkeypatch):
+    """Tables of earlier rounds go, blocks come in batches, and the projection of the fitted matrix moves no cells."""
+    X = dense(90, 30, 0.8, 3)
+    m = as_matrix(spark, X, np.arange(90) % 2)
+    plain = LatentSemantics(3).fit(m)
+    monkeypatch.setattr(lsa, "CELLS_PER_BLOCK", 100)
+    monkeypatch.setattr(lsa, "BLOCKS_AT_ONCE", 8)
+    root, left = scratch.scratch_root(spark).removeprefix("file:"), []
+    tables = lambda: {p.parent for p in Path(root).rglob("_SUCCESS")}
+    before, round_ = tables(), lsa.tall_factor
+
+    def counted(*args):
+        left.append(len(tables() - before))
+        return round_(*args)
+
+    monkeypatch.setattr(lsa, "tall_factor", counted)
+    model = LatentSemantics(3).fit(m)
+    assert len(model.blocks) > 2 and len(left) >= 8
+    assert max(left) <= len(model.blocks) + 2  # the directions of two rounds
+    assert len(tables() - before) == len(model.blocks) + 1
+    assert spark.conf.get(scratch.CLEANUP) == "false"
+    np.testing.assert_allclose(model.values, plain.values, rtol=1e-9)
+    again = Matrix(m.rows, m.cells)
+    got, want = ({(r["id"], r["feature"]): r["value"] for r in model.transform(x).cells.collect()} for x in (m, again))
+    assert got.keys() == want.keys() and got == pytest.approx(want)
