@@ -131,7 +131,9 @@ def running_totals(
         *[F.coalesce(F.sum(m).over(across), F.lit(0)).alias(f"_carry_{m}") for m in measures],
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(*before)
-    out = parts.join(carry, [*keys, "_bucket"])
+    # Never broadcast: a small file of carries may be hundreds of MB in memory, and the windows
+    # below need rows dealt by these keys anyway.
+    out = parts.join(carry.hint("merge"), [*keys, "_bucket"])
     for m in measures:
         out = out.withColumn(
             f"{m}_before", F.coalesce(F.sum(m).over(inside), F.lit(0)) + F.col(f"_carry_{m}")

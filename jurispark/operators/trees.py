@@ -31,7 +31,7 @@ from ..sources.scratch import materialize, materialize_with
 from . import subtrees
 from .folds import clamped_fold_count, stratified_folds
 from .matrix import Matrix
-from .skew import running_totals
+from .skew import BROADCAST_ROWS, running_totals
 from .terms import distinct_labels
 
 DEEPEST = 60  # node numbers fit 64 bits
@@ -146,6 +146,7 @@ class Grown:
 
     models: DataFrame
     levels: list[DataFrame]
+    sizes: list[int]
     classes: int
     subtrees: DataFrame | None = None
     numbers: DataFrame | None = None
@@ -161,7 +162,7 @@ class Grown:
         at = at.select("id", "m", F.lit(1).cast("long").alias("node"))
         done = handed = None
         for depth, level in enumerate(self.levels):
-            here = at.join(level, ["m", "node"])
+            here = _with_nodes(at, level, self.sizes[depth])
             ended = here.where("feature IS NULL AND NOT below").select("id", "m", *cs, F.lit(1).cast("long").alias("times"))
             done = ended if done is None else done.unionAll(ended)
             if self.subtrees is not None:
@@ -175,11 +176,20 @@ class Grown:
         return done
 
 
+def _with_nodes(rows: DataFrame, nodes: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """Rows and what ``n`` rows on their nodes say; the nodes are broadcast if few, and the rows never.
+
+    Left to itself the planner goes by the size of files, and rows of repeated numbers take a
+    hundred times that in the driver's memory.
+    """
+    return rows.join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes.hint("merge"), ["m", "node"], how)
+
+
 def _step(here: DataFrame, cells: DataFrame, *keep: str) -> DataFrame:
     """Rows with the feature and threshold of their node go to its left or right child."""
     value = F.coalesce(F.col("value"), F.lit(0.0))
     child = F.col("node") * 2 + (value > F.col("threshold")).cast("long")
-    return here.join(cells, ["id", "feature"], "left").select(*keep, child.alias("node"))
+    return here.join(cells.hint("merge"), ["id", "feature"], "left").select(*keep, child.alias("node"))
 
 
 def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple[Trees, int]]) -> Grown:
@@ -226,7 +236,7 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
     for t, _ in specs:
         limits.update({number + i: t.max_leaf_nodes for i in range(t.n_trees) if t.max_leaf_nodes})
         number += t.n_trees
-    found, levels, handed = None, [], None
+    found, levels, sizes, handed = None, [], [], None
     for depth in range(DEEPEST + 1):
         at, seen = materialize_with(at, F.count(F.lit(1)).alias("n"))
         if not seen["n"]:
@@ -237,10 +247,11 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
         counted = counted.join(small, "m").withColumn("below", splits & hand_on & F.lit(depth > 0))
         totals, seen = materialize_with(
             counted.select("m", "node", "n", *cs, "below", (splits & ~F.col("below")).alias("able")),
-            F.count_if("below").alias("below"), F.count_if("able").alias("able"),
+            F.count_if("below").alias("below"), F.count_if("able").alias("able"), F.count(F.lit(1)).alias("n"),
         )
+        sizes.append(seen["n"])
         if seen["below"]:
-            down = at.join(totals.where("below").select("m", "node"), ["m", "node"], "left_semi").drop("held")
+            down = _with_nodes(at, totals.where("below").select("m", "node"), seen["below"], "left_semi").drop("held")
             handed = down if handed is None else handed.unionAll(down)
         if not seen["able"]:
             levels.append((totals, None))
@@ -255,9 +266,10 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
             looked = materialize(looked)
         # Rows in leaves have no split to look for.
         if few:
-            met = at.join(looked.select("m", "node", "feature"), ["m", "node"]).join(cells, ["id", "feature"])
+            pairs = seen["able"] * max(t.features_per_node(n_features) for t, _ in specs)
+            met = _with_nodes(at, looked.select("m", "node", "feature"), pairs).join(cells.hint("merge"), ["id", "feature"])
         else:
-            met = at.join(able.select("m", "node"), ["m", "node"], "left_semi").join(cells, "id")
+            met = _with_nodes(at, able.select("m", "node"), seen["able"], "left_semi").join(cells.hint("merge"), "id")
         ladder = met.groupBy("m", "node", "feature", "value").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in cs]
         )
@@ -265,7 +277,7 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
         if narrows:
             ladder = ladder.join(looked, ["m", "node", "feature"])
         else:
-            ladder = ladder.join(able, ["m", "node"])
+            ladder = _with_nodes(ladder, able, seen["able"])
         ladder = materialize(ladder)
         group = ["m", "node", "feature"]
         held = ladder.groupBy(*group, *[c for c in able.columns if c not in group]).agg(*[F.sum(c).alias(c) for c in sums])
@@ -291,7 +303,7 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
         best = candidates.where(fits).groupBy("m", "node").agg(F.min(choice).alias("x")).select(
             "m", "node", "x.feature", "x.threshold", "x.gain", "x.random"
         )
-        best = materialize(_between(materialize(best), whole, group).select("m", "node", "feature", "threshold", "gain"))
+        best = materialize(_between(materialize(best), whole, group, seen["able"]).select("m", "node", "feature", "threshold", "gain"))
         if limits:
             found = best if found is None else found.unionAll(best)
             kept = _first(found.where(F.col("m").isin(list(limits))), limits)
@@ -299,7 +311,7 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
             found = materialize(found.where(~free).join(F.broadcast(kept), ["m", "node"], "left_semi"))
             best = best.where(free).unionAll(best.where(~free).join(F.broadcast(kept), ["m", "node"], "left_semi"))
         levels.append((totals, best))
-        at = _step(at.join(best.select("m", "node", "feature", "threshold"), ["m", "node"]), cells, "m", "id", *entries)
+        at = _step(_with_nodes(at, best.select("m", "node", "feature", "threshold"), seen["able"]), cells, "m", "id", *entries)
     out = []
     for totals, best in levels:
         made = best
@@ -313,9 +325,9 @@ def grow(rows: DataFrame, cells: DataFrame, classes: list, specs: Sequence[tuple
         split = made.select("m", "node", "feature", "threshold")
         out.append(materialize(nodes.join(split, ["m", "node"], "left")))
     if handed is None:
-        return Grown(models, out, k)
+        return Grown(models, out, sizes, k)
     own = {r["m"]: r for r in models.collect()}
-    return Grown(models, out, k, subtrees.grow(handed, packed, own, draws, k), numbers)
+    return Grown(models, out, sizes, k, subtrees.grow(handed, packed, own, draws, k), numbers)
 
 
 def _best(whole: DataFrame, group: list[str], sums: Sequence[str]) -> DataFrame:
@@ -333,7 +345,7 @@ def _random(whole: DataFrame, group: list[str], sums: Sequence[str]) -> DataFram
     ends = part.groupBy(*group).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi")
     u = _uniform(F.lit("threshold"), F.col("feature"), F.col("node"), F.col("tree"), F.col("seed"))
     cut = F.col("lo") + u * (F.col("hi") - F.col("lo"))
-    placed = part.join(ends, group).withColumn("threshold", F.when(cut >= F.col("hi"), F.col("lo")).otherwise(cut))
+    placed = part.join(ends.hint("merge"), group).withColumn("threshold", F.when(cut >= F.col("hi"), F.col("lo")).otherwise(cut))
     keep = _settings(whole, group, sums)
     return placed.groupBy(*group, *keep, "threshold").agg(
         *[F.sum(F.when(F.col("value") <= F.col("threshold"), F.col(c)).otherwise(0)).alias(f"l_{c}") for c in sums]
@@ -344,11 +356,11 @@ def _settings(whole: DataFrame, group: list[str], sums: Sequence[str]) -> list[s
     return [c for c in whole.columns if c not in (*group, "value", *sums)]
 
 
-def _between(best: DataFrame, whole: DataFrame, group: list[str]) -> DataFrame:
-    """Thresholds of the best splitter move halfway to the next value of the node."""
+def _between(best: DataFrame, whole: DataFrame, group: list[str], n: int) -> DataFrame:
+    """Thresholds of the best splitter move halfway to the next value of the node; ``best`` has up to ``n`` rows."""
+    chosen = best.where("NOT random").select(*group, "threshold")
     higher = (
-        best.where("NOT random").select(*group, "threshold")
-        .join(whole.select(*group, "value"), group)
+        whole.select(*group, "value").join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen.hint("merge"), group)
         .where("value > threshold")
         .groupBy(*group)
         .agg(F.min("value").alias("_next"))
@@ -423,7 +435,7 @@ def score_candidates(
     specs = [(Trees(**c), f) for c in candidates for f in range(folds)]
     grown = grow(marked, matrix.cells, classes, specs)
     cells = matrix.cells.select("id", "feature", F.col("value").cast("double").alias("value"))
-    voted = _voted(grown.route(marked, cells), grown.models, len(classes)).join(marked, "id")
+    voted = _voted(grown.route(marked, cells), grown.models, len(classes)).join(marked.hint("merge"), "id")
     names = F.array(*[F.lit(c) for c in classes])
     hit = (F.get(names, F.col("found")) == F.col("label")).cast("int")
     scores = voted.groupBy("setting", "fold").agg((F.sum(hit) / F.count(F.lit(1))).alias("score"))

@@ -270,3 +270,31 @@ def test_draws_and_rounding_are_those_of_spark(spark):
     x = [0.0, 0.5e-9, -0.5e-9, 2.4999999995, 12345.6789012345, 77.0000000005, -3.1234567885, 1 / 3, 2 / 3]
     spark_rounds = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9)).collect()]
     assert list(subtrees.round_units(np.array(x), 9) / 1e9) == spark_rounds
+
+
+def test_only_tables_of_nodes_are_broadcast(spark, monkeypatch):
+    """What grows with the rows (rows in nodes, cells, carries of running totals) is not sent to the driver."""
+    m = as_matrix(spark, *data(8, 60, 2)).written()
+    plans, write = [], trees.materialize
+    kept = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df)
+    counted, write_with = [], trees.materialize_with
+    monkeypatch.setattr(trees, "materialize", kept)
+    monkeypatch.setattr(trees, "materialize_with", lambda df, *sums: counted.append(
+        df._jdf.queryExecution().executedPlan().toString()) or write_with(df, *sums))
+    found = search.search_scores(m, "ExactTree", [{"max_depth": 2}], 2)
+    plans += [*counted, found._jdf.queryExecution().executedPlan().toString()]
+    sides = [p.split("BroadcastExchange")[1:] for p in plans]
+    assert sum(map(len, sides)) > 5
+    for plan in plans:
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                depth, side = len(line) - len(line.lstrip(" :+-")), []
+                for below in lines[i + 1 :]:
+                    if len(below) - len(below.lstrip(" :+-")) <= depth:
+                        break
+                    side.append(below)
+                if any("Aggregate" in x for x in side):
+                    continue  # one row a node, or a count per class
+                for read in (x.split("ReadSchema:")[1] for x in side if "FileScan" in x):
+                    assert not any(x in read for x in ("id:", "value:", "_bucket:")), read
