@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ SEARCH_FOLDS = 3
 # What a fit raises that its setting or its fold rules out.  Anything else (a lost executor, a full disk,
 # no memory, a mistake in the code) says nothing about the setting.
 UNFIT = (ValueError, ArithmeticError, ArithmeticException, IllegalArgumentException)
+# So does what MLlib requires of the numbers in a task, wrapped in the failure of the job.
+REQUIRED = "java.lang.IllegalArgumentException: requirement failed"
+
+
+def unfit(error: Exception) -> bool:
+    """Whether a fit failed by its setting or its fold."""
+    return isinstance(error, UNFIT) or (isinstance(error, Py4JJavaError) and REQUIRED in str(error))
 
 
 def inner_splits(
@@ -67,7 +75,9 @@ def score_settings(
         setting, (fold, train, test) = task
         try:
             value = float(fit_and_score(setting, train, test))
-        except UNFIT:  # one bad setting must not end the search
+        except Exception as error:  # one bad setting must not end the search
+            if not unfit(error):
+                raise
             log.exception("setting %s failed on fold %d", setting, fold)
             value = None
         return (*[setting[n] for n in names], fold, value)
@@ -260,7 +270,9 @@ def _vector_splits(splits: Sequence[tuple[int, Matrix, Matrix]]) -> list[tuple]:
         try:
             vectors = mllib.Vectors.of(train)
             return fold, vectors, vectors.space.vectors(test)
-        except UNFIT as error:  # each setting reports it
+        except Exception as error:  # each setting reports it
+            if not unfit(error):
+                raise
             return fold, error, None
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:

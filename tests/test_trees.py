@@ -207,6 +207,10 @@ def test_failures_are_no_results(spark, monkeypatch):
             patch.setattr(vectors_module.FeatureSpace, "vectors", lambda *_, error=error: broken(error)(*_, None))
             with pytest.raises(type(error)):
                 search.Tuned("Tree", n_folds=2).fit(m)
+    # Repeated cells are no vectors, which MLlib finds in a task: the fold's own fault.
+    twice = Matrix(m.rows, m.cells.unionAll(m.cells)).written()
+    failed = search.search_scores(twice, "Tree", [{"maxDepth": 1}], n_folds=2)
+    assert [r["score"] for r in failed.collect()] == [None, None]
     schema = "params string, fold int, score double"
     a, b = '{"maxDepth": 1}', '{"maxDepth": 2}'
     half = spark.createDataFrame([(a, 0, 0.9), (a, 1, None), (b, 0, 0.7), (b, 1, 0.7)], schema)
